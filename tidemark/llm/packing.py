@@ -13,6 +13,8 @@ kept as null.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,7 +25,13 @@ from tidemark.llm.common import small_batches
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "segment int, loss_tokens long")
-CACHE = 250_000
+CACHE = 1_500_000  # chunks kept by a worker
+
+#: A word of Latin letters and the marks after it: two pre-tokens, that need no normalising but lower case.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+#: The byte-level alphabet: printable bytes stand for themselves, others follow from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
 class WordCache(dict):
@@ -34,32 +42,27 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        self.model = self.t.model
+        sample = ["Hello,", "\u00dcber!!", "na\u00efve", "a.b", "fin."]
+        self.plain = all(self._pieces(PLAIN.fullmatch(x)) == self._whole(x) for x in sample if PLAIN.fullmatch(x))
+
+    def _whole(self, chunk: str) -> list[int]:
+        return self.t.encode(chunk, add_special_tokens=False).ids
 
-    def _one(self, chunk: bytes) -> bytes:
-        ids = self.t.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """All unseen chunks in one call, held apart by a special token."""
-        if len(self) > CACHE:
-            self.clear()
-        mark = self.t.token_to_id("<|endoftext|>")
-        plain = [c for c in chunks if c not in self and (mark is not None and b"<|" not in c)]
-        if plain:
-            text = " <|endoftext|> ".join(c.decode("utf-8", "replace") for c in plain)
-            ids = np.asarray(self.t.encode(text, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == mark)
-            if len(cuts) == len(plain) - 1:
-                raw, at = ids.tobytes(), 0
-                for c, cut in zip(plain, [*cuts.tolist(), len(ids)]):
-                    self[c] = raw[at * 4 : cut * 4]
-                    at = cut + 1
-        for c in chunks:
-            if c not in self:
-                self[c] = self._one(c)
+    def _pieces(self, m) -> list[int]:
+        """The model alone, without the tokenizer's normalising and splitting, which would cost several times as much."""
+        word = m[1].lower()
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+        return [x.id for x in self.model.tokenize(word)] + ([x.id for x in self.model.tokenize(m[2])] if m[2] else [])
 
     def __missing__(self, chunk: bytes) -> bytes:
-        self[chunk] = v = self._one(chunk)
+        text = chunk.decode("utf-8", "replace")
+        m = PLAIN.fullmatch(text) if self.plain else None
+        if m and (m[2] or not text.islower()):  # the word and its marks are looked up, as many chunks share them
+            self[chunk] = v = self[m[1].lower().encode()] + (self[m[2].encode()] if m[2] else b"")
+            return v
+        ids = self._pieces(m) if m else self._whole(text)
+        self[chunk] = v = struct.pack(f"<{len(ids)}I", *ids)
         return v
 
     def ids(self, text: bytes) -> bytes:
@@ -186,12 +189,8 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         packer = Packer(TaskContext.get().partitionId() << 40, max_tokens, max_segments, max_loss, pool)
         for b in batches:
             texts = [x or b"" for x in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 200):
-                part = texts[at : at + 200]
-                words = set()
-                for x in part:
-                    words.update(x.split())
-                cache.learn({w for w in words if w not in cache})
+            if len(cache) > CACHE:
+                cache.clear()
             for doc, x, loss in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist()):
                 packer.add(doc, cache.ids(x) + end, loss or 0)
             if packer.rows:
