@@ -200,7 +200,7 @@ def similar_forest(classes: DataFrame, similarity: float, recall: float, bucket:
             pi.append(np.full(len(mates), p))
             pj.append(mates)
             left = rest[~ok]
-            for m in mates[1:] if len(left) else ():  # the rest may be linked through a mate
+            for m in mates if len(left) else ():  # the rest may be linked through a mate
                 bound = np.maximum(0.25, similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.minimum(T, np.minimum(n[m], n[left]))))
                 hit = left[(sig[left] == sig[m]).mean(1) >= bound]
                 pi.append(np.full(len(hit), m))
