@@ -55,29 +55,35 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndar
 
 
 def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Units (sorted hashes) that mark toxic texts, and the strong ones among them."""
-    col = pa.array(texts, pa.string())
-    buf, offs = text_buffer(col)
-    buf = _LEET[buf]
-    starts, ends, first = spans(buf, offs, NON_WORD)
-    rows = row_of(first, len(starts))
-    keys, docs = [], []
-    for h in units(buf, starts, ends):
-        keys.append(h)
-        docs.append(rows)
-    pair = np.unique(np.rec.fromarrays([np.concatenate(keys), np.concatenate(docs)], names="h,d")) if len(starts) else None
-    if pair is None or not len(pair):
+    """Units (sorted hashes) that mark toxic texts, and the strong ones among them. Units are first taken from the toxic
+    texts; the others are only probed for them, so memory follows the toxic share of a bounded sample."""
+    toxic = np.asarray(toxic) > 0
+    if not toxic.any():
         return np.zeros(0, U64), np.zeros(0, U64)
-    h, inv = np.unique(pair.h, return_inverse=True)
-    bad = np.bincount(inv, weights=toxic[pair.d])
-    good = np.bincount(inv) - bad
+    found = list(unit_sets([t for t, x in zip(texts, toxic) if x]))
+    h, bad = np.unique(np.concatenate(found), return_counts=True)
+    h, bad = h[bad >= least], bad[bad >= least]
+    good = np.zeros(len(h), np.int64)
+    for u in unit_sets([t for t, x in zip(texts, toxic) if not x]):
+        good[np.searchsorted(h, u[member(h, u)])] += 1
     share = max(toxic.mean(), 1e-6)
     odds = ((bad + 0.2) / share) / ((good + 0.2) / max(1 - share, 1e-6))
-    pick = np.flatnonzero((bad >= least) & (odds > 30))
+    pick = np.flatnonzero(odds > 30)
     pick = pick[np.argsort(-odds[pick] * np.sqrt(bad[pick]), kind="stable")[:most]]
     return np.sort(h[pick]), np.sort(h[pick[odds[pick] > 100]])
 
 
+def unit_sets(texts: list):
+    """The distinct units of each text."""
+    for lo in range(0, len(texts), 100):
+        buf, offs = text_buffer(pa.array(texts[lo : lo + 100], pa.string()))
+        buf = _LEET[buf]
+        starts, ends, first = spans(buf, offs, NON_WORD)
+        us = units(buf, starts, ends)
+        for a, b in zip(first[:-1], first[1:]):
+            yield np.unique(np.concatenate([u[a:b] for u in us]))
+
+
 def features(buf: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, strong: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     out = np.zeros((n, len(NAMES)), np.float64)
@@ -231,8 +237,7 @@ class Model:
         r = np.random.default_rng(11).permutation(len(texts))
         a, b = r[: len(r) * 4 // 10], r[len(r) * 4 // 10 :]  # words from one part; trees and calibration from the other
         self.lexicon, self.strong = learn_lexicon([texts[i] for i in a], toxic[a])
-        buf, offs = text_buffer(pa.array([texts[i] for i in b], pa.string()))
-        x, y = features(buf, offs, self.lexicon, self.strong), toxic[b]
+        x, y = np.concatenate([features(*text_buffer(pa.array([texts[i] for i in b[lo : lo + 200]], pa.string())), self.lexicon, self.strong) for lo in range(0, len(b), 200)]), toxic[b]
         cut = len(b) * 2 // 3
         self.trees = Trees().fit(x[:cut], y[:cut])
         z = self.trees.margin(x[cut:])
@@ -248,7 +253,7 @@ class Model:
         return np.clip(0.97 * p + 0.03 / (1 + np.exp(-z)), 0, 1)  # the small share orders texts of one step
 
 
-def train(labelled: DataFrame, documents: DataFrame, texts: int = 6000, max_chars: int = 100_000) -> Model | None:
+def train(labelled: DataFrame, documents: DataFrame, texts: int = 5000, max_chars: int = 60_000) -> Model | None:
     """labelled: doc_id, toxic of rows that may be learned from; at most about `texts` of them are read."""
     n = labelled.count()
     rate = min(1.0, texts / max(n, 1))
