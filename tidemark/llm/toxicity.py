@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, NON_WORD, WHITE, U64, range_hashes, row_of, small_batches, spans, table, text_buffer
+from tidemark.llm.jaccard import embed
 from tidemark.llm.language import held_out
 
 # Second-person words of English, German, French and Spanish.
@@ -60,13 +61,23 @@ def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4, most: int = 20
     toxic = np.asarray(toxic) > 0
     if not toxic.any():
         return np.zeros(0, U64), np.zeros(0, U64)
-    found = list(unit_sets([t for t, x in zip(texts, toxic) if x]))
+    # Copies and near copies of one toxic text would make all its words look toxic: one of each group counts.
+    found, seen = [], []
+    for u in unit_sets([t for t, x in zip(texts, toxic) if x]):
+        if len(u):
+            sig = embed(u)
+            if not any((sig == s).mean() > 0.4 for s in seen):
+                seen.append(sig)
+                found.append(u)
+    if not found:
+        return np.zeros(0, U64), np.zeros(0, U64)
+    least = max(least, len(found) // 60)
     h, bad = np.unique(np.concatenate(found), return_counts=True)
     h, bad = h[bad >= least], bad[bad >= least]
     good = np.zeros(len(h), np.int64)
     for u in unit_sets([t for t, x in zip(texts, toxic) if not x]):
         good[np.searchsorted(h, u[member(h, u)])] += 1
-    share = max(toxic.mean(), 1e-6)
+    share = max(len(found) / (len(found) + (~toxic).sum()), 1e-6)
     odds = ((bad + 0.2) / share) / ((good + 0.2) / max(1 - share, 1e-6))
     pick = np.flatnonzero(odds > 30)
     pick = pick[np.argsort(-odds[pick] * np.sqrt(bad[pick]), kind="stable")[:most]]
@@ -235,17 +246,20 @@ class Model:
     def __init__(self, texts, toxic):
         toxic = np.asarray(toxic, float)
         r = np.random.default_rng(11).permutation(len(texts))
-        a, b = r[: len(r) * 4 // 10], r[len(r) * 4 // 10 :]  # words from one part; trees and calibration from the other
-        self.lexicon, self.strong = learn_lexicon([texts[i] for i in a], toxic[a])
-        x, y = np.concatenate([features(*text_buffer(pa.array([texts[i] for i in b[lo : lo + 200]], pa.string())), self.lexicon, self.strong) for lo in range(0, len(b), 200)]), toxic[b]
-        cut = len(b) * 2 // 3
+        a, b = r[: len(r) // 2], r[len(r) // 2 :]
+        x, y = [], []
+        for own, other in ((a, b), (b, a)):  # each half's features from the other half's lexicon
+            lex = learn_lexicon([texts[i] for i in other], toxic[other])
+            x += [features(*text_buffer(pa.array([texts[i] for i in own[lo : lo + 200]], pa.string())), *lex) for lo in range(0, len(own), 200)]
+            y.append(toxic[own])
+        x, y = np.concatenate(x), np.concatenate(y)
+        mixed = np.random.default_rng(12).permutation(len(y))
+        x, y = x[mixed], y[mixed]
+        self.lexicon, self.strong = learn_lexicon(texts, toxic)
+        cut = len(y) * 2 // 3
         self.trees = Trees().fit(x[:cut], y[:cut])
         z = self.trees.margin(x[cut:])
         self.at, self.value = isotonic(z, y[cut:])
-        self.lexicon, self.strong = self._merge(learn_lexicon(texts, toxic))
-
-    def _merge(self, more):
-        return np.union1d(self.lexicon, more[0]), np.union1d(self.strong, more[1])
 
     def score(self, buf, offs):
         z = self.trees.margin(features(buf, offs, self.lexicon, self.strong))
