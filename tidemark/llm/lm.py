@@ -129,7 +129,7 @@ def fit(docs: DataFrame, target: DataFrame, vocab_size: int = 50_000, bits: int
         for (kind, part), x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)])], names=["kind", "part", "data"])
 
-    marked = docs.select("doc_id", F.col("text").cast("string")).join(target.select("doc_id").distinct().withColumn("t", F.lit(0)), "doc_id", "left")
+    marked = docs.select("doc_id", F.col("text").cast("string")).join(target.select("doc_id").distinct().withColumn("t", F.lit(0)).hint("merge"), "doc_id", "left")
     form = "kind int, part int, data binary"
     sums = marked.select("text", F.coalesce("t", F.lit(1)).alias("side")).mapInArrow(count, form).repartition(partitions_for(spark), "kind", "part").mapInArrow(total, form).toArrow()
     out = [np.zeros((2, size), np.int64), np.zeros((2, 1 << bits), np.int64)]
