@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +206,79 @@ def in_bitmap(spark: SparkSession, bits: Bitmap):
 
     shared = spark.sparkContext.broadcast(bits)
     return F.pandas_udf(lambda h: pd.Series(shared.value.has(h.to_numpy().astype(np.int64).view(U64))), "boolean")
+
+
+# ---------------------------------------------------------------- repeated keys
+
+
+class Sieve:
+    """Finds keys that differing owners share, without a row for each key.
+
+    Tasks fold (key, owner) pairs to one entry a key with its least and largest owner and whether any pair was marked,
+    and send them as packed arrays, one row for each range of keys (`ranges`, which grow with the partitions). Where a
+    range meets, keys with two owners or more and a mark set their bits of a bounded Bitmap. Hot keys shrink to an entry
+    a task before they move."""
+
+    FORM = "range int, k binary, a binary, z binary, m binary"
+
+    def __init__(self, spark: SparkSession, bits: int = 26):
+        self.bits, self.partitions = bits, partitions_for(spark)
+        self.ranges = min(16, max(6, int(np.ceil(np.log2(4 * self.partitions)))))
+
+    def pack(self, parts):
+        """parts: iterable of (keys u64, owners i64, marks bool) -> record batches."""
+        held, size = [], 0
+        for p in parts:
+            if len(p[0]):
+                held.append((p[0], p[1], p[1], p[2]))
+                size += len(p[0])
+            if size > 1_500_000:
+                yield self._rows(*self._fold(held))
+                held, size = [], 0
+        if held:
+            yield self._rows(*self._fold(held))
+
+    @staticmethod
+    def _fold(held):
+        k, a, z, m = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.argsort(k)
+        k = k[order]
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        return k[cut], np.minimum.reduceat(a[order], cut), np.maximum.reduceat(z[order], cut), np.maximum.reduceat(m[order].astype(np.uint8), cut)
+
+    def _rows(self, k, a, z, m):
+        which = (k >> U64(64 - self.ranges)).astype(np.int32)
+        ids = np.unique(which)
+        lo, hi = np.searchsorted(which, ids), np.searchsorted(which, ids, "right")
+        cols = [[x[i:j].tobytes() for i, j in zip(lo, hi)] for x in (k, a, z - a, m)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c, pa.binary()) for c in cols]], names=["range", "k", "a", "z", "m"])
+
+    def bitmap(self, packed: DataFrame) -> Bitmap:
+        width = self.bits - self.ranges
+
+        def close(which, held):
+            k, a, z, m = self._fold(held)
+            live = k[(a != z) & (m > 0)]
+            slots = np.zeros(1 << width, np.uint8)
+            slots[((live >> U64(64 - self.bits)) & U64((1 << width) - 1)).astype(np.int64)] = 1
+            return pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([zlib.compress(np.packbits(slots, bitorder="little").tobytes(), 1)]), pa.array([len(live)], pa.int64())], names=["range", "bits", "n"])
+
+        def merge(batches):
+            now, held = None, []
+            for b in batches:
+                for w, k, a, d, m in zip(*(c.to_pylist() for c in b.columns)):
+                    if w != now and held:
+                        yield close(now, held)
+                        held = []
+                    now = w
+                    a = np.frombuffer(a, np.int64)
+                    held.append((np.frombuffer(k, U64), a, a + np.frombuffer(d, np.int64), np.frombuffer(m, np.uint8)))
+            if held:
+                yield close(now, held)
+
+        got = packed.repartition(self.partitions, "range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary, n long").toArrow()
+        words = np.zeros(1 << (self.bits - 3), np.uint8)
+        for w, data in zip(got["range"].to_pylist(), got["bits"].to_pylist()):
+            part = np.frombuffer(zlib.decompress(data), np.uint8)
+            words[w << (width - 3) : (w + 1) << (width - 3)] = part
+        return Bitmap(words.view(U64), self.bits)

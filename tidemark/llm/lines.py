@@ -1,55 +1,104 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines are normalised (ASCII lower case, white space collapsed). A line of `least` characters or more is split into
-edits + 1 segments; two lines within `edits` edits share a segment of one at a place near that in the other, so each
-line is indexed by (length, segment, hash) and probes the indexes of its own and the `edits` shorter lengths. Keys
-that only copies of one line hold are dropped after a summed count; for the others the lines meet, and pairs are
-verified by a bit-parallel edit distance whose band (2 x edits + 1 diagonals) lies in one machine word, over many
-pairs at once.
+Lines are normalised (ASCII lower case, white space collapsed) and compared as UTF-8 bytes. A line of `least` bytes or
+more is split into edits + 1 segments; two lines within `edits` edits share a segment of one at a place near that in the
+other, so each line is indexed by (length, segment, hash) and probes the indexes of its own and the `edits` shorter
+lengths. A sieve drops keys that only copies of one line hold; for the others the lines meet, and pairs are verified by a
+bit-parallel edit distance whose band (2 x edits + 1 diagonals) lies in one machine word, over many pairs at once.
 
 A line goes if an equal or close line comes earlier, by (doc_id, line number); shorter lines only if an equal one
 does. Blank lines stay. Within a key only the verdict of each line leaves the task, never its pairs; lines are tried
-against the earliest first, so a group of many close lines takes about one comparison a line.
+against the earliest first, so a group of many close lines takes about one comparison a line, and a key of many lines is
+dealt as pairs of blocks.
 
 Defined cases: null texts have no lines and stay null; empty texts stay empty; repeated rows (one doc_id twice) are
-one document; an empty table gives no rows; other columns are kept.
+one document; an empty table gives no rows; other columns are kept, but for those named as the three this adds.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, U64, in_bitmap, mix, partitions_for, powers, signed, small_batches, stage, table
-
-
+from tidemark.llm.common import LOWER, WHITE, Bitmap, Sieve, U64, in_bitmap, mix, partitions_for, powers, range_hashes, signed, small_batches, stage, table, text_buffer
 
-def normal(line):
-    return F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x09-\x0D\x20]+", " "))
 
-
-def within(a: list[str], b: list[str], k: int) -> np.ndarray:
-    """Which pairs are within k edits. Bit d of a pair's words stands for diagonal d - k of the edit matrix; the band of
-    2k + 1 diagonals moves down one column at a time, for all pairs at once."""
-    n = len(a)
+def lines_of(buf: np.ndarray, offs: np.ndarray):
+    """(normalised bytes, starts, ends, row and number of each line that is not blank)."""
+    n = len(buf)
     if n == 0:
-        return np.zeros(0, bool)
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = np.zeros(n, bool)
-    live = np.flatnonzero(np.abs(la - lb) <= k)
-    for s in range(0, len(live), 2048):
-        i = live[s : s + 2048]
-        out[i] = _band([a[j] for j in i], [b[j] for j in i], la[i], lb[i], k)
+        z = np.zeros(0, np.int64)
+        return buf, z, z, z, z
+    feed = buf == 10
+    space = WHITE[buf]  # line feeds are among them, so a line cannot begin or end with a space
+    begins = np.zeros(n + 1, bool)
+    begins[offs] = True
+    begins[1:] |= feed
+    line = np.cumsum(begins[:n]) - 1
+    prev = np.concatenate(([True], space[:-1])) | begins[:n]
+    follow = np.concatenate((space[1:], [True])) | begins[1:]
+    # a run of spaces leaves its first one, unless the line begins or ends with the run
+    word = ~space
+    seen = np.cumsum(word)
+    at_begin = np.maximum.accumulate(np.where(begins[:n], np.arange(n), 0))
+    before = seen - (seen[at_begin] - word[at_begin])  # words' bytes so far in this line
+    total = np.bincount(line, word, int(line[-1]) + 1)
+    keep = word | (space & ~feed & ~prev & (before > 0) & (before < total[line]))
+    del follow
+    out, at = LOWER[np.where(space, np.uint8(32), buf)[keep]], line[keep]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(at))
+    which = at[starts]
+    first = np.flatnonzero(begins[:n])[which]
+    row = np.searchsorted(offs, first, "right") - 1
+    feeds = np.concatenate(([0], np.cumsum(feed)))
+    return out, starts, ends, row, feeds[first] - feeds[offs[row]]
+
+
+_OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)
+
+
+def names(buf, starts, ends):
+    """128 bits that name each line."""
+    return range_hashes(buf, starts, ends), range_hashes(_OTHER[buf], starts, ends)
+
+
+def within(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
+    """Which pairs are within k edits. Pairs whose byte counts differ too much are out at once; equal beginnings and ends
+    are cut off; the rest goes through the band."""
+    out = np.zeros(len(a), bool)
+    rest, x, y = [], [], []
+    for i, (p, q) in enumerate(zip(a, b)):
+        if p == q:
+            out[i] = True
+        elif abs(len(p) - len(q)) <= k:
+            u, v = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+            m = min(len(u), len(v))
+            d = np.flatnonzero(u[:m] != v[:m])
+            lo = int(d[0]) if len(d) else m
+            e = np.flatnonzero(u[len(u) - m + lo :] != v[len(v) - m + lo :])
+            cut = m - lo - 1 - int(e[-1]) if len(e) else m - lo
+            p, q = p[lo : len(p) - cut], q[lo : len(q) - cut]
+            if len(p) <= k and len(q) <= k:
+                out[i] = True
+            else:
+                rest.append(i)
+                x.append(p)
+                y.append(q)
+    order = sorted(range(len(rest)), key=lambda i: len(x[i]))
+    for s in range(0, len(order), 1024):
+        part = order[s : s + 1024]
+        p, q = [x[i] for i in part], [y[i] for i in part]
+        out[[rest[i] for i in part]] = _band(p, q, np.array([len(v) for v in p]), np.array([len(v) for v in q]), k)
     return out
 
 
-def _codes(x: list[str], width: int, left: int, fill: int) -> np.ndarray:
-    m = np.full((len(x), width), fill, np.int32)
+def _codes(x: list[bytes], width: int, left: int, fill: int) -> np.ndarray:
+    m = np.full((len(x), width), fill, np.int16)
     for r, s in enumerate(x):
-        m[r, left : left + len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+        m[r, left : left + len(s)] = np.frombuffer(s, np.uint8)
     return np.ascontiguousarray(m.T)
 
 
@@ -85,101 +134,97 @@ def _band(a, b, la, lb, k) -> np.ndarray:
 
 
 class Keys:
-    """Index and probe keys of a batch of lines."""
+    """Index and probe keys of lines."""
 
     def __init__(self, edits: int):
         self.k = edits
 
-    def of(self, lines: list[str]):
-        """line number, key, is_index - by prefix sums over UTF-32 code points."""
-        k, lens = self.k, np.array([len(x) for x in lines], np.int64)
-        if not len(lines):
-            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
-        rows, keys, kinds = [], [], []
-        lo = 0
-        while lo < len(lines):
-            hi, size = lo, 0
-            while hi < len(lines) and (hi == lo or size + lens[hi] < 1 << 19):
-                size += lens[hi]
-                hi += 1
-            code = np.frombuffer("".join(lines[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) + U64(1)
-            pw, inv = powers(len(code) + 1)
-            sums = np.concatenate(([U64(0)], np.cumsum(mix(code) * pw[: len(code)])))
-            L = lens[lo:hi]
-            begin = np.cumsum(L) - L
-            row = np.arange(lo, hi)
-
-            def add(length, seg, at, size, keep, index):
-                s = begin[keep] + at[keep]
-                h = (sums[s + size[keep]] - sums[s]) * inv[s]
-                keys.append(mix(mix(h) + length[keep].astype(U64) * U64(8 * 0x9E3779B1) + U64(seg * 0x85EBCA6B + 7)))
-                rows.append(row[keep])
-                kinds.append(np.full(int(keep.sum()), index))
-
-            for short in range(k + 1):  # length of the indexed line: L - short
+    def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(line, key, whether it is an index key), by prefix sums over the bytes."""
+        k, rows, keys, kinds, lo = self.k, [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, bool)], 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
+            base0 = int(starts[lo])
+            pw, inv = powers(int(ends[hi - 1]) - base0 + 1)
+            code = mix(buf[base0 : int(ends[hi - 1])].astype(U64) + U64(1))
+            sums = np.concatenate(([U64(0)], np.cumsum(code * pw[: len(code)])))
+            begin, L, row = starts[lo:hi] - base0, ends[lo:hi] - starts[lo:hi], np.arange(lo, hi)
+            for short in range(k + 1):  # the indexed line has length L - short
                 length = L - short
                 for seg in range(k + 1):
                     size = length // (k + 1) + (seg >= k + 1 - length % (k + 1))
                     base = seg * (length // (k + 1)) + np.maximum(0, seg - (k + 1 - length % (k + 1)))
-                    left = np.maximum(base - seg, base + short - (k - seg))
-                    right = np.minimum(base + seg, base + short + (k - seg))
-                    for d in range(-k, 2 * k + 1):
+                    for d in range(max(-seg, short - (k - seg)), min(seg, short + (k - seg)) + 1):
                         at = base + d
-                        keep = (at >= left) & (at <= right) & (at >= 0) & (at + size <= L) & (length > k)
-                        own = short == 0 and d == 0
-                        if keep.any():
-                            add(length, seg, at, size, keep, own)
+                        ok = np.flatnonzero((at >= 0) & (at + size <= L) & (length > k))
+                        s = begin[ok] + at[ok]
+                        h = (sums[s + size[ok]] - sums[s]) * inv[s]
+                        keys.append(mix(mix(h) + length[ok].astype(U64) * U64(8 * 0x9E3779B1) + U64(seg * 0x85EBCA6B + 7)))
+                        rows.append(row[ok])
+                        kinds.append(np.full(len(ok), short == 0 and d == 0))
             lo = hi
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
 
 
-def exploded(df: DataFrame) -> DataFrame:
-    """doc_id, row key, line number and normalised text of all lines that are not blank."""
-    return (df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("t", normal("line")).where("t <> ''").select("doc_id", "n", "t"))
+def all_lines(docs: DataFrame) -> DataFrame:
+    """h1, h2, doc_id, n of every line that is not blank."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 250):
+                buf, offs = text_buffer(b.column(1).slice(lo, 250))
+                out, starts, ends, row, n = lines_of(buf, offs)
+                h1, h2 = names(out, starts, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), b.column(0).slice(lo, 250).take(pa.array(row)), pa.array(n.astype(np.int32))], names=["h1", "h2", "doc_id", "n"])
+
+    return docs.mapInArrow(run, f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int")
+
+
+def long_lines(b, least: int):
+    """By pieces of a batch: buffer, starts, ends, names, rows and numbers of the distinct lines of `least` bytes or more."""
+    for lo in range(0, b.num_rows, 250):
+        buf, offs = text_buffer(b.column(1).slice(lo, 250))
+        out, starts, ends, row, n = lines_of(buf, offs)
+        ok = ends - starts >= least
+        starts, ends, row, n = starts[ok], ends[ok], row[ok], n[ok]
+        h1, h2 = names(out, starts, ends)
+        _, keep = np.unique(h1, return_index=True)
+        keep.sort()
+        yield out, starts[keep], ends[keep], h1[keep], h2[keep], row[keep] + lo, n[keep]
 
 
 def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int = 2000) -> DataFrame:
     """(doc_id, n) of all lines that have an equal or close line before them."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
-    # An equal line counts as before if its (doc_id, n) is smaller; 128 bits name a line.
-    lines = exploded(docs).withColumn("h1", F.xxhash64("t")).withColumn("h2", F.xxhash64(F.lit("b"), "t"))
-    firsts = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f")), "line-firsts")
-    keyer = Keys(edits)
-    long_lines = lines.where(F.char_length("t") >= least)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("t")).where("doc_id is not null and t is not null")
+    lines = stage(all_lines(docs), "lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f"))
+    keyer, sieve = Keys(edits), Sieve(spark)
 
-    def emit(batches):
+    def owned(batches):
         for b in batches:
-            rows, keys, kinds = keyer.of(b.column(1).to_pylist())
-            name = np.asarray(b.column(0)).astype(np.int64)
-            short = ((name ^ (name >> 32)) & 0x7FFFFFFF).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(short[rows]), pa.array(kinds)], names=["key", "line", "own"])
+            for buf, starts, ends, h1, *_ in long_lines(b, least):
+                rows, keys, kinds = keyer.of(buf, starts, ends)
+                yield keys, (h1 >> U64(33)).astype(np.int64)[rows], kinds
 
-    counted = long_lines.select("h1", "t").mapInArrow(emit, "key long, line int, own boolean")
-    live = counted.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.bool_or("own").alias("own")).where("a <> z and own").select("key")
-    shared = spark.sparkContext.broadcast(Bitmap.build(live, "key"))
+    shared = spark.sparkContext.broadcast(sieve.bitmap(docs.mapInArrow(lambda batches: sieve.pack(owned(batches)), Sieve.FORM)))
 
     def bring(batches):
-        """The lines under the keys that may be live, each distinct line once for a batch."""
-        bits = shared.value
+        """The lines under the keys that may be live, each distinct line once for a piece."""
         for b in batches:
-            h1, h2, doc, n, text = (c.to_pylist() for c in b.columns)
-            seen, keep = set(), []
-            for i, x in enumerate(zip(h1, h2)):
-                if x not in seen:
-                    seen.add(x)
-                    keep.append(i)
-            rows, keys, kinds = keyer.of([text[i] for i in keep])
-            ok = bits.has(keys)
-            rows, keys, kinds = rows[ok], keys[ok], kinds[ok]
-            at = pa.array(np.array(keep, np.int64)[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(kinds), *[c.take(at) for c in b.columns]], names=["key", "own", "h1", "h2", "doc_id", "n", "t"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    met = long_lines.select("h1", "h2", "doc_id", "n", "t").mapInArrow(bring, f"key long, own boolean, h1 long, h2 long, doc_id {kind}, n int, t string")
-    # Copies of one line under one key shrink to one row before the shuffle and to its first place after it.
-    met = met.groupBy("key", "h1", "h2").agg(F.bool_or("own").alias("own"), F.min(F.struct("doc_id", "n", "t")).alias("m"))
-    met = stage(met.select("key", "own", "h1", "h2", "m.doc_id", "m.n", "m.t"), "line-met")
+            for buf, starts, ends, h1, h2, row, n in long_lines(b, least):
+                rows, keys, kinds = keyer.of(buf, starts, ends)
+                ok = shared.value.has(keys)
+                rows, keys, kinds = rows[ok], keys[ok], kinds[ok]
+                raw = buf.tobytes()
+                text = pa.array([raw[a:z] for a, z in zip(starts[rows].tolist(), ends[rows].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(kinds), pa.array(signed(h1[rows])), pa.array(signed(h2[rows])), text], names=["key", "own", "h1", "h2", "t"])
+
+    met = docs.mapInArrow(bring, "key long, own boolean, h1 long, h2 long, t binary")
+    # Copies of one line under a key become one row, and then get the line's first place.
+    met = met.groupBy("key", "h1", "h2").agg(F.bool_or("own").alias("own"), F.first("t").alias("t"))
+    met = stage(met.join(firsts, ["h1", "h2"]).select("key", "own", "h1", "h2", "f.doc_id", "f.n", "t"), "line-met")
     # A key of many lines is dealt as pairs of blocks, so no task holds more than two blocks of it.
     large = met.groupBy("key").count().where(F.col("count") > 2 * block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     mine = F.pmod(F.col("h1"), F.col("nb")).cast("int")
@@ -188,64 +233,87 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     met = met.repartition(partitions_for(spark), "key", "pair").sortWithinPartitions("key", "pair", "doc_id", "n")
 
     def verify(batches):
-        pend_key, pend = None, []
-        out = []
+        now, held, small, out = None, [], [], []
 
         def close():
-            if len(pend) > 1 and any(r[1] for r in pend):
-                out.extend(late(pend, edits))
+            if len(held) < 2 or not any(r[1] for r in held):
+                return
+            if len(held) <= 12:  # pairs of small groups wait for company
+                for i in range(1, len(held)):
+                    small.extend((held[i], held[j]) for j in range(i) if held[i][1] or held[j][1])
+                if len(small) > 20_000:
+                    flush()
+            else:
+                out.extend(late(held, edits))
+
+        def flush():
+            if small:
+                ok = likely([p[6] for p, _ in small], [q[6] for _, q in small], edits)
+                some = [small[i] for i in np.flatnonzero(ok)]
+                good = within([p[6] for p, _ in some], [q[6] for _, q in some], edits)
+                out.extend({(some[i][0][2], some[i][0][3]) for i in np.flatnonzero(good)})
+                small.clear()
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if (r[0], r[7]) != pend_key:
+                if (r[0], r[7]) != now:
                     close()
-                    pend_key, pend = (r[0], r[7]), []
-                pend.append(r)
+                    now, held = (r[0], r[7]), []
+                held.append(r)
             yield pack(out)
             out.clear()
         close()
+        flush()
         yield pack(out)
 
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["h1", "h2"])
 
     close_ones = met.mapInArrow(verify, "h1 long, h2 long").distinct().withColumn("close", F.lit(True))
-    # The first place of each line, if a close line is before it, else the places after the first.
+    # All places of a line with a close one before its first place; else its places after the first.
     flagged = firsts.join(close_ones, ["h1", "h2"], "left")
-    again = lines.select("doc_id", "n", "h1", "h2").join(flagged, ["h1", "h2"]).where("close or struct(doc_id, n) <> f")
-    return again.select("doc_id", "n")
+    return lines.join(flagged, ["h1", "h2"]).where("close or struct(doc_id, n) <> f").select("doc_id", "n")
+
+
+def counts(x: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(x), 64), np.int32)
+    for r, s in enumerate(x):
+        out[r] = np.bincount(np.frombuffer(s, np.uint8) & 63, minlength=64)
+    return out
+
+
+def likely(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
+    """Pairs whose byte counts differ by no more than k edits could make them."""
+    out = np.zeros(len(a), bool)
+    for s in range(0, len(a), 4096):
+        out[s : s + 4096] = np.abs(counts(a[s : s + 4096]) - counts(b[s : s + 4096])).sum(1) <= 2 * k
+    return out
 
 
 def late(group, k: int):
     """Names (h1, h2) of the lines of a key, sorted by first place, with a close line before them. Block by block
     against the earliest lines first; a line found late is not tried again, but others are tried against it."""
-    text = [r[6] for r in group]
-    own = np.array([r[1] for r in group])
-    open_ = np.arange(1, len(group))
-    found = np.zeros(len(group), bool)
+    text, own = [r[6] for r in group], np.array([r[1] for r in group])
+    have = counts(text)
+    open_, found = np.arange(1, len(group)), np.zeros(len(group), bool)
     step, lo = 1, 0
     while len(open_) and lo < len(group):
         hi = min(len(group), lo + step)
-        for c in range(0, len(open_), max(1, 200_000 // (hi - lo))):
-            part = open_[c : c + max(1, 200_000 // (hi - lo))]
+        width = max(1, 100_000 // (hi - lo))
+        for c in range(0, len(open_), width):
+            part = open_[c : c + width]
             i, j = np.repeat(part, hi - lo), np.tile(np.arange(lo, hi), len(part))
             ok = (j < i) & (own[i] | own[j])
             i, j = i[ok], j[ok]
+            ok = np.abs(have[i] - have[j]).sum(1) <= 2 * k
+            i, j = i[ok], j[ok]
             if len(i):
-                good = within([text[x] for x in i], [text[x] for x in j], k)
-                found[i[good]] = True
+                found[i[within([text[x] for x in i], [text[x] for x in j], k)]] = True
         open_ = open_[~found[open_] & (open_ > lo)]
         lo, step = hi, min(64, step * 4)
     return [(group[i][2], group[i][3]) for i in np.flatnonzero(found)]
 
 
-def drop_lines(text: str | None, gone) -> str | None:
-    if text is None or gone is None or not len(gone):
-        return text
-    bad = set(gone)
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in bad)
-
-
 def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24) -> DataFrame:
     """docs with `text` without its late lines, and n_lines, n_removed, removed (line numbers, in order)."""
     spark = docs.sparkSession

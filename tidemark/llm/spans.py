@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, U64, in_bitmap, mix, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer, window_hashes
+from tidemark.llm.common import Bitmap, Sieve, U64, in_bitmap, mix, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer, window_hashes
 
 PART = 5
 
@@ -63,25 +63,19 @@ def repeated_edges(docs: DataFrame, k: int) -> DataFrame:
     """h1, h2, doc_id, start of every window that may repeat. docs: doc_id, t, without late copies."""
     spark = docs.sparkSession
 
-    def sieve(batches):
+    sieve = Sieve(spark)
+
+    def owned(batches):
         for b in batches:
-            got = []
             for lo in range(0, b.num_rows, 250):
                 buf, offs = text_buffer(b.column(1).slice(lo, 250))
                 ids = np.asarray(b.column(0).slice(lo, 250))
                 rows, _, low, _, _ = windows(buf, offs, k)
                 if len(low):
                     new = np.concatenate(([True], (low[1:] != low[:-1]) | (rows[1:] != rows[:-1])))
-                    got.append((low[new], ids[rows[new]]))
-            if got:
-                h, t = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-                order = np.argsort(h, kind="stable")  # one row a part and batch, with its least and largest document
-                h, t = h[order], t[order]
-                cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[cut])), pa.array(np.minimum.reduceat(t, cut)), pa.array(np.maximum.reduceat(t, cut))], names=["h", "a", "z"])
-
-    parts = docs.mapInArrow(sieve, "h long, a long, z long").groupBy("h").agg(F.min("a").alias("a"), F.max("z").alias("z")).where("a <> z")
-    shared = spark.sparkContext.broadcast(Bitmap.build(parts.select("h"), "h"))
+                    yield low[new], ids[rows[new]], np.ones(int(new.sum()), bool)
+
+    shared = spark.sparkContext.broadcast(sieve.bitmap(docs.mapInArrow(lambda batches: sieve.pack(owned(batches)), Sieve.FORM)))
 
     def edges(batches):
         for b in batches:
