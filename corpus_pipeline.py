@@ -26,13 +26,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: the least doc_id."""
     verdict = stage(jaccard.join(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id").distinct(), "near")
-    return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(verdict.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     hits = stage(decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hits.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,12 +60,19 @@ def embed(s: np.ndarray) -> np.ndarray:
     full = (at < len(s)) & (v >> U64(57) == np.arange(T, dtype=U64))
     pos = np.flatnonzero(full)
     src = pos[np.searchsorted(pos, np.arange(T)) % len(pos)]
-    return (mix(v[src] + ((np.arange(T) - src) % T).astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFF)).astype(np.uint16)
+    return mix(v[src] + ((np.arange(T) - src) % T).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, number of shingles, 128-bit set hash and embedding; sets without a shingle are left out."""
+def short(v: np.ndarray) -> np.ndarray:
+    """The embedding as it is compared: 16 bits a slot."""
+    return (v & U64(0xFFFF)).astype(np.uint16)
+
+
+def profiles(docs: DataFrame, k: int, similarity: float, recall: float) -> DataFrame:
+    """doc_id, number of shingles, 128-bit set hash, embedding, and the paths of every run's first level (chosen by the
+    minimum hashes in full, so that texts without a common shingle do not meet); sets without a shingle are left out."""
     small_batches(docs.sparkSession, 1000)
+    start = mix(np.arange(runs_for(recall), dtype=U64) + U64(1))
 
     def run(batches):
         for b in batches:
@@ -74,11 +81,13 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 ids = b.column(0).slice(lo, 200).to_pylist()
                 for i, s in zip(ids, shingle_sets(b.column(1).slice(lo, 200), k)):
                     if len(s) and i is not None:
-                        out.append((i, len(s), int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(s ^ U64(0xABCDEF)).sum(keepdims=True))[0]), embed(s).tobytes()))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["doc_id", "n", "k1", "k2", "sig"])
+                        v = embed(s)
+                        paths = follow(mix(v + _SLOT), start, similarity)[1]
+                        out.append((i, len(s), int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(s ^ U64(0xABCDEF)).sum(keepdims=True))[0]), short(v).tobytes(), signed(np.unique(paths))))
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])], names=["doc_id", "n", "k1", "k2", "sig", "paths"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, k1 long, k2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, k1 long, k2 long, sig binary, paths array<long>")
 
 
 def tokens(sig: bytes) -> np.ndarray:
@@ -126,7 +135,7 @@ def blocks_of(df: DataFrame, key: str, size: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     pairs = F.when(F.col("nb").isNull(), F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("bi"), F.greatest(o, mine).alias("bj"), mine.alias("blk"))))
-    return df.join(large, key, "left").withColumn("p", F.explode(pairs)).select(*df.columns, "p.bi", "p.bj", "p.blk")
+    return df.join(large.hint("merge"), key, "left").withColumn("p", F.explode(pairs)).select(*df.columns, "p.bi", "p.bj", "p.blk")
 
 
 def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -157,25 +166,24 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.repartition(partitions_for(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def similar_forest(classes: DataFrame, similarity: float, recall: float, bucket: int = 1500, depth: int = 5) -> DataFrame:
-    """Edges (a, b) of a forest that joins all classes that may be similar. classes: id, n, sig."""
-    start = mix(np.arange(runs_for(recall), dtype=U64) + U64(1))
+def similar_forest(classes: DataFrame, similarity: float, bucket: int = 1500, depth: int = 5) -> DataFrame:
+    """Edges (a, b) of a forest that joins all classes that may be similar. classes: id, n, sig, paths."""
 
     def split(batches):
         for b in batches:
             ids, paths = [], []
             for i, sig, p in zip(b.column("id").to_pylist(), b.column("sig").to_pylist(), b.column("path").to_pylist()):
-                _, child = follow(tokens(sig), start if p is None else np.array([p]).view(U64), similarity)
+                _, child = follow(tokens(sig), np.array([p]).view(U64), similarity)
                 ids.append(np.full(len(child), i, np.int64))
                 paths.append(child)
             ids, paths = (np.concatenate(x) if x else np.zeros(0, U64) for x in (ids, paths))
             yield pa.RecordBatch.from_arrays([pa.array(signed(paths)), pa.array(ids.astype(np.int64))], names=["path", "id"])
 
-    rows = stage(classes.select("id", "sig", F.lit(None).cast("long").alias("path")).mapInArrow(split, "path long, id long"), "paths")
+    rows = classes.select(F.explode("paths").alias("path"), "id")
     leaves = None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("path", "c")
-        shared = stage(rows.join(sizes, "path"), "paths-shared")
+        shared = stage(rows.join(sizes.hint("merge"), "path"), "paths-shared")
         small = (shared if level == depth else shared.where(F.col("c") <= bucket)).select("path", "id")
         leaves = small if leaves is None else leaves.union(small)
         large = shared.where(F.col("c") > bucket)
@@ -207,7 +215,7 @@ def similar_forest(classes: DataFrame, similarity: float, recall: float, bucket:
                 pj.append(hit)
         return forest(np.concatenate(pi), np.concatenate(pj), ids)
 
-    dealt = blocks_of(stage(leaves, "leaves"), "path", bucket).join(classes.select("id", "n", "sig"), "id").select("path", "id", "bi", "bj", "blk", "n", "sig")
+    dealt = blocks_of(stage(leaves, "leaves"), "path", bucket).join(classes.select("id", "n", "sig").hint("merge"), "id").select("path", "id", "bi", "bj", "blk", "n", "sig")
     return grouped(dealt, ["path", "bi", "bj"], brute, "a long, b long").distinct()
 
 
@@ -236,9 +244,9 @@ def jaccard_matrix(sets) -> np.ndarray:
 def join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0.999, block: int = 400) -> DataFrame:
     """doc_id, class_id (least doc_id of the component of similar documents), links (documents similar to it)."""
     spark = docs.sparkSession
-    prof = stage(profiles(docs, k), "profiles")
-    classes = stage(prof.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    loose = components(similar_forest(classes, similarity, recall))
+    prof = stage(profiles(docs, k, similarity, recall), "profiles")
+    classes = stage(prof.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
+    loose = components(similar_forest(classes, similarity))
     members = stage(loose.join(classes.select("id", "copies"), "id").select("id", F.col("label").alias("comp"), "copies"), "members")
     shared = spark.sparkContext.broadcast(Bitmap.build(members.select(F.xxhash64("id").alias("h")), "h", 24))
 
@@ -248,7 +256,7 @@ def join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["id", "text"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).where("id is not null").mapInArrow(may, "id long, text string")
-    texts = texts.join(members, "id").groupBy("id").agg(F.first("comp").alias("comp"), F.first("copies").alias("copies"), F.first("text").alias("text"))
+    texts = texts.join(members.hint("merge"), "id").groupBy("id").agg(F.first("comp").alias("comp"), F.first("copies").alias("copies"), F.first("text").alias("text"))
     dealt = blocks_of(stage(texts.select("comp", "id", "copies", "text"), "member-texts"), "comp", block)
 
     def verify(held):
@@ -271,8 +279,8 @@ def join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     verdict = classes.select("k1", "k2", "id", "copies").join(links, "id", "left").join(label, "id", "left").select(
         "k1", "k2", F.coalesce("label", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    known = prof.select("doc_id", "k1", "k2").join(verdict, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
-    return docs.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    known = prof.select("doc_id", "k1", "k2").join(verdict.hint("merge"), ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    return docs.select("doc_id").join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def op6_jaccard(spark, sf_dir):

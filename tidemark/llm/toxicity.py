@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, NON_WORD, WHITE, U64, range_hashes, row_of, small_batches, spans, table, text_buffer
-from tidemark.llm.jaccard import embed
+from tidemark.llm.jaccard import embed, short
 from tidemark.llm.language import held_out
 
 # Second-person words of English, German, French and Spanish.
@@ -65,7 +65,7 @@ def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4, most: int = 20
     found, seen = [], []
     for u in unit_sets([t for t, x in zip(texts, toxic) if x]):
         if len(u):
-            sig = embed(u)
+            sig = short(embed(u))
             if not any((sig == s).mean() > 0.4 for s in seen):
                 seen.append(sig)
                 found.append(u)
