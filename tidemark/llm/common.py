@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE = 1 << 22  # bytes hashed at a time; bounds the temporary arrays
+SLICE = 1 << 18  # bytes hashed at a time; bounds the temporary arrays and keeps them in cache
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ _POW: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
-        m = max(n, SLICE + (1 << 16))
+        m = max(n, SLICE + (1 << 14))
         with np.errstate(over="ignore"):
             _POW[:] = [np.cumprod(np.concatenate(([U64(1)], np.full(m - 1, b, U64)))) for b in (BASE, BASE_INV)]
     return _POW[0], _POW[1]

@@ -56,7 +56,7 @@ def late_copies(docs: DataFrame) -> DataFrame:
     """doc_id of every document whose whole text a smaller document has: its windows all repeat, so it needs no edges."""
     d = docs.select("doc_id", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit("b"), "t").alias("k2"))
     first = d.groupBy("k1", "k2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("z")).where("src <> z")
-    return d.join(first, ["k1", "k2"]).where("doc_id <> src").groupBy("doc_id").agg(F.min("src").alias("src"))
+    return d.join(first.hint("merge"), ["k1", "k2"]).where("doc_id <> src").groupBy("doc_id").agg(F.min("src").alias("src"))
 
 
 def repeated_edges(docs: DataFrame, k: int) -> DataFrame:
@@ -104,10 +104,10 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     late = stage(late_copies(docs), "late-copies")
     is_late = in_bitmap(spark, Bitmap.build(late.select(F.xxhash64("doc_id").alias("h")), "h", 24))
     marked = docs.withColumn("late", is_late(F.xxhash64("doc_id")))
-    own = marked.where("not late").select("doc_id", "t").unionByName(marked.where("late").select("doc_id", "t").join(late, "doc_id", "left_anti"))
+    own = marked.where("not late").select("doc_id", "t").unionByName(marked.where("late").select("doc_id", "t").join(late.hint("merge"), "doc_id", "left_anti"))
     e = stage(repeated_edges(own, k), "edges")
     sources = e.groupBy("h1", "h2").agg(F.max("doc_id").alias("z"), F.min(F.struct("doc_id", "start")).alias("s")).where("s.doc_id <> z").select("h1", "h2", F.col("s.doc_id").alias("src"), F.col("s.start").alias("src_at"))
-    again = e.join(sources, ["h1", "h2"]).where("doc_id > src").select("doc_id", "start", "src", "src_at")
+    again = e.join(sources.hint("merge"), ["h1", "h2"]).where("doc_id > src").select("doc_id", "start", "src", "src_at")
     paths = again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src", "src_at")).alias("edges")).mapInArrow(compact(k), "doc_id long, spans array<struct<at:int,n:int,src:long,src_at:int>>")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(WHOLE).alias("n"), F.col("src"), F.lit(0).alias("src_at")))
     return paths.unionByName(late.select("doc_id", whole.alias("spans")))
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
             yield from apply(b, b.column(2).to_pylist() if b.num_columns == 3 else None)
 
     plain = marked.where("not hit").select("doc_id", "t").mapInArrow(finish, OUT)
-    moved = marked.where("hit").select("doc_id", "t").join(found, "doc_id", "left").select("doc_id", "t", F.coalesce("spans", none).alias("spans"))
+    moved = marked.where("hit").select("doc_id", "t").join(found.hint("merge"), "doc_id", "left").select("doc_id", "t", F.coalesce("spans", none).alias("spans"))
     return plain.unionByName(moved.mapInArrow(finish, OUT))
 
 
