@@ -22,39 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, WHITE, Bitmap, Sieve, U64, in_bitmap, mix, partitions_for, powers, range_hashes, signed, small_batches, stage, table, text_buffer
+from tidemark.llm.common import LOWER, WHITE, Bitmap, Sieve, U64, in_bitmap, mix, partitions_for, powers, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer
+
+
+NORMAL = np.where(WHITE, np.uint8(32), LOWER)
 
 
 def lines_of(buf: np.ndarray, offs: np.ndarray):
     """(normalised bytes, starts, ends, row and number of each line that is not blank)."""
-    n = len(buf)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return buf, z, z, z, z
-    feed = buf == 10
-    space = WHITE[buf]  # line feeds are among them, so a line cannot begin or end with a space
-    begins = np.zeros(n + 1, bool)
-    begins[offs] = True
-    begins[1:] |= feed
-    line = np.cumsum(begins[:n]) - 1
-    prev = np.concatenate(([True], space[:-1])) | begins[:n]
-    follow = np.concatenate((space[1:], [True])) | begins[1:]
-    # a run of spaces leaves its first one, unless the line begins or ends with the run
-    word = ~space
-    seen = np.cumsum(word)
-    at_begin = np.maximum.accumulate(np.where(begins[:n], np.arange(n), 0))
-    before = seen - (seen[at_begin] - word[at_begin])  # words' bytes so far in this line
-    total = np.bincount(line, word, int(line[-1]) + 1)
-    keep = word | (space & ~feed & ~prev & (before > 0) & (before < total[line]))
-    del follow
-    out, at = LOWER[np.where(space, np.uint8(32), buf)[keep]], line[keep]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(at))
-    which = at[starts]
-    first = np.flatnonzero(begins[:n])[which]
-    row = np.searchsorted(offs, first, "right") - 1
-    feeds = np.concatenate(([0], np.cumsum(feed)))
-    return out, starts, ends, row, feeds[first] - feeds[offs[row]]
+    starts, ends, first = spans(buf, offs)
+    z = np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint8), z, z, z, z
+    rows, feeds, out = row_of(first, len(starts)), np.flatnonzero(buf == 10), NORMAL[buf]
+    line = np.searchsorted(feeds, starts)
+    new = np.concatenate(([True], (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])))
+    wide = np.where(new, 0, starts - np.concatenate(([0], ends[:-1])) - 1)  # white space beyond one before a word
+    if (wide > 0).any():
+        w = np.flatnonzero(wide > 0)
+        gone = np.zeros(len(buf) + 1, np.int32)
+        np.add.at(gone, starts[w] - wide[w], 1)
+        np.add.at(gone, starts[w], -1)
+        out, shift = out[np.cumsum(gone)[:-1] == 0], np.cumsum(wide)
+        starts, ends = starts - shift, ends - shift
+    at = np.flatnonzero(new)
+    row = rows[at]
+    return out, starts[at], ends[np.append(at[1:], len(starts)) - 1], row, line[at] - np.searchsorted(feeds, offs[row])
 
 
 _OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)
@@ -133,6 +126,9 @@ def _band(a, b, la, lb, k) -> np.ndarray:
     return ((R[k] >> d) & 1).astype(bool)
 
 
+_CODE = mix(np.arange(1, 257, dtype=U64))
+
+
 class Keys:
     """Index and probe keys of lines."""
 
@@ -143,10 +139,10 @@ class Keys:
         """(line, key, whether it is an index key), by prefix sums over the bytes."""
         k, rows, keys, kinds, lo = self.k, [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, bool)], 0
         while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 18), "right")))
             base0 = int(starts[lo])
             pw, inv = powers(int(ends[hi - 1]) - base0 + 1)
-            code = mix(buf[base0 : int(ends[hi - 1])].astype(U64) + U64(1))
+            code = _CODE[buf[base0 : int(ends[hi - 1])]]
             sums = np.concatenate(([U64(0)], np.cumsum(code * pw[: len(code)])))
             begin, L, row = starts[lo:hi] - base0, ends[lo:hi] - starts[lo:hi], np.arange(lo, hi)
             for short in range(k + 1):  # the indexed line has length L - short
@@ -181,16 +177,16 @@ def all_lines(docs: DataFrame) -> DataFrame:
 
 
 def long_lines(b, least: int):
-    """By pieces of a batch: buffer, starts, ends, names, rows and numbers of the distinct lines of `least` bytes or more."""
+    """By pieces of a batch: buffer, starts, ends and hashes of the distinct lines of `least` bytes or more."""
     for lo in range(0, b.num_rows, 250):
         buf, offs = text_buffer(b.column(1).slice(lo, 250))
-        out, starts, ends, row, n = lines_of(buf, offs)
+        out, starts, ends, *_ = lines_of(buf, offs)
         ok = ends - starts >= least
-        starts, ends, row, n = starts[ok], ends[ok], row[ok], n[ok]
-        h1, h2 = names(out, starts, ends)
+        starts, ends = starts[ok], ends[ok]
+        h1 = range_hashes(out, starts, ends)
         _, keep = np.unique(h1, return_index=True)
         keep.sort()
-        yield out, starts[keep], ends[keep], h1[keep], h2[keep], row[keep] + lo, n[keep]
+        yield out, starts[keep], ends[keep], h1[keep]
 
 
 def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int = 2000) -> DataFrame:
@@ -204,7 +200,7 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
 
     def owned(batches):
         for b in batches:
-            for buf, starts, ends, h1, *_ in long_lines(b, least):
+            for buf, starts, ends, h1 in long_lines(b, least):
                 rows, keys, kinds = keyer.of(buf, starts, ends)
                 yield keys, (h1 >> U64(33)).astype(np.int64)[rows], kinds
 
@@ -213,23 +209,25 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     def bring(batches):
         """The lines under the keys that may be live, each distinct line once for a piece."""
         for b in batches:
-            for buf, starts, ends, h1, h2, row, n in long_lines(b, least):
+            for buf, starts, ends, h1 in long_lines(b, least):
                 rows, keys, kinds = keyer.of(buf, starts, ends)
                 ok = shared.value.has(keys)
                 rows, keys, kinds = rows[ok], keys[ok], kinds[ok]
+                some = np.unique(rows)
+                h2 = range_hashes(_OTHER[buf], starts[some], ends[some])[np.searchsorted(some, rows)]
                 raw = buf.tobytes()
                 text = pa.array([raw[a:z] for a, z in zip(starts[rows].tolist(), ends[rows].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(kinds), pa.array(signed(h1[rows])), pa.array(signed(h2[rows])), text], names=["key", "own", "h1", "h2", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(kinds), pa.array(signed(h1[rows])), pa.array(signed(h2)), text], names=["key", "own", "h1", "h2", "t"])
 
     met = docs.mapInArrow(bring, "key long, own boolean, h1 long, h2 long, t binary")
     # Copies of one line under a key become one row, and then get the line's first place.
     met = met.groupBy("key", "h1", "h2").agg(F.bool_or("own").alias("own"), F.first("t").alias("t"))
-    met = stage(met.join(firsts, ["h1", "h2"]).select("key", "own", "h1", "h2", "f.doc_id", "f.n", "t"), "line-met")
+    met = stage(met.join(firsts.hint("merge"), ["h1", "h2"]).select("key", "own", "h1", "h2", "f.doc_id", "f.n", "t"), "line-met")
     # A key of many lines is dealt as pairs of blocks, so no task holds more than two blocks of it.
     large = met.groupBy("key").count().where(F.col("count") > 2 * block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     mine = F.pmod(F.col("h1"), F.col("nb")).cast("int")
     pairs = F.when(F.col("nb").isNull(), F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.concat_ws(",", F.least(o, mine), F.greatest(o, mine))))
-    met = met.join(large, "key", "left").withColumn("pair", F.explode(pairs)).select("key", "own", "h1", "h2", "doc_id", "n", "t", "pair")
+    met = met.join(large.hint("merge"), "key", "left").withColumn("pair", F.explode(pairs)).select("key", "own", "h1", "h2", "doc_id", "n", "t", "pair")
     met = met.repartition(partitions_for(spark), "key", "pair").sortWithinPartitions("key", "pair", "doc_id", "n")
 
     def verify(batches):
@@ -271,8 +269,8 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
 
     close_ones = met.mapInArrow(verify, "h1 long, h2 long").distinct().withColumn("close", F.lit(True))
     # All places of a line with a close one before its first place; else its places after the first.
-    flagged = firsts.join(close_ones, ["h1", "h2"], "left")
-    return lines.join(flagged, ["h1", "h2"]).where("close or struct(doc_id, n) <> f").select("doc_id", "n")
+    flagged = firsts.join(close_ones.hint("merge"), ["h1", "h2"], "left")
+    return lines.join(flagged.hint("merge"), ["h1", "h2"]).where("close or struct(doc_id, n) <> f").select("doc_id", "n")
 
 
 def counts(x: list[bytes]) -> np.ndarray:
@@ -326,7 +324,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24) -> DataFrame:
     cut = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("removed"), s.i)), lambda s: s.x), "\n")
     total = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     cols = [c for c in base.columns if c != "text"]
-    hit = marked.where("__hit").drop("__hit").join(gone, "doc_id", "left")
+    hit = marked.where("__hit").drop("__hit").join(gone.hint("merge"), "doc_id", "left")
     out = [F.when(F.col("removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut).alias("text")]
     rest = marked.where("not __hit").drop("__hit").withColumn("removed", F.lit(None).cast("array<int>"))
     both = hit.select(*base.columns, "removed").unionByName(rest)
