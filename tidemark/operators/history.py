@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCOPE = ["window_name", "key", "partition_id"]
-ORDER = ["window_name", "key", F.col("source").asc_nulls_first(), F.col("partition_id").asc_nulls_first(), "start_position", F.col("end_position").asc_nulls_last(), "record_id"]
 
 
 class Query:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 LANE = ["key", "source", "partition_id"]
 
@@ -90,7 +91,7 @@ def stabilise(obs: DataFrame, enter_after: int = 1, exit_after: int = 1) -> Data
 def stabilise_two(obs: DataFrame, enter: str, leave: str, enter_after: int = 1, exit_after: int = 1) -> DataFrame:
     """Debounce with independent enter and exit predicates (they may hold together): one pass over each lane."""
     out = obs.drop("active")
-    schema = out.schema.add("active", "boolean")
+    schema = StructType([*out.schema.fields, StructField("active", BooleanType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)

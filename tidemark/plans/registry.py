@@ -23,11 +23,12 @@ def definition(name="HighValue", active=None, segmented=False):
     return record.WindowDefinition(name, F.col("value") > 20 if active is None else active, F.col("user_id"), lane, F.col("user_id") % 4, {"phase": phase} if segmented else {}, {}, {"type": F.col("event_type")}, F.col("ts"))
 
 
-POS = F.col("event_id") + 1
+def POS():
+    return F.col("event_id") + 1
 
 
 def obs(spark, d, **kw):
-    return record.observe(events(spark, d), POS, definition(**kw))
+    return record.observe(events(spark, d), POS(), definition(**kw))
 
 
 def windows(spark, d, **kw):
@@ -97,10 +98,14 @@ def query(name, sql=None):
     return add
 
 
-WCOLS = ["key", "source", F.col("partition_id").alias("part"), F.col("start_position").alias("s"), F.col("end_position").alias("e")]
-query("rec_windows", W + " select key, source, part, s, e, tag from w")(lambda s, d: windows(s, d).select(*WCOLS, F.col("tags")[0]["value"].alias("tag")))
+def WCOLS():
+    return ["key", "source", F.col("partition_id").alias("part"), F.col("start_position").alias("s"), F.col("end_position").alias("e")]
+
+
+
+query("rec_windows", W + " select key, source, part, s, e, tag from w")(lambda s, d: windows(s, d).select(*WCOLS(), F.col("tags")[0]["value"].alias("tag")))
 query("rec_windows_segmented", "with " + BASE + win(seg=True) + " select key, source, part, s, e, ctx as phase, case when e is null then null when nxt is null then 'ActivePredicateEnded' else 'SegmentChanged' end as reason from w")(
-    lambda s, d: windows(s, d, segmented=True).select(*WCOLS, F.col("segments")[0]["value"].alias("phase"), F.col("boundary_reason").alias("reason")))
+    lambda s, d: windows(s, d, segmented=True).select(*WCOLS(), F.col("segments")[0]["value"].alias("phase"), F.col("boundary_reason").alias("reason")))
 query("rec_windows_event_time", W + " select key, source, s, epoch_us(st_ts) as start_us, epoch_us(e_ts) as end_us from w")(
     lambda s, d: windows(s, d).select("key", "source", F.col("start_position").alias("s"), F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us")))
 query("rec_transitions", W + " select key, source, pos, kind from (select key, source, s as pos, 'Opened' as kind from w union all select key, source, e, 'Closed' from w where e is not null)")(
@@ -162,9 +167,15 @@ j as (select t.rid, t.key, t.{p} as tp, g.{p} as gp, g.rid as gid, abs(t.{p} - g
 m as (select *, row_number() over (partition by rid order by dist, gid) as rn, count(*) over (partition by rid, dist) as ties from j),
 l as (select key, rid, tp - gp as delta, gid as against_id, case when gp is null then 'MissingComparison' when tp < gp then 'TargetLeads' when tp > gp then 'TargetLags' else 'Equal' end as direction, gp is not null and dist <= 50 as within_tolerance from m where rn = 1)
 """
-LL = ["key", F.col("record_id").alias("rid"), "delta", "against_id", "direction", "within_tolerance"]
-query("cmp_leadlag_start", NEAR.format(p="a") + " select * from l")(lambda s, d: comp(s, d).lead_lag("Start", 50).select(*LL))
-query("cmp_leadlag_end", NEAR.format(p="b") + " select * from l")(lambda s, d: comp(s, d).lead_lag("End", 50).select(*LL))
+
+
+def LL():
+    return ["key", F.col("record_id").alias("rid"), "delta", "against_id", "direction", "within_tolerance"]
+
+
+
+query("cmp_leadlag_start", NEAR.format(p="a") + " select * from l")(lambda s, d: comp(s, d).lead_lag("Start", 50).select(*LL()))
+query("cmp_leadlag_end", NEAR.format(p="b") + " select * from l")(lambda s, d: comp(s, d).lead_lag("End", 50).select(*LL()))
 query("cmp_leadlag_summary", NEAR.format(p="a") + """ select count(*) as row_count, count(*) filter (direction = 'TargetLeads') as leads, count(*) filter (direction = 'TargetLags') as lags, count(*) filter (direction = 'Equal') as equal,
   count(*) filter (direction = 'MissingComparison') as missing, count(*) filter (not within_tolerance and direction <> 'MissingComparison') as outside_tolerance, min(delta) as min_delta, max(delta) as max_delta from l""")(lambda s, d: comp(s, d).lead_lag_summary("Start", 50))
 ASOF = W + CLIP + """, t as (select * from n where source = 'lane-a'), g as (select * from n where source = 'lane-b'),
@@ -194,7 +205,7 @@ query("matrix_sources", PAIRS)(lambda s, d: compare.source_matrix(windows(s, d).
 
 
 def families(s, d):
-    return record.record_families(events(s, d), POS, [definition(), definition("Error", F.col("event_type") == "error"), definition("Purchase", F.col("event_type") == "purchase"), definition("Signup", F.col("event_type") == "signup")])
+    return record.record_families(events(s, d), POS(), [definition(), definition("Error", F.col("event_type") == "error"), definition("Purchase", F.col("event_type") == "purchase"), definition("Signup", F.col("event_type") == "signup")])
 
 
 HIER = "with " + BASE + win("w") + "," + win("z", "event_type = 'error'") + """, pa as (select * from w where e is not null), ch as (select * from z where e is not null),
@@ -234,10 +245,9 @@ rn as (select parent, source, pos, sum(case when active then 1 else 0 end - case
 st as (select parent, source, part_, pos, ({rule}) as act from rn), c as (select *, lag(act, 1, false) over (partition by parent, source, part_ order by pos) as pa from st), dd as (select * from c where act <> pa)
 select parent as key, source, part_ as part, s, e from (select parent, source, part_, pos as s, lead(pos) over (partition by parent, source, part_ order by pos) as e, act from dd) where act"""
 RUP = RUP.replace("source, active, lag", "source, part as part_, active, lag").replace("rn as (select parent, source, pos", "rn as (select parent, source, part_, pos")
-RW = [*WCOLS]
-query("rup_any", RUP.format(m=10, rule="a > 0"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active).select(*RW))
-query("rup_all", RUP.format(m=10, rule="t > 0 and a = t"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.all_active).select(*RW))
-QUERIES["rup_multilevel"] = lambda s, d: record.roll_up(record.parent_observations(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active), "Region", F.col("key").cast("long") % 3, record.any_active).select(*RW)
+query("rup_any", RUP.format(m=10, rule="a > 0"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active).select(*WCOLS()))
+query("rup_all", RUP.format(m=10, rule="t > 0 and a = t"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.all_active).select(*WCOLS()))
+QUERIES["rup_multilevel"] = lambda s, d: record.roll_up(record.parent_observations(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active), "Region", F.col("key").cast("long") % 3, record.any_active).select(*WCOLS())
 QUERIES["seq_three_step"] = lambda s, d: episodes.match_sequence(families(s, d), ["Signup", "Purchase", "Error"], 2000)
 
 ROWS = W + f""", p as (select rid as row_id, case when e <= {K} then 'Final' else 'Provisional' end as finality from r where s <= {K}), q as (select rid as row_id, case when e <= 7500 then 'Final' else 'Provisional' end as finality from r where s <= 7500 and not (s % 97 = 0 and s <= {K}))"""
