@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _is(name, value):
+    return lambda s: (s["name"] == name) & (s["value"] == value)
+
+
 @dataclass(frozen=True)
 class Selector:
     name: str
@@ -136,7 +140,7 @@ class Plan:
         c = F.lit(True) if self.scope_window is None else F.col("window_name") == self.scope_window
         for col, pairs in (("segments", self.scope_segments), ("tags", self.scope_tags)):
             for n, v in pairs:
-                c = c & F.exists(col, lambda s, n=n, v=v: (s["name"] == n) & (s["value"] == v))
+                c = c & F.exists(col, _is(n, v))
         return c
 
     def validate(self) -> list[Diagnostic]:
