@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,25 +122,48 @@ def match_sequence(windows: DataFrame, steps: list[str], maximum_gap: int, horiz
         w = windows.where("end_position is not null").withColumn("prov", F.lit(False))
     w = w.where(F.col("window_name").isin(*steps)).select("window_name", "key", "source", "partition_id", "record_id", F.col("start_position").alias("s"), F.col("end_position").cast("long").alias("e"), "prov")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fam = {n: list(g.sort_values(["e", "s", "record_id"]).itertuples(index=False)) for n, g in pdf.groupby("window_name")}
+    def chains(rows) -> list[tuple]:
+        fam: dict = {n: [] for n in steps}
+        for r in rows:
+            fam[r["window_name"]].append(r)
         used: set = set()
         out = []
-        for first in fam.get(steps[0], []):
-            if first.record_id in used:
+        for first in fam[steps[0]]:
+            if first["record_id"] in used:
                 continue
             chain, gap = [first], 0
             for n in steps[1:]:
                 prev = chain[-1]
-                nxt = next((c for c in fam.get(n, []) if c.record_id not in used and all(c.record_id != x.record_id for x in chain) and c.s >= prev.s and max(0, c.s - prev.e) <= maximum_gap), None)
+                nxt = next((c for c in fam[n] if c["record_id"] not in used and all(c["record_id"] != x["record_id"] for x in chain) and c["s"] >= prev["s"] and max(0, c["s"] - prev["e"]) <= maximum_gap), None)
                 if nxt is None:
                     break
-                gap += max(0, nxt.s - prev.e)
+                gap += max(0, nxt["s"] - prev["e"])
                 chain.append(nxt)
             else:
-                used.update(x.record_id for x in chain)
-                end = max(x.e for x in chain)
-                out.append((first.key, first.source, first.partition_id, first.s, end, end - first.s, gap, "Provisional" if any(x.prov for x in chain) else "Final", ",".join(x.record_id for x in chain)))
-        return pd.DataFrame(out, columns=["key", "source", "partition_id", "start_m", "end_m", "elapsed", "total_gap", "finality", "record_ids"])
-
-    return w.groupBy("key", "source", "partition_id").applyInPandas(run, "key string, source string, partition_id string, start_m long, end_m long, elapsed long, total_gap long, finality string, record_ids string")
+                used.update(x["record_id"] for x in chain)
+                end = max(x["e"] for x in chain)
+                out.append((first["key"], first["source"], first["partition_id"], first["s"], end, end - first["s"], gap, "Provisional" if any(x["prov"] for x in chain) else "Final", ",".join(x["record_id"] for x in chain)))
+        return out
+
+    names = ["key", "source", "partition_id", "start_m", "end_m", "elapsed", "total_gap", "finality", "record_ids"]
+
+    def run(batches):
+        """Lanes arrive whole and one after another: a task holds one lane at a time, without a frame for each."""
+        lane, held, out = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                k = (r["key"], r["source"], r["partition_id"])
+                if k != lane:
+                    out += chains(held)
+                    lane, held = k, []
+                held.append(r)
+            yield pack(out)
+            out = []
+        yield pack(out + chains(held))
+
+    def pack(rows):
+        kinds = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.string()] * 2
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    w = w.repartition("key", "source", "partition_id").sortWithinPartitions("key", "source", "partition_id", "e", "s", "record_id")
+    return w.mapInArrow(run, "key string, source string, partition_id string, start_m long, end_m long, elapsed long, total_gap long, finality string, record_ids string")
