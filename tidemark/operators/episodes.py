@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +64,7 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
     aa = a.select(*[F.coalesce(c, F.lit("")).alias(c) for c in COMPATIBLE], F.col("episode_id").alias("a_id"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
     edges = tt.join(aa, COMPATIBLE).where((F.col("t_s") <= F.col("a_e") + tolerance) & (F.col("a_s") <= F.col("t_e") + tolerance)).select(*COMPATIBLE, "t_id", "a_id").distinct()
 
-    def union_find(pdf: pd.DataFrame) -> pd.DataFrame:
+    def union_find(pairs) -> list[tuple]:
         root: dict = {}
 
         def find(x):
@@ -74,14 +73,29 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
                 x = root[x]
             return x
 
-        for i, j in zip(pdf["t_id"], pdf["a_id"]):
+        for i, j in pairs:
             i, j = find(("T", i)), find(("A", j))
             if i != j:
                 root[max(i, j)] = min(i, j)
-        rows = [(x[0], x[1], "|".join(find(x))) for x in list(root)]
-        return pd.DataFrame(rows, columns=["s", "episode_id", "component"])
+        return [(x[0], x[1], "|".join(find(x))) for x in list(root)]
 
-    comp = edges.groupBy(*COMPATIBLE).applyInPandas(union_find, "s string, episode_id string, component string")
+    def run(batches):
+        """Groups arrive whole and one after another."""
+        group, held, out = None, [], []
+        for b in batches:
+            for *k, i, j in zip(*(c.to_pylist() for c in b.columns)):
+                if k != group:
+                    out += union_find(held)
+                    group, held = k, []
+                held.append((i, j))
+            yield pack(out)
+            out = []
+        yield pack(out + union_find(held))
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["s", "episode_id", "component"])
+
+    comp = edges.repartition(*COMPATIBLE).sortWithinPartitions(*COMPATIBLE).mapInArrow(run, "s string, episode_id string, component string")
     sizes = comp.groupBy("component").agg(F.count_if(F.col("s") == "T").alias("tn"), F.count_if(F.col("s") == "A").alias("an"))
     kind = F.when((F.col("tn") == 1) & (F.col("an") == 1), "OneToOne").when(F.col("tn") == 1, "Split").when(F.col("an") == 1, "Merge").otherwise("Complex")
     linked = comp.join(sizes, "component").select("s", "episode_id", "component", kind.alias("kind"))
