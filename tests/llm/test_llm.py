@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -107,12 +109,49 @@ def test_grace_spills_and_streams_equal_hashes():
         assert got[part] == (max(same), len(same))
 
 
-def test_lm(spark, docs, empty):
-    got = {r.doc_id: r for r in lm.score(docs.select("doc_id", "text"), lm.fit(docs, docs.where("doc_id in (0, 1, 2, 11)"))).collect()}
-    assert got[3].score == got[4].score == 0 and got[0].score < got[8].score and got[0].n_tokens == 120
-    none = lm.fit(docs, empty)
-    assert {r.score for r in lm.score(docs.select("doc_id", "text"), none).collect()} == {0.0}
-    assert lm.score(empty.select("doc_id", "text"), lm.fit(empty, empty)).count() == 0
+def lm_brute(rows, target):
+    """(id, tokens, score) of every row, by plain dictionaries."""
+    toks = [(i, re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))) for i, x in rows]
+    uni, pair = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for i, w in toks:
+        s = 0 if i in target else 1
+        uni[s].update(w)
+        pair[s].update(zip(w, w[1:]))
+    n = [sum(c.values()) for c in uni]
+    out = []
+    for i, w in toks:
+        got = 0.0
+        for j, x in enumerate(w):
+            if uni[0][x] + uni[1][x] < 2 or not all(n):
+                continue
+            p = []
+            for s in (0, 1):
+                k = n[0] / n[s]
+                flat = 0.9 * uni[s][x] * k / n[0] + 0.1 * (uni[0][x] + uni[1][x]) / sum(n)
+                v = w[j - 1] if j else None
+                if j and uni[0][v] + uni[1][v] > 1:
+                    c = pair[s][v, x] * k if pair[0][v, x] + pair[1][v, x] > 1 else 0
+                    flat = (c + 5 * flat) / (uni[s][v] * k + 5)
+                p.append(flat)
+            got += math.log(p[1]) - math.log(p[0])
+        out.append((i, len(w), got / max(len(w), 1)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [16 << 20, 400])
+def test_lm(spark, docs, empty, chunk, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "DOCS", 200 if chunk > 1000 else 2)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, docs.where("doc_id in (0, 1, 2, 11)").unionByName(docs.where("doc_id = 1"))).collect())
+    want = lm_brute([(r[0], r[1]) for r in corpus()], {0, 1, 2, 11})
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-8)
+    by = {i: s for i, _, s in got}
+    assert by[3] == by[4] == 0 and by[0] < 0 < by[8]
+
+
+def test_lm_one_sided(docs, empty):
+    assert {r.score for r in lm.score(docs, empty).collect()} == {0.0}
+    assert lm.score(empty, empty).count() == 0
 
 
 def test_toxicity(spark, docs, empty):

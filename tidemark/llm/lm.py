@@ -1,167 +1,219 @@
 """Cross-entropy difference: two n-gram models, target and background, over one vocabulary.
 
-All counts cover the whole corpus. Words are counted exactly; the most frequent ones (of both sides together, ties by
-hash) are the shared vocabulary and the rest are one unknown word. Pairs are counted in a fixed number of hashed
-buckets, so the models have a proven size bound and may be broadcast however large the corpus is: tasks send their
-counts by slices of buckets, which are summed where they meet. The two models are matched: same vocabulary, order,
-smoothing, and the background's counts are scaled to the target's number of tokens.
+Words and pairs of following words are counted exactly over all documents; what is gathered grows with the corpus and is
+never broadcast or sent to the driver.
+
+1. Documents are written once with their side and a chunk number (about 16 MB of text each).
+2. Each chunk sends every word and pair it has once, as a 64-bit hash with its counts on both sides. Sums over all chunks
+   meet by hash; a frequent word has one row a chunk, however often it occurs.
+3. The sums return to the chunks that have the word or pair, which then score their documents.
+
+The shared vocabulary is every word that occurs twice or more (both sides together); a word seen once says nothing and has
+difference 0, a pair seen once counts as unseen. The models are matched: one vocabulary, order and smoothing, and the
+background's counts are scaled to the target's number of tokens. Per side s, with pool(w) the word's share of all tokens:
+
+    p_s(w) = 0.9 n_s(w) / N + 0.1 pool(w)          p_s(w | v) = (n_s(v w) + 5 p_s(w)) / (n_s(v) + 5)
 
 score = mean over tokens of (loss under target - loss under background); lower is more like the target.
 
-Defined cases: null and empty texts have no tokens and score 0; without target (or background) documents both models
-are uniform and all scores are 0; repeated rows count and score each on its own; an empty table gives no rows;
-labels without a document are unused; extra columns are ignored.
+Defined cases: null and empty texts have no tokens and score 0; without target (or background) tokens all scores are 0;
+repeated rows count and score each on its own; a null doc_id is background; an empty table gives no rows; labels without a
+document are unused; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, NON_WORD, U64, mix, partitions_for, range_hashes, row_of, signed, small_batches, spans, table, text_buffer
+from tidemark.llm.common import Bitmap, LOWER, NON_WORD, U64, in_bitmap, mix, partitions_for, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer
 
-SLICE_BITS = 14
+CHUNK = 16 << 20
+DOCS = 200  # texts hashed at a time
+HELD = 1 << 20  # sums a task holds before it sends them on
+POOL, PRIOR = 0.1, 5.0
 
 
-def words_of(col):
+def grams(col):
+    """(hash of each word, hash of the pair it ends, whether there is one, first word of each row)."""
     buf, offs = text_buffer(col)
     buf = LOWER[buf]
     starts, ends, first = spans(buf, offs, NON_WORD)
-    return range_hashes(buf, starts, ends), first
+    words = range_hashes(buf, starts, ends)
+    inner = np.ones(len(words), bool)
+    inner[first[:-1][first[:-1] < len(words)]] = False
+    prev = np.concatenate((words[:1], words[:-1]))
+    return words, mix(prev * U64(0x9E3779B97F4A7C15) + words + U64(1)), inner, first
 
 
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray, bits: int):
-        self.h, self.bits = np.sort(hashes), bits
+def sided(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, text, side: 0 for the target's documents, 1 for others. A bitmap of bounded size spares most others the join."""
+    ids = target.select("doc_id").where("doc_id is not null").distinct()
+    maybe = in_bitmap(docs.sparkSession, Bitmap.build(ids.select(F.xxhash64("doc_id").alias("h")), "h", 24))
+    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("maybe", maybe(F.xxhash64("doc_id")))
+    hit = marked.where("maybe").join(ids.withColumn("t", F.lit(0)).hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("t", F.lit(1)).alias("side"))
+    return hit.unionByName(marked.where("not maybe").select("doc_id", "text", F.lit(1).alias("side")))
 
-    def ids(self, words):
-        """1 .. size for known words, 0 for others."""
-        if not len(self.h):
-            return np.zeros(len(words), np.int64)
-        i = np.searchsorted(self.h, words)
-        return np.where(self.h[np.minimum(i, len(self.h) - 1)] == words, i + 1, 0)
 
-    def pairs(self, words, first):
-        """(ids, whether a word has one before it in its text, bucket of the pair with that one)."""
-        ids = self.ids(words)
-        inner = np.ones(len(ids), bool)
-        inner[first[:-1][first[:-1] < len(ids)]] = False
-        prev = np.concatenate(([0], ids[:-1])) if len(ids) else ids
-        bucket = (mix((prev * (len(self.h) + 1) + ids).astype(U64) + U64(17)) >> U64(64 - self.bits)).astype(np.int64)
-        return ids, prev, inner, bucket
+def chunked(marked: DataFrame) -> DataFrame:
+    """marked with the number of its chunk and of its tokens, written once, so that both passes see the same chunks."""
+    kind = marked.schema["doc_id"].dataType.simpleString()
 
+    def number(batches):
+        from pyspark import TaskContext
 
-class Models:
-    """Interpolated losses from matched counts: arrays [target, background]."""
-
-    def __init__(self, vocab, uni, pair, weights=(0.6, 0.35, 0.05)):
-        self.vocab, self.weights = vocab, weights
-        total = uni.sum(1)
-        self.known = bool((total > 0).all())
-        scale = np.where(total > 0, total[0] / np.maximum(total, 1), 1.0)[:, None]
-        self.uni = (uni * scale).astype(np.float32)
-        self.pair = (pair * scale).astype(np.float32)
-        self.total = np.maximum(self.uni.sum(1), 1)
-
-    def gains(self, words, first):
-        """Per token: loss under the target less loss under the background."""
-        if not self.known:
-            return np.zeros(len(words))
-        ids, prev, inner, bucket = self.vocab.pairs(words, first)
-        a, b, c = self.weights
-        p = []
-        for s in (0, 1):
-            uni = self.uni[s]
-            flat = b * (uni[ids] + 0.5) / (self.total[s] + 0.5 * uni.size) + c / uni.size
-            p.append(flat + np.where(inner, a * np.minimum(1.0, self.pair[s][bucket] / (uni[prev] + 5.0)), a * flat))
-        return np.log(p[1]) - np.log(p[0])
+        at, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            for lo in range(0, b.num_rows, DOCS):
+                part = b.slice(lo, DOCS)
+                first = grams(part.column(1))[3]
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(n, at)), pa.array(np.diff(first).astype(np.int64))], names=["doc_id", "text", "side", "chunk", "n_tokens"])
+                size += part.column(1).nbytes
+                if size >= CHUNK:
+                    at, size = at + 1, 0
 
+    return stage(marked.mapInArrow(number, f"doc_id {kind}, text string, side int, chunk long, n_tokens long"), "lm-chunks")
 
-def vocabulary(docs: DataFrame, size: int, bits: int) -> Vocabulary:
-    def count(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                h, n = np.unique(words_of(b.column(0).slice(lo, 1000))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(size).select("h").toArrow()
-    return Vocabulary(top["h"].to_numpy().astype(np.int64).view(U64), bits)
+def counts(docs: DataFrame) -> DataFrame:
+    """chunk, g, t, b: the words and pairs of each chunk with their sums over all chunks, if they occur twice or more."""
 
+    def local(batches):
+        now, held, size = None, [], 0
 
-def fit(docs: DataFrame, target: DataFrame, vocab_size: int = 50_000, bits: int = 20) -> Models:
-    """docs: doc_id, text; target: doc_id of the target's documents, the others are the background."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    vocab = spark.sparkContext.broadcast(vocabulary(docs, vocab_size, bits))
-    size = len(vocab.value.h) + 1
+        def fold():
+            g, s = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            keys, at = np.unique(g, return_inverse=True)
+            t, b = (np.bincount(at, s == k, len(keys)).astype(np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(signed(keys)), pa.array(t), pa.array(b)], names=["chunk", "g", "t", "b"])
 
-    def count(batches):
-        v = vocab.value
-        uni, pair, seen = np.zeros((2, size), np.int64), np.zeros((2, 1 << bits), np.int32), False
-        for b in batches:
-            side = np.asarray(b.column(1)).astype(np.int64)
-            for lo in range(0, b.num_rows, 500):
-                words, first = words_of(b.column(0).slice(lo, 500))
-                ids, _, inner, bucket = v.pairs(words, first)
-                s = side[lo : lo + 500][row_of(first, len(words))]
-                for k in (0, 1):
-                    uni[k] += np.bincount(ids[s == k], minlength=size)
-                    at, n = np.unique(bucket[(s == k) & inner], return_counts=True)
-                    pair[k][at] += n.astype(np.int32)
-                seen = seen or len(words) > 0
-        if seen:
-            for kind, x in ((0, uni), (1, pair.astype(np.int64))):
-                for k in range(0, x.shape[1], 1 << SLICE_BITS):
-                    part = x[:, k : k + (1 << SLICE_BITS)]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k >> SLICE_BITS], pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(part).tobytes(), 1)])], names=["kind", "part", "data"])
-
-    def total(batches):
-        sums: dict = {}
         for b in batches:
-            for kind, part, data in zip(*(c.to_pylist() for c in b.columns)):
-                x = np.frombuffer(zlib.decompress(data), np.int64)
-                sums[kind, part] = sums[kind, part] + x if (kind, part) in sums else x
-        for (kind, part), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)])], names=["kind", "part", "data"])
-
-    marked = docs.select("doc_id", F.col("text").cast("string")).join(target.select("doc_id").distinct().withColumn("t", F.lit(0)).hint("merge"), "doc_id", "left")
-    form = "kind int, part int, data binary"
-    sums = marked.select("text", F.coalesce("t", F.lit(1)).alias("side")).mapInArrow(count, form).repartition(partitions_for(spark), "kind", "part").mapInArrow(total, form).toArrow()
-    out = [np.zeros((2, size), np.int64), np.zeros((2, 1 << bits), np.int64)]
-    for kind, part, data in zip(*(sums[c].to_pylist() for c in ("kind", "part", "data"))):
-        x = np.frombuffer(zlib.decompress(data), np.int64).reshape(2, -1)
-        out[kind][:, part << SLICE_BITS : (part << SLICE_BITS) + x.shape[1]] = x
-    return Models(vocab.value, *out)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, score, target_like (score < 0)."""
+            chunk = np.asarray(b.column(2))
+            cut = np.flatnonzero(np.diff(chunk)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if hi > lo and (chunk[lo] != now or size > 6_000_000):
+                    if held:
+                        yield fold()
+                    now, held, size = chunk[lo], [], 0
+                for i in range(lo, hi, DOCS):
+                    n = min(DOCS, hi - i)
+                    words, pairs, inner, first = grams(b.column(0).slice(i, n))
+                    side = np.asarray(b.column(1).slice(i, n)).astype(np.int8)[row_of(first, len(words))]
+                    if len(words):
+                        held.append((np.concatenate((words, pairs[inner])), np.concatenate((side, side[inner]))))
+                        size += len(held[-1][0])
+        if held:
+            yield fold()
+
+    rows = docs.select("text", "side", "chunk").mapInArrow(local, "chunk long, g long, t long, b long")
+    w = Window.partitionBy("g")
+    return rows.repartition(partitions_for(docs.sparkSession), "g").select("chunk", "g", F.sum("t").over(w).alias("t"), F.sum("b").over(w).alias("b")).where("t + b > 1")
+
+
+PACK = "chunk long, k binary, t binary, b binary"
+
+
+def pack(batches):
+    """Sums by chunk, as packed arrays."""
+
+    def send(held):
+        chunk, *cols = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.argsort(chunk, kind="stable")
+        chunk = chunk[order]
+        ids, lo = np.unique(chunk, return_index=True)
+        hi = np.append(lo[1:], len(chunk))
+        return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array([x[i:j].tobytes() for i, j in zip(lo, hi)], pa.binary()) for x in (c[order] for c in cols)]], names=["chunk", "k", "t", "b"])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append([np.asarray(c) for c in b.columns])
+            size += b.num_rows
+        if size >= HELD:
+            yield send(held)
+            held, size = [], 0
+    if held:
+        yield send(held)
+
+
+class Models:
+    """Both models, over the words and pairs of one chunk."""
+
+    def __init__(self, keys, target, background, n_target: int, n_background: int):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)  # a chunk may be answered twice
+        self.keys, n = keys[new], np.stack([target[order][new], background[order][new]]).astype(float)
+        self.pool = n.sum(0) / max(n_target + n_background, 1)
+        self.n = n * np.array([[1.0], [n_target / max(n_background, 1)]])
+        self.total = n_target
+        self.known = n_target > 0 and n_background > 0
+
+    def find(self, h):
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return i, self.keys[i] == h
+
+    def gains(self, words, pairs, inner):
+        """Per token: loss under the target less loss under the background."""
+        if not (self.known and len(self.keys)):
+            return np.zeros(len(words))
+        at, seen = self.find(words)
+        pair, has = self.find(pairs)
+        prev, prev_seen = np.concatenate((at[:1], at[:-1])), np.concatenate((seen[:1], seen[:-1]))
+        p = []
+        for n in self.n:
+            flat = (1 - POOL) * n[at] / self.total + POOL * self.pool[at]
+            p.append(np.where(inner & prev_seen, (np.where(has, n[pair], 0.0) + PRIOR * flat) / (n[prev] + PRIOR), flat))
+        return np.where(seen, np.log(p[1]) - np.log(p[0]), 0.0)
+
+
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score, target_like (score < 0). docs: doc_id, text; target: doc_id of the target's documents, the
+    others are the background."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    small_batches(spark, 1000)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = chunked(sided(docs, target))
+    total = dict.fromkeys((0, 1), 0) | {r.side: r.n for r in known.groupBy("side").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = counts(known).mapInArrow(pack, PACK)
 
     def run(batches):
-        m = shared.value
+        now, held, models = None, [], None
         for b in batches:
-            tok, val = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for lo in range(0, b.num_rows, 500):
-                words, first = words_of(b.column(1).slice(lo, 500))
-                n = np.diff(first)
-                s = np.bincount(row_of(first, len(words)), m.gains(words, first), len(n))
-                tok.append(n)
-                val.append(s / np.maximum(n, 1))
-            v = np.round(np.concatenate(val), 9)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(tok)), pa.array(v), pa.array(v < 0)], names=["doc_id", "n_tokens", "score", "target_like"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, score double, target_like boolean")
+            chunk, text = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cut = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(text) != 0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if hi == lo:
+                    continue
+                if chunk[lo] != now:
+                    now, held, models = chunk[lo], [], None
+                part = b.slice(lo, hi - lo)
+                if not text[lo]:
+                    for k, t, g in zip(*(c.to_pylist() for c in part.columns[4:])):
+                        held.append((np.frombuffer(k, np.int64).view(U64), np.frombuffer(t, np.int64), np.frombuffer(g, np.int64)))
+                    continue
+                if models is None:
+                    cols = [np.concatenate([h[i] for h in held]) for i in range(3)] if held else [np.zeros(0, U64), np.zeros(0), np.zeros(0)]
+                    models, held = Models(*cols, total[0], total[1]), []
+                for i in range(0, part.num_rows, DOCS):
+                    some = part.slice(i, DOCS)
+                    words, pairs, inner, first = grams(some.column(3))
+                    n = np.diff(first)
+                    s = np.bincount(row_of(first, len(words)), models.gains(words, pairs, inner), len(n)) if len(words) else np.zeros(len(n))
+                    v = np.round(s / np.maximum(n, 1), 9)
+                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(n.astype(np.int64)), pa.array(v), pa.array(v < 0)], names=["doc_id", "n_tokens", "score", "target_like"])
+
+    none = lambda t: F.lit(None).cast(t)
+    texts = known.select("chunk", F.lit(1).alias("is_text"), "doc_id", "text", *[none("binary").alias(c) for c in "ktb"])
+    tables = sums.select("chunk", F.lit(0).alias("is_text"), none(kind).alias("doc_id"), none("string").alias("text"), *"ktb")
+    met = tables.unionByName(texts).repartition(partitions_for(spark), "chunk").sortWithinPartitions("chunk", "is_text")
+    return met.mapInArrow(run, f"doc_id {kind}, n_tokens long, score double, target_like boolean")
 
 
 def op4_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return score(docs, fit(docs, good))
+    return score(docs, good)
