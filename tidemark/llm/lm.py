@@ -4,8 +4,9 @@ Words and pairs of following words are counted exactly over all documents; what
 never broadcast or sent to the driver.
 
 1. Documents are written once with their side and a chunk number (about 16 MB of text each).
-2. Each chunk sends every word and pair it has once, as a 64-bit hash with its counts on both sides. Sums over all chunks
-   meet by hash; a frequent word has one row a chunk, however often it occurs.
+2. Each chunk sends every word and pair it has once, by hash, with its counts on both sides, packed by ranges of hashes. The
+   ranges grow with the corpus, so each holds about two million; a frequent word has one entry a chunk, however often it
+   occurs. Hashes have 16 bits more than the corpus needs to number its tokens.
 3. The sums return to the chunks that have the word or pair, which then score their documents.
 
 The shared vocabulary is every word that occurs twice or more (both sides together); a word seen once says nothing and has
@@ -25,14 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, LOWER, NON_WORD, U64, in_bitmap, mix, partitions_for, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer
+from tidemark.llm.common import Bitmap, LOWER, NON_WORD, U64, in_bitmap, mix, partitions_for, range_hashes, row_of, small_batches, spans, stage, table, text_buffer
 
 CHUNK = 16 << 20
 DOCS = 200  # texts hashed at a time
-HELD = 1 << 20  # sums a task holds before it sends them on
+RANGE = 1 << 21  # words and pairs that meet in one range of hashes at most, about
 POOL, PRIOR = 0.1, 5.0
 
 
@@ -78,17 +79,52 @@ def chunked(marked: DataFrame) -> DataFrame:
     return stage(marked.mapInArrow(number, f"doc_id {kind}, text string, side int, chunk long, n_tokens long"), "lm-chunks")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """chunk, g, t, b: the words and pairs of each chunk with their sums over all chunks, if they occur twice or more."""
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, no more than the largest needs."""
+    n = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([n]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def whole(data: bytes) -> np.ndarray:
+    n = data[0]
+    out = np.zeros(((len(data) - 1) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8, offset=1).reshape(n, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as planes of their differences."""
+    return planes(np.diff(keys, prepend=U64(0)))
+
+
+PACK = "range long, chunk long, k binary, t binary, b binary"
+NAMES = [x.split()[0] for x in PACK.split(", ")]
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=NAMES)
+
+
+def counts(docs: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """Packed rows (range, chunk, k, t, b): the words and pairs of each chunk with their sums over all chunks, if they occur
+    twice or more. Keys are the first `bits` bits of hashes, their range the first `ranges` bits."""
+    cut_at, wide = U64(64 - bits), U64(bits - ranges)
 
     def local(batches):
         now, held, size = None, [], 0
 
         def fold():
-            g, s = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            keys, at = np.unique(g, return_inverse=True)
-            t, b = (np.bincount(at, s == k, len(keys)).astype(np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(signed(keys)), pa.array(t), pa.array(b)], names=["chunk", "g", "t", "b"])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)  # the last bit is the side
+            g = keys >> U64(1)
+            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            t = np.add.reduceat(np.where(keys & U64(1), 0, n), at)
+            b = np.add.reduceat(np.where(keys & U64(1), n, 0), at)
+            g = g[at]
+            ids, lo = np.unique(g >> wide, return_index=True)
+            hi = np.append(lo[1:], len(g))
+            for k in range(0, len(ids), 64):
+                yield rows_of([(int(r), now, steps(g[i:j]), planes(t[i:j]), planes(b[i:j])) for r, i, j in zip(ids[k : k + 64], lo[k : k + 64], hi[k : k + 64])])
 
         for b in batches:
             chunk = np.asarray(b.column(2))
@@ -96,47 +132,47 @@ def counts(docs: DataFrame) -> DataFrame:
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
                 if hi > lo and (chunk[lo] != now or size > 6_000_000):
                     if held:
-                        yield fold()
-                    now, held, size = chunk[lo], [], 0
+                        yield from fold()
+                    now, held, size = int(chunk[lo]), [], 0
                 for i in range(lo, hi, DOCS):
                     n = min(DOCS, hi - i)
                     words, pairs, inner, first = grams(b.column(0).slice(i, n))
-                    side = np.asarray(b.column(1).slice(i, n)).astype(np.int8)[row_of(first, len(words))]
+                    side = np.asarray(b.column(1).slice(i, n)).astype(U64)[row_of(first, len(words))]
                     if len(words):
-                        held.append((np.concatenate((words, pairs[inner])), np.concatenate((side, side[inner]))))
-                        size += len(held[-1][0])
+                        held.append(np.concatenate((words >> cut_at << U64(1) | side, (pairs >> cut_at << U64(1) | side)[inner])))
+                        size += len(held[-1])
         if held:
-            yield fold()
-
-    rows = docs.select("text", "side", "chunk").mapInArrow(local, "chunk long, g long, t long, b long")
-    w = Window.partitionBy("g")
-    return rows.repartition(partitions_for(docs.sparkSession), "g").select("chunk", "g", F.sum("t").over(w).alias("t"), F.sum("b").over(w).alias("b")).where("t + b > 1")
-
-
-PACK = "chunk long, k binary, t binary, b binary"
-
-
-def pack(batches):
-    """Sums by chunk, as packed arrays."""
-
-    def send(held):
-        chunk, *cols = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.argsort(chunk, kind="stable")
-        chunk = chunk[order]
-        ids, lo = np.unique(chunk, return_index=True)
-        hi = np.append(lo[1:], len(chunk))
-        return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array([x[i:j].tobytes() for i, j in zip(lo, hi)], pa.binary()) for x in (c[order] for c in cols)]], names=["chunk", "k", "t", "b"])
+            yield from fold()
+
+    def answer(held):
+        parts = [(c, np.cumsum(whole(k)), whole(t), whole(b)) for c, k, t, b in held]
+        keys, at = np.unique(np.concatenate([x[1] for x in parts]), return_inverse=True)
+        t, b = (np.bincount(at, np.concatenate([x[i] for x in parts]), len(keys)).astype(np.int64) for i in (2, 3))
+        live = t + b > 1
+        lo = 0
+        for c, k, _, _ in parts:
+            i = at[lo : lo + len(k)]
+            i = i[live[i]]
+            lo += len(k)
+            if len(i):
+                yield c, steps(keys[i]), planes(t[i]), planes(b[i])
+
+    def total(batches):
+        now, held = None, []
+        for b in batches:
+            for r, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now and held:
+                    for x in answer(held):
+                        yield rows_of([(now, *x)])
+                    held = []
+                now = r
+                held.append(row)
+        if held:
+            for x in answer(held):
+                yield rows_of([(now, *x)])
 
-    held, size = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append([np.asarray(c) for c in b.columns])
-            size += b.num_rows
-        if size >= HELD:
-            yield send(held)
-            held, size = [], 0
-    if held:
-        yield send(held)
+    asked = docs.select("text", "side", "chunk").mapInArrow(local, PACK)
+    return asked.repartition(partitions_for(docs.sparkSession), "range").sortWithinPartitions("range").mapInArrow(total, PACK)
 
 
 class Models:
@@ -178,7 +214,11 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = chunked(sided(docs, target))
     total = dict.fromkeys((0, 1), 0) | {r.side: r.n for r in known.groupBy("side").agg(F.sum("n_tokens").alias("n")).collect()}
-    sums = counts(known).mapInArrow(pack, PACK)
+    n = max(2 * sum(total.values()), 1)
+    bits = min(63, n.bit_length() + 16)  # about one key in 2^16 meets another's, whatever the size
+    ranges = min(bits - 1, max(4, (n // RANGE).bit_length(), (4 * partitions_for(spark)).bit_length()))
+    sums = counts(known, bits, ranges)
+    cut_at = U64(64 - bits)
 
     def run(batches):
         now, held, models = None, [], None
@@ -193,7 +233,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 if not text[lo]:
                     for k, t, g in zip(*(c.to_pylist() for c in part.columns[4:])):
-                        held.append((np.frombuffer(k, np.int64).view(U64), np.frombuffer(t, np.int64), np.frombuffer(g, np.int64)))
+                        held.append((np.cumsum(whole(k)), whole(t), whole(g)))
                     continue
                 if models is None:
                     cols = [np.concatenate([h[i] for h in held]) for i in range(3)] if held else [np.zeros(0, U64), np.zeros(0), np.zeros(0)]
@@ -202,7 +242,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
                     some = part.slice(i, DOCS)
                     words, pairs, inner, first = grams(some.column(3))
                     n = np.diff(first)
-                    s = np.bincount(row_of(first, len(words)), models.gains(words, pairs, inner), len(n)) if len(words) else np.zeros(len(n))
+                    s = np.bincount(row_of(first, len(words)), models.gains(words >> cut_at, pairs >> cut_at, inner), len(n)) if len(words) else np.zeros(len(n))
                     v = np.round(s / np.maximum(n, 1), 9)
                     yield pa.RecordBatch.from_arrays([some.column(2), pa.array(n.astype(np.int64)), pa.array(v), pa.array(v < 0)], names=["doc_id", "n_tokens", "score", "target_like"])
 
