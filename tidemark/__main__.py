@@ -33,6 +33,12 @@ def main(argv=None) -> int:
     a.add_argument("--horizon", type=int)
     a.add_argument("--comparator", action="append")
     a.add_argument("--out")
+    a.add_argument("--profile", choices=("Full", "Redacted"), default="Full")
+    for name in ("timeline", "context"):
+        sub.add_parser(name).add_argument("fixture")
+    u = sub.add_parser("suite")
+    u.add_argument("fixture")
+    u.add_argument("suite")
     c = sub.add_parser("check")
     c.add_argument("fixture")
     c.add_argument("assessment")
@@ -69,6 +75,19 @@ def main(argv=None) -> int:
         plan = documents.plan_of(doc["plan"])
         print(readers.export_markdown(plan, got["rows"]) if o.command == "explain" else json.dumps({"valid": got["valid"], "diagnostics": got["diagnostics"], "fingerprint": plan.fingerprint(), "rows": documents.rows_json(got["rows"], 10_000)}, indent=2))
         return int(not got["valid"])
+    if o.command in ("timeline", "context", "suite"):
+        from tidemark.operators import compare, governance
+        from tidemark.sources import reports
+
+        doc = load(o.fixture)
+        c = compare.Comparison(documents.windows_of(spark, doc["windows"]), documents.plan_of(doc["plan"]))
+        if o.command != "suite":
+            print(reports.timeline_html(c) if o.command == "timeline" else reports.agent_context(c))
+            return 0
+        d = load(o.suite)
+        got = [r.asDict() for r in governance.Suite(d["name"], tuple((x["name"], tuple(documents.rules_of(x))) for x in d["specifications"])).results(c).collect()]
+        print(json.dumps({"passed": all(r["passed"] for r in got), "specifications": got}, indent=2))
+        return int(not all(r["passed"] for r in got))
     if o.command == "check":
         from tidemark.operators import compare, governance
 
@@ -82,12 +101,13 @@ def main(argv=None) -> int:
 
         w = readers.read_windows(spark, o.windows, o.window)
         plan = plans.Plan("audit", plans.for_source(o.target), tuple(plans.for_source(s) for s in o.against), tuple(o.comparator or ("overlap", "residual", "coverage")), o.window, horizon=o.horizon)
-        rows = compare.Comparison(w, plan).run()
-        body = json.dumps({"fingerprint": plan.fingerprint(), "rows": documents.rows_json(rows, 10_000)}, indent=2)
+        from tidemark.sources import reports
+
+        files = reports.bundle_files(compare.Comparison(w, plan), o.profile)
         if o.out:
-            documents.write_bundle(o.out, {"result.json": body, "result.md": readers.export_markdown(plan, rows), "plan.json": plan.to_json()})
+            documents.write_bundle(o.out, files)
         else:
-            print(body)
+            print(files["result.json" if o.profile == "Full" else "context.json"])
         return 0
     if o.command == "episodes":
         doc = load(o.document)

@@ -1,12 +1,15 @@
-"""Changelogs, replay, assessments."""
+"""Changelogs, replay, assessments, suites, revisions."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.temporal import row_id
+
 
 def changelog(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Rows (row_id, finality[, version]) added, revised or retracted between two snapshots, by one full outer join."""
@@ -58,3 +61,83 @@ def assess(comparison, rules: list[Rule]) -> DataFrame:
             raise ValueError(f"unknown rule {r.kind}")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+INVALID = "comparison.invalid"
+
+
+def assess_findings(found: list[str], valid: bool, allowed: dict[str, set[str]]) -> list[dict]:
+    """Violations known on the driver. allowed: rule id to the diagnostic codes it lets pass; an invalid comparison violates too."""
+    out = [{"rule": r, "evidence": code} for r, codes in allowed.items() for code in sorted(set(found) - codes)]
+    return out if valid else [*out, {"rule": INVALID, "evidence": ",".join(found)}]
+
+
+@dataclass(frozen=True)
+class Suite:
+    """Named specifications over one comparison; it passes if all of them do."""
+
+    name: str
+    specifications: tuple[tuple[str, tuple[Rule, ...]], ...]
+
+    def __post_init__(self):
+        names = [n for n, _ in self.specifications]
+        if not names or len(set(names)) < len(names):
+            raise ValueError("a suite needs specifications with unique names")
+
+    def assess(self, comparison) -> DataFrame:
+        """specification, rule, evidence of every violation."""
+        out = None
+        for name, rules in self.specifications:
+            one = assess(comparison, list(rules)).select(F.lit(name).alias("specification"), "rule", "evidence")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def results(self, comparison) -> DataFrame:
+        """specification, violations, passed: one row for each, in the order given."""
+        names = comparison.windows.sparkSession.createDataFrame([(i, n) for i, (n, _) in enumerate(self.specifications)], "ordinal int, specification string")
+        n = self.assess(comparison).groupBy("specification").agg(F.count(F.lit(1)).alias("violations"))
+        return names.join(n, "specification", "left").select("ordinal", "specification", F.coalesce("violations", F.lit(0)).alias("violations"), F.col("violations").isNull().alias("passed")).orderBy("ordinal")
+
+
+def identified(comparison) -> DataFrame:
+    """comparator, row_id, finality of all range rows of the plan's comparators."""
+    out = None
+    for name in comparison.plan.comparators:
+        rows = comparison.rows(name)
+        if "finality" not in rows.columns and name != "containment":
+            continue
+        who = [c for c in rows.columns if c in ("window_name", "key", "partition_id", "ctx", "start_m", "end_m", "side", "status", "record_id")]
+        final = F.col("finality") if "finality" in rows.columns else F.lit("Final")
+        one = rows.select(F.lit(name).alias("comparator"), row_id(name, *who).alias("row_id"), final.alias("finality"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("the plan has no comparator with ranges")
+    return out
+
+
+def _delta(previous: DataFrame, current: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Rows of either side whose values differ; nulls in `by` are equal to each other."""
+    p = previous.select(*[F.col(c).alias(f"p_{c}") for c in by], *[F.col(v).alias(f"previous_{v}") for v in values], F.lit(True).alias("p"))
+    c = current.select(*by, *[F.col(v).alias(f"current_{v}") for v in values], F.lit(True).alias("c"))
+    same = [F.col(f"p_{x}").eqNullSafe(F.col(x)) for x in by]
+    differs = F.col("p").isNull() | F.col("c").isNull()
+    for v in values:
+        differs = differs | ~F.col(f"previous_{v}").eqNullSafe(F.col(f"current_{v}"))
+    keys = [F.when(F.col("c"), F.col(x)).otherwise(F.col(f"p_{x}")).alias(x) for x in by]
+    return p.join(c, same, "full_outer").where(differs).select(*keys, *[f"previous_{v}" for v in values], *[f"current_{v}" for v in values])
+
+
+def revision(previous, current, rules: list[Rule] | None = None) -> dict[str, DataFrame]:
+    """What changed between two runs of one plan (at other horizons, or over other windows): `rows` (Added, Revised,
+    Retracted), `coverage`, `lead_lag` (for the plan's lead-lag comparators) and, given rules, `violations`."""
+    if previous.plan.fingerprint() != current.plan.fingerprint():
+        raise ValueError("the runs are of different plans")
+    out = {"rows": changelog(identified(previous), identified(current)), "coverage": _delta(previous.coverage_summary(), current.coverage_summary(), ["window_name", "key", "partition_id"], ["target_magnitude", "covered_magnitude", "ratio"])}
+    leads = [c for c in current.plan.comparators if c.startswith("lead-lag")]
+    if leads:
+        side = lambda x: reduce(DataFrame.unionByName, [x.rows(c).withColumn("comparator", F.lit(c)) for c in leads])
+        out["lead_lag"] = _delta(side(previous), side(current), ["comparator", "record_id", "target_m"], ["against_id", "delta", "direction"])
+    if rules:
+        one = lambda x: assess(x, rules).groupBy("rule", "evidence").agg(F.count(F.lit(1)).alias("count"))
+        out["violations"] = _delta(one(previous), one(current), ["rule", "evidence"], ["count"])
+    return out
