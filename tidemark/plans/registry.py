@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import compare, episodes, governance, history, record
@@ -271,3 +273,24 @@ def _import(s, d):
 
 query("imp_csv_predicate", """with c as (select event_id + 1 as pos, cast(user_id as varchar) as key, event_type as source, value > 20 as act, lag(value > 20, 1, false) over (partition by user_id, event_type order by event_id) as was from events),
 d as (select * from c where act <> was) select key, source, s, e from (select key, source, pos as s, lead(pos) over (partition by key, source order by pos) as e, act from d) where act""")(_import)
+
+
+def at_horizon(h, select):
+    """A table expression over the elementary segments of lane-a and lane-b as known at h."""
+    clip = f"n as (select key, part, source, rid, s as a, least(coalesce(e, {h}), {h}) as b, e is null or e > {h} as prov from r where s <= {h})"
+    return f"(with {clip}{ALIGN.format(against=chr(39) + 'lane-b' + chr(39))} {select})"
+
+
+def runs(s, d, **kw):
+    w = windows(s, d)
+    return [compare.Comparison(w, replace(plan(), horizon=None, known_at=h, **kw)) for h in (K, H)]
+
+
+COVER = "select key, part, sum(e - s)::bigint as tm, sum(case when an > 0 then e - s else 0 end)::bigint as cm from x where tn > 0 group by key, part"
+OVER = "select key, part, s, e, case when tp > 0 or ap > 0 then 'Provisional' else 'Final' end as f from x where tn > 0 and an > 0"
+query("rev_coverage", W + f", p as {at_horizon(K, COVER)}, q as {at_horizon(H, COVER)} select 'HighValue' as window_name, key, part as partition_id, p.tm as previous_target_magnitude, p.cm as previous_covered_magnitude, p.cm / p.tm as previous_ratio, q.tm as current_target_magnitude, q.cm as current_covered_magnitude, q.cm / q.tm as current_ratio from p full outer join q using (key, part) where p.tm is distinct from q.tm or p.cm is distinct from q.cm")(
+    lambda s, d: governance.revision(*runs(s, d))["coverage"])
+query("rev_rows", W + f", p as {at_horizon(K, OVER)}, q as {at_horizon(H, OVER)} select change, finality, count(*) as n from (select case when p.f is null then 'Added' when q.f is null then 'Retracted' else 'Revised' end as change, coalesce(q.f, p.f) as finality from p full outer join q using (key, part, s, e) where p.f is distinct from q.f) group by change, finality")(
+    lambda s, d: governance.revision(*runs(s, d, comparators=("overlap",)))["rows"].groupBy("change", "finality").agg(F.count(F.lit(1)).alias("n")))
+query("asm_suite", A1 + " , cs as (select key, sum(e - s) as tm, sum(case when an > 0 then e - s else 0 end) as cm from x where tn > 0 group by key, part), v as (select unnest(['low', 'high']) as specification, unnest([0.0, 0.5]) as least) select specification, count(*) filter (where cm / tm < least) as violations, count(*) filter (where cm / tm < least) = 0 as passed from v, cs group by specification")(
+    lambda s, d: governance.Suite("lanes", (("low", (governance.Rule("c", "minimum_coverage", 0.0),)), ("high", (governance.Rule("c", "minimum_coverage", 0.5),)))).results(comp(s, d)).select("specification", "violations", "passed"))
