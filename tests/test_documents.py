@@ -75,3 +75,14 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
         state[key] = on
     assert got == want
     assert record.any_active is not None
+
+
+def test_streamed_segments_and_confirmations(spark, tmp_path):
+    steps = [(1, True, "a"), (2, True, "a"), (3, True, "b"), (4, False, "b"), (5, True, "b"), (6, False, "b"), (7, False, "b"), (8, True, "c"), (9, False, "c"), (10, True, "c"), (11, True, "c"), (12, False, "c"), (13, True, "d")]
+    rows = [(n, "k", "s", None, on, [(("phase"), c)]) for n, on, c in steps]
+    df = spark.createDataFrame(rows, "pos long, key string, source string, partition_id string, active boolean, segments array<struct<name:string,value:string>>")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = live.record_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2, 2).writeStream.format("memory").queryName("steps").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.position, r.kind, r.start_position, json.loads(r.segments)[0]["value"]) for r in spark.table("steps").collect())
+    assert got == [(2, "Opened", 2, "a"), (3, "Closed", 2, "a"), (3, "Opened", 3, "b"), (7, "Closed", 3, "b"), (11, "Opened", 11, "c"), (13, "Closed", 11, "c"), (13, "Opened", 13, "d")]

@@ -99,28 +99,44 @@ def silences(obs: DataFrame, threshold: int, horizon: int) -> DataFrame:
     return x.where(F.coalesce("nxt", F.lit(horizon)) - F.col("pos") >= threshold).select("lane", (F.col("pos") + threshold).alias("silent_at"), F.col("nxt").alias("alive_at"))
 
 
-def record_stream(obs: DataFrame) -> DataFrame:
-    """Window transitions of a stream of observations (key, source, partition_id, pos, active): state is one open position a
-    lane. Rows of a micro-batch are taken in the order of pos; late ones (not after the lane's last) are dropped."""
+def record_stream(obs: DataFrame, enter_after: int = 1, exit_after: int = 1) -> DataFrame:
+    """Window transitions of a stream of observations (key, source, partition_id, pos, active[, segments]): state is one open
+    position a lane, its segments and the length of a pending run. Another segment context while active closes and reopens
+    at the same position; a change of activity counts once it has been seen `enter_after` or `exit_after` times in a row.
+    Rows of a micro-batch are taken in the order of pos; late ones (not after the lane's last) are dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    if min(enter_after, exit_after) < 1:
+        raise ValueError("confirmations must be at least 1")
+    obs = obs.withColumn("ctx", F.to_json("segments") if "segments" in obs.columns else F.lit("[]")).select("key", "source", "partition_id", "pos", "active", "ctx")
+
     def run(key, pdfs: Iterator[pd.DataFrame], state):
-        last, opened = state.get if state.exists else (-1, -1)
+        last, opened, held, pending = state.get if state.exists else (-1, -1, "[]", 0)
         out = []
-        for pos, active in sorted((int(p), bool(a)) for pdf in pdfs for p, a in zip(pdf["pos"], pdf["active"])):
+        for pos, active, ctx in sorted((int(p), bool(a), c) for pdf in pdfs for p, a, c in zip(pdf["pos"], pdf["active"], pdf["ctx"])):
             if pos <= last:
                 continue
             last = pos
-            if active and opened < 0:
-                opened = pos
-                out.append((*key, "Opened", pos, pos))
-            elif not active and opened >= 0:
-                out.append((*key, "Closed", opened, pos))
+            if active == (opened >= 0):
+                pending = 0
+                if active and ctx != held:
+                    out += [(*key, "Closed", opened, pos, held), (*key, "Opened", pos, pos, ctx)]
+                    opened, held = pos, ctx
+                continue
+            pending += 1
+            if pending < (enter_after if active else exit_after):
+                continue
+            pending = 0
+            if active:
+                opened, held = pos, ctx
+                out.append((*key, "Opened", pos, pos, ctx))
+            else:
+                out.append((*key, "Closed", opened, pos, held))
                 opened = -1
-        state.update((last, opened))
-        yield pd.DataFrame(out, columns=["key", "source", "partition_id", "kind", "start_position", "position"])
+        state.update((last, opened, held, pending))
+        yield pd.DataFrame(out, columns=["key", "source", "partition_id", "kind", "start_position", "position", "segments"])
 
-    return obs.groupBy("key", "source", "partition_id").applyInPandasWithState(run, "key string, source string, partition_id string, kind string, start_position long, position long", "last long, opened long", "append", GroupStateTimeout.NoTimeout)
+    return obs.groupBy("key", "source", "partition_id").applyInPandasWithState(run, "key string, source string, partition_id string, kind string, start_position long, position long, segments string", "last long, opened long, held string, pending int", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_batches(stream: DataFrame, sink, compare) -> object:
