@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -224,6 +225,36 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_overlaps(empty, bench).count() == decontaminate.find_overlaps(d, bench.limit(0)).count() == 0
 
 
+def substituted(n, changed, pad=("before", "after")):
+    """A text of n words, and a copy for every placement of up to `changed` other words, padded."""
+    item = [f"t{n}w{i}" for i in range(n)]
+    copies = []
+    for k in range(changed + 1):
+        for at in itertools.combinations(range(n), k):
+            copies.append(" ".join([pad[0], *("other" if i in at else x for i, x in enumerate(item)), pad[1]]))
+    return " ".join(item), copies
+
+
+def found_rows(copies, items, **limits):
+    p = {"window": 13, "least": 10, "shortest": 8} | limits
+    block = decontaminate.Items(list(range(len(items))), items, p["window"], p["least"])
+    buf, offs = text_buffer(pa.array(copies))
+    starts, ends, first = decontaminate.spans(buf, offs, decontaminate.NON_WORD)
+    return {x[:2] for x in decontaminate.overlaps(decontaminate.range_hashes(buf, starts, ends), first, block, p["least"], p["shortest"])}
+
+
+def test_decontamination_finds_every_substitution_of_a_window():
+    item, copies = substituted(13, 3)
+    assert len(copies) == 1 + 13 + 78 + 286
+    assert found_rows(copies, [item]) == {(r, 0) for r in range(len(copies))}
+    far = " ".join(["x", *("other" if i in (0, 4, 8, 12) else x for i, x in enumerate(item.split()))])
+    assert found_rows([far], [item]) == set()
+    for window, least in ((13, 13), (13, 8), (17, 13), (20, 14), (8, 5)):
+        item, copies = substituted(window, window - least)
+        copies = copies[:: max(1, len(copies) // 500)]
+        assert found_rows(copies, [item], window=window, least=least) == {(r, 0) for r in range(len(copies))}
+
+
 def lev(a, b):
     p = list(range(len(b) + 1))
     for x, ca in enumerate(a, 1):

@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks ignore some token positions, so a few substituted words leave a hit. Test hashes are a sorted table;
-training texts are hashed under every mask and probed. Around every hit the test item is laid over the text and
+Masks ignore some token positions; they are chosen so that every placement of the substitutions a window may have
+leaves a hit. Test hashes are a sorted table; training texts are hashed under every mask and probed. Around every hit the test item is laid over the text and
 windows of `window` tokens with at most `window - least` substitutions confirm an overlap.
 
 The test side goes to the tasks in blocks of at most `block_tokens` tokens (its size is measured first), so what is
@@ -15,6 +15,10 @@ tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +26,32 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, NON_WORD, U64, mix, range_hashes, row_of, small_batches, spans, table, text_buffer
 
-# Fixed masks: 1 compares a token, 0 ignores it.
-MASKS = ("1111110000", "1101001101", "1010110011", "1001101011")
 SCHEMA = "doc_id long, item_id long, overlap_tokens int, matched_tokens int, doc_start int, item_start int"
 
 
+@functools.lru_cache(None)
+def masks(n: int, changed: int, most: int = 6) -> tuple[str, ...]:
+    """Masks (1 compares a token, 0 ignores it) of which one at least fits between the changed tokens, wherever up to
+    `changed` of n tokens are: as many compared tokens as `most` masks allow, by greedy choice. Where that search is
+    large, or finds none, the masks are runs of ones: of changed + 1 equal parts of the n tokens, one is unchanged."""
+    if changed and math.comb(n, changed) << n < 1 << 22:
+        sets = [sum(1 << i for i in c) for c in itertools.combinations(range(n), changed)]
+        for weight in range(n - changed, 1, -1):
+            found = []
+            for span in range(weight, n + 1):
+                for inner in itertools.combinations(range(1, span - 1), weight - 2):
+                    m = 1 | 1 << (span - 1) | sum(1 << i for i in inner)
+                    found.append((sum(1 << k for k, c in enumerate(sets) if any(not m << o & c for o in range(n - span + 1))), m))
+            left, out = (1 << len(sets)) - 1, []
+            while left and len(out) < most:
+                hits, m = max(found, key=lambda f: (f[0] & left).bit_count())
+                left &= ~hits
+                out.append(f"{m:b}"[::-1])
+            if not left:
+                return tuple(out)
+    return ("1" * (n // (changed + 1)),)
+
+
 def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
@@ -42,14 +67,14 @@ def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Items:
     """A block of test items: tokens, and for every mask the sorted hashes with their places."""
 
-    def __init__(self, ids, texts, window: int):
+    def __init__(self, ids, texts, window: int, least: int):
         buf, offs = text_buffer(pa.array(texts, pa.string()))
         buf = LOWER[buf]
         starts, ends, self.first = spans(buf, offs, NON_WORD)
         self.ids, self.words = np.array(ids, np.int64), range_hashes(buf, starts, ends)
         self.window, rows, sizes = window, row_of(self.first, len(starts)), np.diff(self.first)
-        short = sorted(set(sizes[(sizes > 0) & (sizes < len(MASKS[0]))].tolist()))
-        self.masks = [(m, None) for m in MASKS] + [("1" * n, n) for n in short]
+        short = sorted(set(sizes[(sizes > 0) & (sizes < min(10, window))].tolist()))
+        self.masks = [(m, None) for m in masks(window, window - least)] + [("1" * n, n) for n in short]
         self.probes = []
         for k, (m, only) in enumerate(self.masks):
             h = masked(self.words, m, k)
@@ -124,7 +149,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 13, least: in
     out = None
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).toPandas().sort_values(["item_id", "t"])
-        shared = spark.sparkContext.broadcast(Items(part["item_id"].fillna(-1).tolist(), part["t"].tolist(), window))
+        shared = spark.sparkContext.broadcast(Items(part["item_id"].fillna(-1).tolist(), part["t"].tolist(), window, least))
 
         def run(batches, shared=shared):
             items = shared.value
