@@ -237,7 +237,7 @@ def substituted(n, changed, pad=("before", "after")):
 
 def found_rows(copies, items, **limits):
     p = {"window": 13, "least": 10, "shortest": 8} | limits
-    block = decontaminate.Items(list(range(len(items))), items, p["window"], p["least"])
+    block = decontaminate.Items(list(range(len(items))), items, p["window"], p["least"], p["shortest"])
     buf, offs = text_buffer(pa.array(copies))
     starts, ends, first = decontaminate.spans(buf, offs, decontaminate.NON_WORD)
     return {x[:2] for x in decontaminate.overlaps(decontaminate.range_hashes(buf, starts, ends), first, block, p["least"], p["shortest"])}
@@ -255,6 +255,21 @@ def test_decontamination_finds_every_substitution_of_a_window():
         assert found_rows(copies, [item], window=window, least=least) == {(r, 0) for r in range(len(copies))}
 
 
+def test_decontamination_finds_every_substitution_of_short_items():
+    items, texts, want = [], [], set()
+    for n, changed in ((1, 0), (2, 0), (7, 0), (8, 1), (9, 2), (10, 2), (11, 2), (12, 2), (13, 3)):
+        item, copies = substituted(n, min(n, changed + 1))
+        allowed = sum(math.comb(n, k) for k in range(changed + 1))
+        want |= {(len(texts) + r, len(items)) for r in range(allowed)}
+        items.append(item)
+        texts += copies
+        assert allowed < len(copies)
+    assert found_rows(texts, items) == want
+    assert found_rows([t.removeprefix("before ").removesuffix(" after") for t in texts], items) == want
+    item, copies = substituted(12, 0)
+    assert found_rows(copies, [item], least=13) == {(0, 0)}
+
+
 def lev(a, b):
     p = list(range(len(b) + 1))
     for x, ca in enumerate(a, 1):

@@ -52,6 +52,12 @@ def masks(n: int, changed: int, most: int = 6) -> tuple[str, ...]:
     return ("1" * (n // (changed + 1)),)
 
 
+def needed(n: int, window: int, least: int, shortest: int) -> int:
+    """Equal tokens that an item of n tokens must have in a window, or in all of it where it is shorter."""
+    w = min(n, window)
+    return w if n < shortest else -(-w * least // window)
+
+
 def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
@@ -67,21 +73,22 @@ def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Items:
     """A block of test items: tokens, and for every mask the sorted hashes with their places."""
 
-    def __init__(self, ids, texts, window: int, least: int):
+    def __init__(self, ids, texts, window: int, least: int, shortest: int):
         buf, offs = text_buffer(pa.array(texts, pa.string()))
         buf = LOWER[buf]
         starts, ends, self.first = spans(buf, offs, NON_WORD)
         self.ids, self.words = np.array(ids, np.int64), range_hashes(buf, starts, ends)
         self.window, rows, sizes = window, row_of(self.first, len(starts)), np.diff(self.first)
-        short = sorted(set(sizes[(sizes > 0) & (sizes < min(10, window))].tolist()))
-        self.masks = [(m, None) for m in masks(window, window - least)] + [("1" * n, n) for n in short]
+        # Items of a window or more are found by the masks of a window (None); shorter ones by masks of their own length.
+        self.masks = []
+        for n in sorted(set(np.minimum(sizes[sizes > 0], window).tolist())):
+            self.masks += [(m, None if n == window else n) for m in masks(n, n - needed(n, window, least, shortest))]
         self.probes = []
         for k, (m, only) in enumerate(self.masks):
             h = masked(self.words, m, k)
             at = np.arange(len(h))
             ok = at + len(m) <= self.first[rows[at] + 1] if len(h) else np.zeros(0, bool)
-            if only:
-                ok &= sizes[rows[at]] == only
+            ok &= sizes[rows[at]] == only if only else sizes[rows[at]] >= window
             at = at[ok]
             order = np.argsort(h[at], kind="stable")
             self.probes.append((h[at][order], at[order]))
@@ -120,7 +127,7 @@ def overlaps(words, first, items: Items, least: int, shortest: int):
         lo, hi = max(0, -d), min(len(item), len(doc) - d)
         same = doc[lo + d : hi + d] == item[lo:hi]
         w = min(items.window, len(item))
-        need = w if len(item) < shortest else -(-w * least // items.window)
+        need = needed(len(item), items.window, least, shortest)
         if len(same) < w:
             continue
         c = np.concatenate(([0], np.cumsum(same)))
@@ -149,7 +156,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 13, least: in
     out = None
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).toPandas().sort_values(["item_id", "t"])
-        shared = spark.sparkContext.broadcast(Items(part["item_id"].fillna(-1).tolist(), part["t"].tolist(), window, least))
+        shared = spark.sparkContext.broadcast(Items(part["item_id"].fillna(-1).tolist(), part["t"].tolist(), window, least, shortest))
 
         def run(batches, shared=shared):
             items = shared.value
