@@ -328,6 +328,51 @@ def test_line_dedup(spark, docs, empty, block):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(docs).count() == docs.count()
 
 
+ALPHABET = "ab é\u4e2d\u0101\U0001f600"
+
+
+def test_characters_equal_edit_distance_over_code_points():
+    r = random.Random(5)
+    a, b = [], []
+    for _ in range(800):
+        x = [r.choice(ALPHABET) for _ in range(r.randint(0, 20))]
+        y = list(x)
+        for _ in range(r.randint(0, 4)):
+            i = r.randint(0, len(y))
+            y[i : i + r.randint(0, 1)] = [r.choice(ALPHABET) for _ in range(r.randint(0, 1))]
+        a.append("".join(x))
+        b.append("".join(y))
+    p, q = ([x.encode() for x in c] for c in (a, b))
+    assert [[int(v) & 0x3FFFFFF for v in c] for c in lines.characters([x.encode() for x in "ab"])] == [[97], [98]]
+    assert [len(c) for c in lines.characters(p)] == [len(x) for x in a]
+    odd = [b"\x80\x80\x80\x80\x80\x80", b"a\x80", b"\xc3", b"\xa9x", b""]
+    assert len({tuple(c.tolist()) for c in lines.characters(odd)}) == len(odd)
+    for k in (1, 2):
+        want = np.array([lev(x, y) <= k for x, y in zip(a, b)])
+        assert (lines.within(p, q, k) == want).all() and (lines.likely(p, q, k) >= want).all()
+
+
+def test_op9_counts_edits_in_characters(spark, tmp_path):
+    r = random.Random(6)
+    rows = []
+    for n in range(8):
+        y = [r.choice("abcdefghij éü\u4e2d\u6587") for _ in range(40)] + [str(n)] * 3
+        for k in range(5):
+            z = list(y)
+            for at in r.sample(range(1, 39), k):
+                z[at] = r.choice("ä\u00e1\u8a9e\U0001f600x")
+            rows.append((len(rows), "".join(z)))
+    rows += [(90, "the cafe on the corner sells pate daily"), (91, "the café on the corner sells paté daily")]
+    seen, want = [], {}
+    for i, x in rows:
+        y = " ".join(x.split())
+        want[i] = [0] if any(lev(y, z) <= 2 for z in seen) else []
+        seen.append(y)
+    assert want[91] == [0] and sum(map(len, want.values())) < len(rows) - 8
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: list(x.removed) for x in lines.op9_line_dedup(spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_substring(spark, docs, empty):
     t = {r[0]: (r[1] or "").encode().split() for r in corpus()}
     first = {}

@@ -1,7 +1,7 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines are normalised (ASCII lower case, white space collapsed) and compared as UTF-8 bytes. A line of `least` bytes or
-more is split into edits + 1 segments; two lines within `edits` edits share a segment of one at a place near that in the
+Lines are normalised (ASCII lower case, white space collapsed) and compared by `unit`: UTF-8 bytes, or characters
+(code points), as op9 and the pipeline do. A line of `least` bytes or more is split into edits + 1 segments; two lines within `edits` edits share a segment of one at a place near that in the
 other, so each line is indexed by (length, segment, hash) and probes the indexes of its own and the `edits` shorter
 lengths. A sieve drops keys that only copies of one line hold; for the others the lines meet, and pairs are verified by a
 bit-parallel edit distance whose band (2 x edits + 1 diagonals) lies in one machine word, over many pairs at once.
@@ -58,22 +58,66 @@ def names(buf, starts, ends):
     return range_hashes(buf, starts, ends), range_hashes(_OTHER[buf], starts, ends)
 
 
-def within(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
-    """Which pairs are within k edits. Pairs whose byte counts differ too much are out at once; equal beginnings and ends
-    are cut off; the rest goes through the band."""
+def points(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(characters, starts, ends) of lines given as UTF-8 bytes: one number for each code point, an ASCII byte its own.
+    Malformed bytes count as characters of up to four bytes; the same bytes of a line always give the same numbers."""
+    if not (buf >= 128).any():
+        return buf, starts, ends
+    wide = np.concatenate((buf, np.zeros(4, np.uint8))).astype(np.uint32)
+    more = (wide & 0xC0) == 0x80
+    more[starts] = False
+    far = more.copy()  # a fourth continuation in a row begins a character
+    for j in (1, 2, 3):
+        far[j:] &= more[:-j]
+    far[:3] = False
+    more &= ~far
+    at = np.flatnonzero(~more[: len(buf)])
+    value, size, open_ = wide[at], np.zeros(len(at), np.uint32), np.ones(len(at), bool)
+    for j in (1, 2, 3):
+        open_ &= more[at + j]
+        value = np.where(open_, value << 6 | wide[at + j] & 63, value)
+        size += open_
+    rank = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(~more[: len(buf)], out=rank[1:])
+    return value | size << 26, rank[starts], rank[ends]
+
+
+def characters(lines: list) -> list[np.ndarray]:
+    """The characters of each line; lines that are already so stay."""
+    if all(not isinstance(x, bytes) for x in lines):
+        return lines
+    if all(x.isascii() for x in lines):
+        return [np.frombuffer(x, np.uint8) for x in lines]
+    ends = np.cumsum([len(x) for x in lines])
+    full = np.array([len(x) > 0 for x in lines])
+    starts = ends - [len(x) for x in lines]
+    value, first, _ = points(np.frombuffer(b"".join(lines), np.uint8), starts[full], ends[full])
+    cut = np.append(first, len(value))
+    got = iter([value[i:j] for i, j in zip(cut, cut[1:])])
+    return [next(got) if f else value[:0] for f in full]
+
+
+def octets(lines: list) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in lines]
+
+
+UNITS = {"byte": octets, "character": characters}
+
+
+def within(a: list, b: list, k: int) -> np.ndarray:
+    """Which pairs are within k edits of characters. Pairs whose lengths differ too much are out at once; equal beginnings
+    and ends are cut off; the rest goes through the band."""
     out = np.zeros(len(a), bool)
+    a, b = characters(a), characters(b)
     rest, x, y = [], [], []
-    for i, (p, q) in enumerate(zip(a, b)):
-        if p == q:
-            out[i] = True
-        elif abs(len(p) - len(q)) <= k:
-            u, v = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    for i, (u, v) in enumerate(zip(a, b)):
+        if abs(len(u) - len(v)) <= k:
             m = min(len(u), len(v))
             d = np.flatnonzero(u[:m] != v[:m])
             lo = int(d[0]) if len(d) else m
             e = np.flatnonzero(u[len(u) - m + lo :] != v[len(v) - m + lo :])
             cut = m - lo - 1 - int(e[-1]) if len(e) else m - lo
-            p, q = p[lo : len(p) - cut], q[lo : len(q) - cut]
+            p, q = u[lo : len(u) - cut], v[lo : len(v) - cut]
             if len(p) <= k and len(q) <= k:
                 out[i] = True
             else:
@@ -88,10 +132,10 @@ def within(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
     return out
 
 
-def _codes(x: list[bytes], width: int, left: int, fill: int) -> np.ndarray:
-    m = np.full((len(x), width), fill, np.int16)
+def _codes(x: list[np.ndarray], width: int, left: int, fill: int) -> np.ndarray:
+    m = np.full((len(x), width), fill, np.int16 if all(s.dtype == np.uint8 for s in x) else np.int32)
     for r, s in enumerate(x):
-        m[r, left : left + len(s)] = np.frombuffer(s, np.uint8)
+        m[r, left : left + len(s)] = s
     return np.ascontiguousarray(m.T)
 
 
@@ -132,17 +176,23 @@ _CODE = mix(np.arange(1, 257, dtype=U64))
 class Keys:
     """Index and probe keys of lines."""
 
-    def __init__(self, edits: int):
-        self.k = edits
+    def __init__(self, edits: int, unit: str = "byte"):
+        self.k, self.unit = edits, unit
 
     def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """(line, key, whether it is an index key), by prefix sums over the bytes."""
+        """(line, key, whether it is an index key), by prefix sums over the units of lines given as bytes."""
+        if self.unit == "character":
+            buf, starts, ends = points(buf, starts, ends)
         k, rows, keys, kinds, lo = self.k, [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, bool)], 0
         while lo < len(starts):
             hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 18), "right")))
             base0 = int(starts[lo])
             pw, inv = powers(int(ends[hi - 1]) - base0 + 1)
-            code = _CODE[buf[base0 : int(ends[hi - 1])]]
+            part = buf[base0 : int(ends[hi - 1])]
+            code = _CODE[part & 255]
+            if part.dtype != np.uint8:
+                big = part > 255
+                code[big] = mix(part[big].astype(U64) + U64(1))
             sums = np.concatenate(([U64(0)], np.cumsum(code * pw[: len(code)])))
             begin, L, row = starts[lo:hi] - base0, ends[lo:hi] - starts[lo:hi], np.arange(lo, hi)
             for short in range(k + 1):  # the indexed line has length L - short
@@ -189,14 +239,14 @@ def long_lines(b, least: int):
         yield out, starts[keep], ends[keep], h1[keep]
 
 
-def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int = 2000) -> DataFrame:
+def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int = 2000, unit: str = "byte") -> DataFrame:
     """(doc_id, n) of all lines that have an equal or close line before them."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("t")).where("doc_id is not null and t is not null")
     lines = stage(all_lines(docs), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f"))
-    keyer, sieve = Keys(edits), Sieve(spark)
+    keyer, sieve, read = Keys(edits, unit), Sieve(spark), UNITS[unit]
 
     def owned(batches):
         for b in batches:
@@ -242,14 +292,14 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
                 if len(small) > 20_000:
                     flush()
             else:
-                out.extend(late(held, edits))
+                out.extend(late(held, edits, read))
 
         def flush():
             if small:
-                ok = likely([p[6] for p, _ in small], [q[6] for _, q in small], edits)
-                some = [small[i] for i in np.flatnonzero(ok)]
-                good = within([p[6] for p, _ in some], [q[6] for _, q in some], edits)
-                out.extend({(some[i][0][2], some[i][0][3]) for i in np.flatnonzero(good)})
+                a, b = read([p[6] for p, _ in small]), read([q[6] for _, q in small])
+                some = np.flatnonzero(likely(a, b, edits))
+                good = some[within([a[i] for i in some], [b[i] for i in some], edits)]
+                out.extend({(small[i][0][2], small[i][0][3]) for i in good})
                 small.clear()
 
         for b in batches:
@@ -273,25 +323,25 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     return lines.join(flagged.hint("merge"), ["h1", "h2"]).where("close or struct(doc_id, n) <> f").select("doc_id", "n")
 
 
-def counts(x: list[bytes]) -> np.ndarray:
+def counts(x: list) -> np.ndarray:
     out = np.zeros((len(x), 64), np.int32)
-    for r, s in enumerate(x):
-        out[r] = np.bincount(np.frombuffer(s, np.uint8) & 63, minlength=64)
+    for r, s in enumerate(characters(x)):
+        out[r] = np.bincount(s & 63, minlength=64)
     return out
 
 
 def likely(a: list[bytes], b: list[bytes], k: int) -> np.ndarray:
-    """Pairs whose byte counts differ by no more than k edits could make them."""
+    """Pairs whose counts of characters differ by no more than k edits could make them."""
     out = np.zeros(len(a), bool)
     for s in range(0, len(a), 4096):
         out[s : s + 4096] = np.abs(counts(a[s : s + 4096]) - counts(b[s : s + 4096])).sum(1) <= 2 * k
     return out
 
 
-def late(group, k: int):
+def late(group, k: int, read=octets):
     """Names (h1, h2) of the lines of a key, sorted by first place, with a close line before them. Block by block
     against the earliest lines first; a line found late is not tried again, but others are tried against it."""
-    text, own = [r[6] for r in group], np.array([r[1] for r in group])
+    text, own = read([r[6] for r in group]), np.array([r[1] for r in group])
     have = counts(text)
     open_, found = np.arange(1, len(group)), np.zeros(len(group), bool)
     step, lo = 1, 0
@@ -312,10 +362,10 @@ def late(group, k: int):
     return [(group[i][2], group[i][3]) for i in np.flatnonzero(found)]
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24, unit: str = "byte") -> DataFrame:
     """docs with `text` without its late lines, and n_lines, n_removed, removed (line numbers, in order)."""
     spark = docs.sparkSession
-    gone = stage(earlier_lines(docs, edits, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("removed")), "line-gone")
+    gone = stage(earlier_lines(docs, edits, least, unit=unit).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("removed")), "line-gone")
     extra = ("removed", "n_lines", "n_removed")
     base = docs.drop(*[c for c in docs.columns if c in extra])
     # Only texts that lose lines move: others pass a bounded filter on their ids and are emitted where they are read.
@@ -334,5 +384,5 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24) -> DataFrame:
 
 
 def op9_line_dedup(spark, sf_dir):
-    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="character")
     return got.select("doc_id", "n_lines", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
