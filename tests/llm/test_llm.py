@@ -12,8 +12,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact, jaccard, language, lines, lm, packing, spans, toxicity, warc
+from tidemark.llm import components, decontaminate, exact, jaccard, language, lines, lm, packing, spans, toxicity, warc
 from tidemark.llm.common import text_buffer
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long, removed string, class_id string"
@@ -390,6 +391,60 @@ def test_substring(spark, docs, empty):
     assert spans.remove_repeats(empty).count() == 0
 
 
+def test_substring_judges_rows_of_one_id_by_their_texts(spark):
+    a, b, x = (" ".join(f"{c}{i}" for i in range(20)) for c in "abx")
+    loop = "again " * 30
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, f"{b} {x}"), (4, f"{b} {x}"), (5, f"{x[4:]} {a}"), (6, loop), (7, loop * 2), (8, None), (9, ""), (None, a), (None, None), (10, "one two")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(1, 20, 0), (2, 20, 20), (2, 20, 0), (3, 20, 20), (4, 40, 20), (4, 40, 20), (5, 39, 38), (6, 30, 0), (7, 60, 60), (8, 0, 0), (9, 0, 0), (None, 20, 0), (None, 0, 0), (10, 2, 0)])
+
+
+def test_substring_graph(spark):
+    """Shared passages that fork at one place: the node before the fork branches, and paths end there."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(9)) for x in "abc")
+    rows = spans.rows_of(spark.createDataFrame([(1, f"{a} {b}"), (2, f"{a} {c}"), (3, f"p q {a} {b} r"), (4, f"s {a} {c}"), (5, f"u {c} {c}")], "doc_id long, text string"))
+    k = 3
+    edge = spans.sources(spans.edges(rows, k))
+    words = {1: f"{a} {b}".split(), 2: f"{a} {c}".split()}
+    triples = {tuple(words[i][j : j + k]) for i in words for j in range(len(words[i]) - k + 1)}
+    assert edge.count() == len(triples)
+    branch = spans.branching(edge)
+    assert branch.count() == 1  # a7 a8, followed by b0 or by c0
+    piece = spans.pieces(edge, branch)
+    assert piece.select("piece").distinct().count() == 3 and piece.where("shut").count() == 1
+    assert spans.paths(piece).count() == 0
+    line = spans.rows_of(spark.createDataFrame([(1, "a b c d"), (2, "z b c d e f"), (3, "a b c d e f")], "doc_id long, text string"))
+    edge = spans.sources(spans.edges(line, k))
+    piece = spans.pieces(edge, spans.branching(edge))
+    assert sorted(r.src_at for r in edge.collect()) == [0, 1, 2, 3] and piece.select("piece").distinct().count() == 2
+    assert {r.path for r in spans.paths(piece).collect()} and spans.paths(piece).select("path").distinct().count() == 1
+
+
+def test_substring_digests_the_words_of_the_source(spark):
+    """A span that the names of edges give wrongly: the digest is of the words at the source coordinates."""
+    rows = [(1, prose(30, 1)), (2, prose(30, 2)), (3, prose(30, 1))]
+    r, a = spans.rows_of(spark.createDataFrame(rows, "doc_id long, text string")), None
+    wrong = r.where("doc_id = 2").select("doc_id", "key", F.lit(0).alias("at"), F.lit(20).alias("n"))
+    first = r.where("doc_id = 1").first()
+    a = wrong.withColumn("src", F.lit(1).cast("long")).withColumn("src_key", F.lit(first.key)).withColumn("src_at", F.lit(0))
+    seen = spans.verified(r, a).first()
+    assert seen.digest == spans.digest(rows[0][1].encode().split()[:20]) != spans.digest(rows[1][1].encode().split()[:20])
+
+
+def test_components_of_long_chains(spark):
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5, 5)], "a long, b long")
+    got = {r.id: r.label for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_chains(spark):
+    links = [(i, i - 1) for i in range(100, 60, -1)] + [(i, i + 1) for i in range(0, 17)] + [(200, 201)] + [(301, 302), (302, 300), (300, 301)]
+    got = {r.id: r.label for r in components.chains(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(60, 101)} | {i: 0 for i in range(18)} | {200: 200, 201: 200} | {300: 300, 301: 300, 302: 300}
+    assert components.chains(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_lines_of_null_and_blank():
     out, s, e, r, n = lines.lines_of(*text_buffer(pa.array(["  A  b\n\n c\td \r\nx", "", None, "\n", "zZ\n  \n q  q"])))
     assert [(bytes(out[a:b]), int(x), int(y)) for a, b, x, y in zip(s, e, r, n)] == [(b"a b", 0, 0), (b"c d", 0, 2), (b"x", 0, 3), (b"zz", 4, 0), (b"q q", 4, 2)]

@@ -44,13 +44,31 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. The shuffle files behind it
+    are given back at once: whoever executes df itself again computes them anew."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing lazy reads any more."""
+    for df in staged:
+        remove(df.sparkSession, df.staged_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -68,6 +86,8 @@ def partitions_for(spark: SparkSession) -> int:
 
 # ---------------------------------------------------------------- hashing
 
+# The multipliers and shifts of the splitmix64 finaliser, and its increment as the base of the polynomial.
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""

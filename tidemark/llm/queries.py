@@ -7,25 +7,11 @@ from tidemark.llm.language import op2_language
 from tidemark.llm.lines import op9_line_dedup
 from tidemark.llm.lm import op4_lm_scoring
 from tidemark.llm.packing import op1_packing
-from tidemark.llm.spans import op10_substring
+from tidemark.llm.spans import OP10_SQL, op10_substring
 from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.warc import op7_warc
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_exact_dedup, op4_lm_scoring, op5_toxicity, op6_jaccard, op7_warc,
                                    op8_decontamination, op9_line_dedup, op10_substring)}
 
-OP10_SQL = r"""
-with w as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
-t as (select doc_id, unnest(range(1, len(words) - 11)) as i, words from w),
-g as (select doc_id, i, array_to_string(words[i : i + 12], ' ') as s from t),
-f as (select s, min(doc_id) as first from g group by s),
-gone as (select distinct doc_id, p from (select g.doc_id, unnest(range(g.i, g.i + 13)) as p from g join f using (s) where g.doc_id > f.first)),
-cut as (select doc_id, list(p) as ps from gone group by doc_id),
-kept as (select w.doc_id, w.words, coalesce(len(cut.ps), 0) as n_removed,
-         list_filter(list_transform(w.words, (x, j) -> case when list_contains(coalesce(cut.ps, []), j) then null else x end), x -> x is not null) as k
-         from w left join cut using (doc_id))
-select doc_id, len(words)::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
-"""
-
-SQL = {"op3_exact_dedup": OP3_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op10_substring": OP10_SQL}
