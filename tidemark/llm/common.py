@@ -9,6 +9,7 @@ a batch gives the hash of any byte range as (S[end] - S[start]) * B^-start
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -48,17 +49,24 @@ def remove(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Queries run in here give their shuffle files back when they end."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. The shuffle files behind it
     are given back at once: whoever executes df itself again computes them anew."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with released(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -201,7 +209,8 @@ class Bitmap:
     def build(df: DataFrame, column: str, bits: int = 26) -> "Bitmap":
         slot = F.shiftrightunsigned(F.col(column), 64 - bits)
         parts = df.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("b"))
-        got = parts.select("w", "b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        with released(df.sparkSession):
+            got = parts.select("w", "b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         words = np.zeros(1 << (bits - 6), U64)
         if got.num_rows:
             words[got["w"].to_numpy()] = got["b"].to_numpy().view(U64)
@@ -237,7 +246,7 @@ class Sieve:
     Tasks fold (key, owner) pairs to one entry a key with its least and largest owner and whether any pair was marked,
     and send them as packed arrays, one row for each range of keys (`ranges`, which grow with the partitions). Where a
     range meets, keys with two owners or more and a mark set their bits of a bounded Bitmap. Hot keys shrink to an entry
-    a task before they move."""
+    a task before they move. Owners are compared in full (64 bits)."""
 
     FORM = "range int, k binary, a binary, z binary, m binary"
 
@@ -284,19 +293,24 @@ class Sieve:
             return pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([zlib.compress(np.packbits(slots, bitorder="little").tobytes(), 1)]), pa.array([len(live)], pa.int64())], names=["range", "bits", "n"])
 
         def merge(batches):
-            now, held = None, []
+            now, held, size = None, [], 0
             for b in batches:
                 for w, k, a, d, m in zip(*(c.to_pylist() for c in b.columns)):
                     if w != now and held:
                         yield close(now, held)
-                        held = []
+                        held, size = [], 0
                     now = w
                     a = np.frombuffer(a, np.int64)
                     held.append((np.frombuffer(k, U64), a, a + np.frombuffer(d, np.int64), np.frombuffer(m, np.uint8)))
+                    size += len(a)
+                    if size > max(4_000_000, 2 * len(held[0][0])):  # of a range, one entry a key is held
+                        held = [self._fold(held)]
+                        size = len(held[0][0])
             if held:
                 yield close(now, held)
 
-        got = packed.repartition(self.partitions, "range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary, n long").toArrow()
+        with released(packed.sparkSession):
+            got = packed.repartition(self.partitions, "range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary, n long").toArrow()
         words = np.zeros(1 << (self.bits - 3), np.uint8)
         for w, data in zip(got["range"].to_pylist(), got["bits"].to_pylist()):
             part = np.frombuffer(zlib.decompress(data), np.uint8)

@@ -61,25 +61,23 @@ def names(buf, starts, ends):
 def points(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """(characters, starts, ends) of lines given as UTF-8 bytes: one number for each code point, an ASCII byte its own.
     Malformed bytes count as characters of up to four bytes; the same bytes of a line always give the same numbers."""
-    if not (buf >= 128).any():
+    tail = np.flatnonzero((buf & 0xC0) == 0x80)  # only these few bytes are looked at one by one
+    begins = np.zeros(len(buf) + 1, bool)
+    begins[starts], begins[0] = True, True
+    tail = tail[~begins[tail]]
+    if not len(tail):
         return buf, starts, ends
-    wide = np.concatenate((buf, np.zeros(4, np.uint8))).astype(np.uint32)
-    more = (wide & 0xC0) == 0x80
-    more[starts] = False
-    far = more.copy()  # a fourth continuation in a row begins a character
-    for j in (1, 2, 3):
-        far[j:] &= more[:-j]
-    far[:3] = False
-    more &= ~far
-    at = np.flatnonzero(~more[: len(buf)])
-    value, size, open_ = wide[at], np.zeros(len(at), np.uint32), np.ones(len(at), bool)
-    for j in (1, 2, 3):
-        open_ &= more[at + j]
-        value = np.where(open_, value << 6 | wide[at + j] & 63, value)
-        size += open_
-    rank = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(~more[: len(buf)], out=rank[1:])
-    return value | size << 26, rank[starts], rank[ends]
+    new = np.concatenate(([True], np.diff(tail) != 1))
+    nth = np.arange(len(tail)) - np.maximum.accumulate(np.where(new, np.arange(len(tail)), 0))
+    tail, nth = tail[nth < 3], nth[nth < 3]  # a fourth continuation in a row begins a character
+    lead = np.ones(len(buf), bool)
+    lead[tail] = False
+    value = buf[lead].astype(np.uint32)
+    own = tail - np.arange(len(tail)) - 1  # the character that a continuation belongs to
+    for j in range(3):
+        at = own[nth == j]
+        value[at] = (value[at] & 0x3FFFFFF) << 6 | buf[tail[nth == j]] & 63 | np.uint32((j + 1) << 26)
+    return value, starts - np.searchsorted(tail, starts), ends - np.searchsorted(tail, ends)
 
 
 def characters(lines: list) -> list[np.ndarray]:
@@ -252,7 +250,7 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
         for b in batches:
             for buf, starts, ends, h1 in long_lines(b, least):
                 rows, keys, kinds = keyer.of(buf, starts, ends)
-                yield keys, (h1 >> U64(33)).astype(np.int64)[rows], kinds
+                yield keys, signed(h1)[rows], kinds
 
     shared = spark.sparkContext.broadcast(sieve.bitmap(docs.mapInArrow(lambda batches: sieve.pack(owned(batches)), Sieve.FORM)))
 
