@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, WHITE, Bitmap, Sieve, U64, in_bitmap, mix, partitions_for, powers, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer
+from tidemark.llm.common import LOWER, WHITE, Bitmap, Sieve, U64, discard, in_bitmap, mix, partitions_for, powers, range_hashes, row_of, signed, small_batches, spans, stage, table, text_buffer
 
 
 NORMAL = np.where(WHITE, np.uint8(32), LOWER)
@@ -243,7 +243,7 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     small_batches(spark, 2000)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("t")).where("doc_id is not null and t is not null")
     lines = stage(all_lines(docs), "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f"))
+    firsts = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("places")), "line-firsts")
     keyer, sieve, read = Keys(edits, unit), Sieve(spark), UNITS[unit]
 
     def owned(batches):
@@ -275,8 +275,8 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     large = met.groupBy("key").count().where(F.col("count") > 2 * block).select("key", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     mine = F.pmod(F.col("h1"), F.col("nb")).cast("int")
     pairs = F.when(F.col("nb").isNull(), F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.concat_ws(",", F.least(o, mine), F.greatest(o, mine))))
-    met = met.join(large.hint("merge"), "key", "left").withColumn("pair", F.explode(pairs)).select("key", "own", "h1", "h2", "doc_id", "n", "t", "pair")
-    met = met.repartition(partitions_for(spark), "key", "pair").sortWithinPartitions("key", "pair", "doc_id", "n")
+    dealt = met.join(large.hint("merge"), "key", "left").withColumn("pair", F.explode(pairs)).select("key", "own", "h1", "h2", "doc_id", "n", "t", "pair")
+    dealt = dealt.repartition(partitions_for(spark), "key", "pair").sortWithinPartitions("key", "pair", "doc_id", "n")
 
     def verify(batches):
         now, held, small, out = None, [], [], []
@@ -315,9 +315,10 @@ def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int =
     def pack(out):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["h1", "h2"])
 
-    close_ones = met.mapInArrow(verify, "h1 long, h2 long").distinct().withColumn("close", F.lit(True))
+    close_ones = dealt.mapInArrow(verify, "h1 long, h2 long").distinct().withColumn("close", F.lit(True))
     # All places of a line with a close one before its first place; else its places after the first.
-    flagged = firsts.join(close_ones.hint("merge"), ["h1", "h2"], "left")
+    flagged = stage(firsts.join(close_ones.hint("merge"), ["h1", "h2"], "left").where("close or places > 1").select("h1", "h2", "f", "close"), "line-late")
+    discard(met, firsts)
     return lines.join(flagged.hint("merge"), ["h1", "h2"]).where("close or struct(doc_id, n) <> f").select("doc_id", "n")
 
 
