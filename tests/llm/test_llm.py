@@ -112,37 +112,42 @@ def test_grace_spills_and_streams_equal_hashes():
 
 
 def lm_brute(rows, target):
-    """(id, tokens, score) of every row, by plain dictionaries."""
+    """(id, tokens, score) of every row, by plain dictionaries, each row under the models of all others."""
     toks = [(i, re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))) for i, x in rows]
     uni, pair = ([collections.Counter(), collections.Counter()] for _ in range(2))
     for i, w in toks:
         s = 0 if i in target else 1
         uni[s].update(w)
         pair[s].update(zip(w, w[1:]))
-    n = [sum(c.values()) for c in uni]
     out = []
     for i, w in toks:
+        mine = 0 if i in target else 1
+        u, p2 = collections.Counter(w), collections.Counter(zip(w, w[1:]))
+        one = lambda s, x: uni[s][x] - (u[x] if s == mine else 0)
+        two = lambda s, v, x: pair[s][v, x] - (p2[v, x] if s == mine else 0)
+        n = [sum(uni[s].values()) - (len(w) if s == mine else 0) for s in (0, 1)]
         got = 0.0
         for j, x in enumerate(w):
-            if uni[0][x] + uni[1][x] < 2 or not all(n):
+            if one(0, x) + one(1, x) < 1 or not all(n):
                 continue
             p = []
             for s in (0, 1):
                 k = n[0] / n[s]
-                flat = 0.9 * uni[s][x] * k / n[0] + 0.1 * (uni[0][x] + uni[1][x]) / sum(n)
+                flat = 0.9 * one(s, x) * k / n[0] + 0.1 * (one(0, x) + one(1, x)) / sum(n)
                 v = w[j - 1] if j else None
-                if j and uni[0][v] + uni[1][v] > 1:
-                    c = pair[s][v, x] * k if pair[0][v, x] + pair[1][v, x] > 1 else 0
-                    flat = (c + 5 * flat) / (uni[s][v] * k + 5)
+                if j and one(0, v) + one(1, v) > 0:
+                    flat = (two(s, v, x) * k + 5 * flat) / (one(s, v) * k + 5)
                 p.append(flat)
             got += math.log(p[1]) - math.log(p[0])
         out.append((i, len(w), got / max(len(w), 1)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 400])
-def test_lm(spark, docs, empty, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk,keys", [(16 << 20, 1 << 21), (400, 1 << 21), (300, 8)])
+def test_lm(spark, docs, empty, chunk, keys, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "RANGE", keys)
+    assert (lm.growth(10_000) > 1) == (keys == 8) and lm.growth(0) == 1
     monkeypatch.setattr(lm, "DOCS", 200 if chunk > 1000 else 2)
     got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, docs.where("doc_id in (0, 1, 2, 11)").unionByName(docs.where("doc_id = 1"))).collect())
     want = lm_brute([(r[0], r[1]) for r in corpus()], {0, 1, 2, 11})
@@ -193,6 +198,47 @@ def test_jaccard(spark, docs, empty, block):
     assert jaccard.join(empty.select("doc_id", "text")).count() == 0
 
 
+def similar_pairs(n, r):
+    """n pairs of sets of 180 shingles with 160 in common: a similarity of 0.8."""
+    for _ in range(n):
+        u = np.array([r.getrandbits(64) for _ in range(200)], np.uint64)
+        yield np.sort(u[:180]), np.sort(np.concatenate((u[:160], u[180:])))
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_jaccard_recall_at_the_threshold(levels):
+    """Pairs at similarity 0.8 whose paths are split at every level: found in one run at least, at each depth allowed."""
+    r, found, total, similarity = random.Random(levels), 0, 400, 0.8
+    start = jaccard.mix(np.arange(jaccard.runs_for(0.999), dtype=np.uint64) + np.uint64(1))
+    for a, b in similar_pairs(total, r):
+        x, y = jaccard.embed(a), jaccard.embed(b)
+        both = [np.unique(jaccard.follow(jaccard.mix(v + jaccard._SLOT), start, similarity)[1]) for v in (x, y)]
+        paths = np.intersect1d(*both)
+        for _ in range(levels - 1):
+            both = [np.unique(jaccard.follow(jaccard.tokens(jaccard.short(v).tobytes()), paths, similarity)[1]) if len(paths) else paths for v in (x, y)]
+            paths = np.intersect1d(*both)
+        found += len(paths) > 0
+    assert levels <= jaccard.DEPTH and found >= 0.985 * total
+
+
+def test_jaccard_of_few_shingles_is_exact(spark):
+    """8 words against 9: similarity 4 / 5 exactly."""
+    rows, want = [], {}
+    for n in range(60):
+        w = [f"s{n}w{i}" for i in range(9 + n % 4)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[:-1]))]
+        want |= {2 * n: (2 * n, 1), 2 * n + 1: (2 * n, 1)}
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_jaccard_of_one_id_with_two_texts(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(60, 23)), (None, a), (None, None)]
+    got = collections.Counter((r.doc_id, r.class_id, r.links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(1, 1, 2), (1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 4, 0), (None, None, 0), (None, None, 0)])
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "x", "WARC/1.1\r\n\r\nboo" * 500)]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, type string")

@@ -5,16 +5,19 @@ class from the start. Every class embeds its set in 128 minimum hashes, the toke
 
 1. Chosen path: in each run, a class follows every token whose hash under the path so far is below 1 / (t x similarity),
    so two sets of the wanted similarity share one path on average. Paths followed by one class alone end; paths of many
-   are split again on further tokens; small ones are compared by brute force on the embeddings. The number of runs
-   follows from the target recall. Only a spanning forest of the pairs that may be similar leaves a task.
+   are split again on further tokens, up to `depth` levels; small ones are compared by brute force on the embeddings. The
+   number of runs follows from the target recall of a pair at the very threshold whose paths are split at every level.
+   Only a spanning forest of the pairs that may be similar leaves a task. Sets of few shingles, whose embeddings say
+   little, meet their neighbours exactly too: by the hash of the set less each one of its shingles.
 2. The forest's components are candidates. Within a component all sets meet, whole, in blocks of bounded size, and the
    Jaccard similarity of each pair is computed exactly; a task returns, for each class, its number of links and a forest.
 
 Nothing is dropped or capped: a path or component above the block size is dealt as pairs of blocks.
 
 Defined cases: null texts and texts without a word are in no set and stand alone, without links; texts of fewer than
-five words have one shingle, the whole; repeated rows (one doc_id) count as copies; an empty table gives no rows;
-extra columns are ignored.
+five words have one shingle, the whole; repeated rows (one doc_id) count as copies, and rows of one doc_id with differing
+texts are one document, similar to whatever either text is similar to; rows with a null id stand alone; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from tidemark.llm.common import Bitmap, LOWER, U64, mix, partitions_for, range_h
 from tidemark.llm.components import components
 
 T = 128  # embedding size
+FEW = 9  # shingles of a set whose neighbours by one shingle are found exactly
+DEPTH = 3  # levels of paths
 
 
 def shingle_sets(col, k: int):
@@ -69,10 +74,12 @@ def short(v: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, similarity: float, recall: float) -> DataFrame:
-    """doc_id, number of shingles, 128-bit set hash, embedding, and the paths of every run's first level (chosen by the
-    minimum hashes in full, so that texts without a common shingle do not meet); sets without a shingle are left out."""
+    """doc_id, number of shingles, 128-bit set hash, embedding, the paths of every run's first level (chosen by the
+    minimum hashes in full, so that texts without a common shingle do not meet), and the hashes of a small set less one
+    shingle, where that is similar enough; sets without a shingle are left out."""
     small_batches(docs.sparkSession, 1000)
     start = mix(np.arange(runs_for(recall), dtype=U64) + U64(1))
+    pair = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())]))
 
     def run(batches):
         for b in batches:
@@ -83,11 +90,19 @@ def profiles(docs: DataFrame, k: int, similarity: float, recall: float) -> DataF
                     if len(s) and i is not None:
                         v = embed(s)
                         paths = follow(mix(v + _SLOT), start, similarity)[1]
-                        out.append((i, len(s), int(signed(mix(s).sum(keepdims=True))[0]), int(signed(mix(s ^ U64(0xABCDEF)).sum(keepdims=True))[0]), short(v).tobytes(), signed(np.unique(paths))))
-            cols = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])], names=["doc_id", "n", "k1", "k2", "sig", "paths"])
+                        h1, h2 = set_hashes(s)
+                        k1, k2 = h1.sum(keepdims=True), h2.sum(keepdims=True)
+                        less = zip(signed(k1 - h1).tolist(), signed(k2 - h2).tolist()) if len(s) <= FEW and len(s) - 1 >= similarity * len(s) else ()
+                        out.append((i, len(s), int(signed(k1)[0]), int(signed(k2)[0]), short(v).tobytes(), signed(np.unique(paths)), [{"k1": x, "k2": y} for x, y in less]))
+            cols = list(zip(*out)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pair])], names=["doc_id", "n", "k1", "k2", "sig", "paths", "less"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, k1 long, k2 long, sig binary, paths array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n int, k1 long, k2 long, sig binary, paths array<long>, less array<struct<k1:bigint,k2:bigint>>")
+
+
+def set_hashes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every shingle; a set's own are their sums."""
+    return mix(s), mix(s ^ U64(0xABCDEF))
 
 
 def tokens(sig: bytes) -> np.ndarray:
@@ -101,8 +116,8 @@ def follow(tok: np.ndarray, paths: np.ndarray, similarity: float) -> tuple[np.nd
     return i, mix(h[i, j] + paths[i] * U64(3))
 
 
-def runs_for(recall: float, levels: int = 2) -> int:
-    """Runs after which a pair at the very threshold is found with this probability, if it splits `levels` times."""
+def runs_for(recall: float, levels: int = DEPTH) -> int:
+    """Runs after which a pair at the very threshold is found with this probability, if its paths are `levels` long."""
     q = 1.0
     for _ in range(levels):
         q = 1 - math.exp(-q)
@@ -131,7 +146,7 @@ def forest(pairs_i, pairs_j, ids):
 def blocks_of(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with columns bi, bj: 0, 0 for keys of up to `size` rows; larger keys are dealt as pairs of blocks, every two
     rows of the key meeting in a pair. The rows of a pair are at most about 2 x size."""
-    large = df.groupBy(key).count().where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("nb"))
+    large = stage(df.groupBy(key).count().where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("nb")), "large-keys")
     mine = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     pairs = F.when(F.col("nb").isNull(), F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("bi"), F.greatest(o, mine).alias("bj"), mine.alias("blk"))))
@@ -166,8 +181,8 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.repartition(partitions_for(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def similar_forest(classes: DataFrame, similarity: float, bucket: int = 1500, depth: int = 5) -> DataFrame:
-    """Edges (a, b) of a forest that joins all classes that may be similar. classes: id, n, sig, paths."""
+def similar_forest(classes: DataFrame, similarity: float, bucket: int = 1500, depth: int = DEPTH) -> DataFrame:
+    """Edges (a, b) of a forest that joins all classes that may be similar. classes: id, n, k1, k2, sig, paths, less."""
 
     def split(batches):
         for b in batches:
@@ -216,7 +231,8 @@ def similar_forest(classes: DataFrame, similarity: float, bucket: int = 1500, de
         return forest(np.concatenate(pi), np.concatenate(pj), ids)
 
     dealt = blocks_of(stage(leaves, "leaves"), "path", bucket).join(classes.select("id", "n", "sig").hint("merge"), "id").select("path", "id", "bi", "bj", "blk", "n", "sig")
-    return grouped(dealt, ["path", "bi", "bj"], brute, "a long, b long").distinct()
+    one_less = classes.select(F.col("id").alias("a"), F.explode("less").alias("k")).select("a", "k.k1", "k.k2").join(classes.select(F.col("id").alias("b"), "k1", "k2").hint("merge"), ["k1", "k2"]).select("a", "b")
+    return grouped(dealt, ["path", "bi", "bj"], brute, "a long, b long").unionByName(one_less).distinct()
 
 
 def jaccard_matrix(sets) -> np.ndarray:
@@ -245,18 +261,20 @@ def join(docs: DataFrame, similarity: float = 0.8, k: int = 5, recall: float = 0
     """doc_id, class_id (least doc_id of the component of similar documents), links (documents similar to it)."""
     spark = docs.sparkSession
     prof = stage(profiles(docs, k, similarity, recall), "profiles")
-    classes = stage(prof.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
+    classes = stage(prof.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"), F.first("less").alias("less")), "classes")
     loose = components(similar_forest(classes, similarity))
-    members = stage(loose.join(classes.select("id", "copies"), "id").select("id", F.col("label").alias("comp"), "copies"), "members")
+    members = stage(loose.join(classes.select("id", "k1", "copies"), "id").select("id", "k1", F.col("label").alias("comp"), "copies"), "members")
     shared = spark.sparkContext.broadcast(Bitmap.build(members.select(F.xxhash64("id").alias("h")), "h", 24))
 
     def may(batches):
         for b in batches:
             ok = pa.array(shared.value.has(np.asarray(b.column(2)).astype(np.int64).view(U64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["id", "text"])
+            ids, text = b.column(0).filter(ok), b.column(1).filter(ok)
+            k1 = [int(signed(set_hashes(s)[0].sum(keepdims=True))[0]) for s in shingle_sets(text, k)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k1, pa.int64()), text], names=["id", "k1", "text"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).where("id is not null").mapInArrow(may, "id long, text string")
-    texts = texts.join(members.hint("merge"), "id").groupBy("id").agg(F.first("comp").alias("comp"), F.first("copies").alias("copies"), F.first("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).where("id is not null").mapInArrow(may, "id long, k1 long, text string")
+    texts = texts.join(members.hint("merge"), ["id", "k1"]).groupBy("id", "k1").agg(F.first("comp").alias("comp"), F.first("copies").alias("copies"), F.min("text").alias("text"))
     dealt = blocks_of(stage(texts.select("comp", "id", "copies", "text"), "member-texts"), "comp", block)
 
     def verify(held):
