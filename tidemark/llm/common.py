@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -28,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a private one only where that is unset and driver and executors are
+    one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark"
@@ -79,8 +83,9 @@ def discard(*staged: DataFrame) -> None:
         remove(df.sparkSession, df.staged_at)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches handed to Python by rows and bytes, whatever the lengths of texts."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the Arrow batches handed to Python by rows and bytes, whatever the lengths of texts. As plans are executed after
+    this returns, the bounds stay in the session, the same for all operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

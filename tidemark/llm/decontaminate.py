@@ -9,8 +9,8 @@ broadcast is bounded however large the benchmark is; each block is one scan of t
 
 Tokens are runs of ASCII letters and digits or non-ASCII characters, ASCII lower-cased. Defined cases: null and empty
 texts and items have no tokens and match nothing; items shorter than a window must be found whole (with the same share
-of substitutions, those of fewer than `shortest` tokens without any); repeated documents and items match alike; empty
-tables give no rows; extra columns are ignored.
+of substitutions, those of fewer than `shortest` tokens without any); repeated documents and items match alike; null
+ids are ids like others, but equal to each other alone; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Items:
         buf, offs = text_buffer(pa.array(texts, pa.string()))
         buf = LOWER[buf]
         starts, ends, self.first = spans(buf, offs, NON_WORD)
-        self.ids, self.words = np.array(ids, np.int64), range_hashes(buf, starts, ends)
+        self.ids, self.words = list(ids), range_hashes(buf, starts, ends)
         self.window, rows, sizes = window, row_of(self.first, len(starts)), np.diff(self.first)
         # Items of a window or more are found by the masks of a window (None); shorter ones by masks of their own length.
         self.masks = []
@@ -155,8 +155,8 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 13, least: in
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     out = None
     for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).toPandas().sort_values(["item_id", "t"])
-        shared = spark.sparkContext.broadcast(Items(part["item_id"].fillna(-1).tolist(), part["t"].tolist(), window, least, shortest))
+        part = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("t", "ascending")])
+        shared = spark.sparkContext.broadcast(Items(part["item_id"].to_pylist(), part["t"].to_pylist(), window, least, shortest))
 
         def run(batches, shared=shared):
             items = shared.value
@@ -168,7 +168,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 13, least: in
                     starts, ends, first = spans(buf, offs, NON_WORD)
                     ids = b.column(0).slice(lo, 250).to_pylist()
                     for r, i, *v in overlaps(range_hashes(buf, starts, ends), first, items, least, shortest):
-                        got.append((ids[r], int(items.ids[i]), *v))
+                        got.append((ids[r], items.ids[i], *v))
                 cols = list(zip(*got)) if got else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if j < 2 else pa.int32()) for j, c in enumerate(cols)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

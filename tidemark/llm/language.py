@@ -126,9 +126,11 @@ class ByteConv:
         return out
 
 
-def labelled_sample(docs: DataFrame, per_language: int, max_bytes: int) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, per_language: int, max_bytes: int, languages: int) -> pd.DataFrame:
     """Up to about per_language texts of every language, chosen by a hash of the id: bounded, whatever the input."""
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(200).collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages are labelled; give a larger bound")
     if not sizes:
         return pd.DataFrame({"text": [], "lang": []})
     rate = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_language / n))])
@@ -136,10 +138,11 @@ def labelled_sample(docs: DataFrame, per_language: int, max_bytes: int) -> pd.Da
     return pick.select("text", "lang", "doc_id").limit(2 * per_language * len(sizes)).toPandas().sort_values(["doc_id", "text"])
 
 
-def train(docs: DataFrame, per_language: int = 500, windows_per_text: int = 4, max_bytes: int = 200_000) -> ByteConv | None:
+def train(docs: DataFrame, per_language: int = 500, windows_per_text: int = 4, max_bytes: int = 200_000, languages: int = 2000) -> ByteConv | None:
     """docs: doc_id, text, lang, all of which may be learned from. The sample bound is per_language texts (at most
-    2 x in total over languages) of fewer than max_bytes characters, windows_per_text windows from each."""
-    got = labelled_sample(docs.where("text is not null and lang is not null"), per_language, max_bytes)
+    2 x in total over languages) of fewer than max_bytes characters, windows_per_text windows from each. Every labelled
+    language is learned; more than `languages` of them are refused."""
+    got = labelled_sample(docs.where("text is not null and lang is not null"), per_language, max_bytes, languages)
     if not len(got):
         return None
     classes = sorted(got["lang"].unique())

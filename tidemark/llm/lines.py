@@ -12,7 +12,8 @@ against the earliest first, so a group of many close lines takes about one compa
 dealt as pairs of blocks.
 
 Defined cases: null texts have no lines and stay null; empty texts stay empty; repeated rows (one doc_id twice) are
-one document; an empty table gives no rows; other columns are kept, but for those named as the three this adds.
+one document; an empty table gives no rows; other columns are kept, but for those named as the three this adds, whose names
+are a parameter.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def long_lines(b, least: int):
 def earlier_lines(docs: DataFrame, edits: int = 2, least: int = 24, block: int = 2000, unit: str = "byte") -> DataFrame:
     """(doc_id, n) of all lines that have an equal or close line before them."""
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("t")).where("doc_id is not null and t is not null")
     lines = stage(all_lines(docs), "lines")
     firsts = stage(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("places")), "line-firsts")
@@ -361,25 +362,24 @@ def late(group, k: int, read=octets):
     return [(group[i][2], group[i][3]) for i in np.flatnonzero(found)]
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24, unit: str = "byte") -> DataFrame:
-    """docs with `text` without its late lines, and n_lines, n_removed, removed (line numbers, in order)."""
+def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 24, unit: str = "byte", names=("removed", "n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` without its late lines, and by `names` the numbers of these (in order), of all lines, and of those
+    removed."""
     spark = docs.sparkSession
-    gone = stage(earlier_lines(docs, edits, least, unit=unit).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("removed")), "line-gone")
-    extra = ("removed", "n_lines", "n_removed")
-    base = docs.drop(*[c for c in docs.columns if c in extra])
+    gone = stage(earlier_lines(docs, edits, least, unit=unit).groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("__gone")), "line-gone")
+    base = docs.drop(*[c for c in docs.columns if c in names])
     # Only texts that lose lines move: others pass a bounded filter on their ids and are emitted where they are read.
     loses = in_bitmap(spark, Bitmap.build(gone.select(F.xxhash64("doc_id").alias("h")), "h", 24))
     marked = base.withColumn("__hit", loses(F.xxhash64("doc_id")))
-    cut = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("removed"), s.i)), lambda s: s.x), "\n")
+    cut = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__gone"), s.i)), lambda s: s.x), "\n")
     total = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    cols = [c for c in base.columns if c != "text"]
     hit = marked.where("__hit").drop("__hit").join(gone.hint("merge"), "doc_id", "left")
-    out = [F.when(F.col("removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut).alias("text")]
-    rest = marked.where("not __hit").drop("__hit").withColumn("removed", F.lit(None).cast("array<int>"))
-    both = hit.select(*base.columns, "removed").unionByName(rest)
-    none = F.coalesce("removed", F.array().cast("array<int>"))
-    res = both.select(*cols, *out, none.alias("removed"), F.when(F.col("text").isNull(), 0).otherwise(total).alias("n_lines"), F.size(none).alias("n_removed"))
-    return res.select(*base.columns, *extra)
+    rest = marked.where("not __hit").drop("__hit").withColumn("__gone", F.lit(None).cast("array<int>"))
+    both = hit.select(*base.columns, "__gone").unionByName(rest)
+    none = F.coalesce("__gone", F.array().cast("array<int>"))
+    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut).alias("text")
+    added = (none.alias(names[0]), F.when(F.col("text").isNull(), 0).otherwise(total).alias(names[1]), F.size(none).alias(names[2]))
+    return both.select(*[text if c == "text" else F.col(c) for c in base.columns], *added)
 
 
 def op9_line_dedup(spark, sf_dir):

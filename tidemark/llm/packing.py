@@ -7,7 +7,7 @@ no padding.
 
 Defined cases: null and empty texts are one token (the end id); repeated documents are packed each on its own;
 documents longer than a sequence are cut; an empty table gives no rows; extra columns are ignored. A null id is
-kept as null.
+kept as null; limits below one are refused.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ class Packer:
     """Packs pieces that arrive one by one; memory is bounded by the pool."""
 
     def __init__(self, first_sequence: int, max_tokens=2048, max_segments=256, max_loss=2048, pool=512):
+        if min(max_tokens, max_segments, max_loss, pool) < 1:
+            raise ValueError("limits are one or more")
         self.limit = np.array([max_tokens, max_segments, max_loss], np.float64)
         self.seq, self.pool = first_sequence, pool
         self.need = np.zeros((pool + 1, 3))
@@ -178,6 +180,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     from pyspark.sql import functions as F
 
     small_batches(df.sparkSession, 1000)
+    Packer(0, max_tokens, max_segments, max_loss, pool)  # checks the limits
     cols = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"),
                      (F.col(loss_from_col).cast("long") if loss_from_col else F.lit(0).cast("long")).alias("loss"))
     end = np.asarray([end_id], "<u4").tobytes()

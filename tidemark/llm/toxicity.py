@@ -2,7 +2,9 @@
 
 Features come from vectorised word hashes: densities of a lexicon learned from labelled texts (whole words and word
 beginnings), its density after undoing digit-for-letter and symbol obfuscation, nearness to second-person words,
-capitals, punctuation, and obfuscated words. The labelled sample is bounded by a parameter; all texts are scored whole.
+capitals, punctuation, and obfuscated words. The labelled sample is bounded by two parameters: about `texts` rows, of fewer
+than `max_chars` characters each; all texts are scored whole. A score is 0.97 of the isotonic value and 0.03 of the
+uncalibrated one, which orders the texts of one step.
 
 Defined cases: null and empty texts get the score of a text without words; without labels of both kinds every score
 is 0; ties and repeated rows score alike; extra columns are ignored; labels without a document are unused.
@@ -31,7 +33,7 @@ _LEET = LOWER.copy()
 for _a, _b in LEET.items():
     _LEET[ord(_a)] = ord(_b)
 _CORE = NON_WORD.copy()
-for _a in "01345 7@$".replace(" ", ""):
+for _a in set(LEET) - {"!"}:
     _CORE[ord(_a)] = False
 
 
@@ -55,9 +57,10 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndar
     return [range_hashes(buf, starts, ends)] + [range_hashes(buf, starts, np.minimum(ends, starts + k)) for k in PREFIXES]
 
 
-def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Units (sorted hashes) that mark toxic texts, and the strong ones among them. Units are first taken from the toxic
-    texts; the others are only probed for them, so memory follows the toxic share of a bounded sample."""
+    texts; the others are only probed for them, so memory follows the toxic share of a bounded sample. Each unit is in one
+    of 60 toxic texts at least, so the lexicon has no more than 60 texts' worth of units."""
     toxic = np.asarray(toxic) > 0
     if not toxic.any():
         return np.zeros(0, U64), np.zeros(0, U64)
@@ -80,7 +83,6 @@ def learn_lexicon(texts: list, toxic: np.ndarray, least: int = 4, most: int = 20
     share = max(len(found) / (len(found) + (~toxic).sum()), 1e-6)
     odds = ((bad + 0.2) / share) / ((good + 0.2) / max(1 - share, 1e-6))
     pick = np.flatnonzero(odds > 30)
-    pick = pick[np.argsort(-odds[pick] * np.sqrt(bad[pick]), kind="stable")[:most]]
     return np.sort(h[pick]), np.sort(h[pick[odds[pick] > 100]])
 
 
@@ -268,7 +270,8 @@ class Model:
 
 
 def train(labelled: DataFrame, documents: DataFrame, texts: int = 5000, max_chars: int = 60_000) -> Model | None:
-    """labelled: doc_id, toxic of rows that may be learned from; at most about `texts` of them are read."""
+    """labelled: doc_id, toxic of rows that may be learned from; at most about `texts` of them are read, and of these the
+    texts of fewer than `max_chars` characters."""
     n = labelled.count()
     rate = min(1.0, texts / max(n, 1))
     ids = labelled.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).limit(2 * texts)

@@ -4,9 +4,13 @@ A capture is three records: the response (or a revisit of an earlier equal paylo
 record, the latter two concurrent to the first. Each record is a gzip member of its own. Files are written and read
 by Spark, so they may live in any store it reaches; an empty gzip member serves as the writer's line separator.
 
-Defined cases: null payloads are empty; equal payloads include empty ones (min_bytes=0); rows that repeat an id are
-one capture (the record with the larger fields stands); records without partners are still
-emitted with nulls; an empty table gives no rows; extra columns are ignored. A null URL is written as about:blank.
+Captures are named by id and payload. Files are cut by bytes: a line of the writer stands for a megabyte at most, or for one
+record with blank lines for its further megabytes, so a file holds about `file_mb` and one record.
+
+Defined cases: null payloads are empty; equal payloads include empty ones (min_bytes=0); rows that repeat an id and its
+payload are one capture, those that share an id alone are captures of their own; a row with a null id is a capture of its own,
+a revisit where a page with an id has its payload; records without partners are still emitted with nulls; an empty table
+gives no rows; extra columns are ignored. A null URL is written as about:blank.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import remove, scratch_dir, small_batches, table
+from tidemark.llm.common import remove, scratch_dir, small_batches, stage, table
 
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 DATE = "2024-01-01T00:00:00Z"
@@ -41,10 +45,12 @@ def record(kind: str, rid: str, uri: str, block: bytes, content_type: str, *more
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def capture(key: str, page_id, uri: str | None, payload: bytes, refers: str | None) -> list[bytes]:
+def capture(own: str, page_id, uri: str | None, payload: bytes, keep) -> list[bytes]:
+    """own: what names the capture of a null id; keep: the id whose record has the payload, None if this one has."""
     uri = "".join((uri or "about:blank").split()) or "about:blank"
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    rid, http = f"urn:page:{key}", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest, refers = f"sha1:{sha}", None if keep is None else f"urn:page:{keep}:{sha}"
+    rid, http = f"urn:page:{own if page_id is None else page_id}:{sha}", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "application/http; msgtype=response"
     if refers is None:
         first = record("response", rid, uri, http + payload, kind, ("WARC-Payload-Digest", digest))
@@ -57,35 +63,44 @@ def capture(key: str, page_id, uri: str | None, payload: bytes, refers: str | No
     return [first, request, record("metadata", rid + ":metadata", uri, fields, "application/warc-fields", mine)]
 
 
-def choose(df: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """df as (id, uri-less rest...) plus `keep`: the id whose record holds the payload, null where it is the row's own.
-    Groups are found by SHA-256 and length, summed before any shuffle, and joined back by that key (one row a key)."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    d = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(payload, 256)).alias("k"), F.octet_length(payload).alias("n"))
-    groups = d.where(F.col("n") >= min_bytes).groupBy("k", "n").agg(F.max("id").alias("keep"), F.min("id").alias("least")).where("keep <> least")
-    return d.join(groups, ["k", "n"]).where("id <> keep").groupBy("id").agg(F.max("keep").alias("keep"))
+def choose(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """rows (id, u, p) with `keep`: the id whose record holds the payload, null where it is the row's own. Groups are found by
+    SHA-256 and length, summed before any shuffle, written, and joined back by that key (one row a key)."""
+    d = rows.select("*", F.unhex(F.sha2("p", 256)).alias("k"), F.octet_length("p").cast("long").alias("n"))
+    sums = d.where(F.col("n") >= min_bytes).groupBy("k", "n").agg(F.max("id").alias("keep"), F.min("id").alias("least"), F.count("id").alias("named"), F.count(F.lit(1)).alias("rows"))
+    groups = stage(sums.where("keep <> least or (named > 0 and named < rows)").select("k", "n", "keep"), "warc-groups")
+    own = F.col("id").eqNullSafe(F.col("keep"))
+    return d.join(groups.hint("merge"), ["k", "n"], "left").select("id", "u", "p", F.when(~own, F.col("keep")).alias("keep"))
+
+
+MEGABYTE = 1 << 20
 
 
-def write(df: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0, records_per_file: int = 3000) -> None:
+def write(df: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", min_bytes: int = 0, file_mb: int = 64) -> None:
     """The archives of df in the folder path; of equal payloads the largest id has the response."""
     small_batches(df.sparkSession, 1000)
-    revisits = choose(df, id_col, payload_col, min_bytes)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("u"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("p")).join(revisits, "id", "left")
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    rows = choose(df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("u"), payload.alias("p")), min_bytes)
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
             out = []
             for i, u, p, keep in zip(*(c.to_pylist() for c in b.columns)):
                 n += 1
-                refers = None if keep is None else f"urn:page:{keep}"
-                out += [member(r) for r in capture(f"null-{task}-{n}" if i is None else str(i), i, u, p, refers)]
+                for r in capture(f"null-{task}-{n}", i, u, p, keep):
+                    held.append(member(r))
+                    size += len(held[-1])
+                    if size >= MEGABYTE:
+                        out += [b"".join(held), *[b""] * (size // MEGABYTE - 1)]
+                        held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)] if held else [], pa.binary())], names=["value"])
 
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_mb).text(path)
 
 
 def parse(data: bytes):
@@ -180,5 +195,5 @@ def op7_warc(spark, sf_dir):
     return c.select(
         F.regexp_extract(F.decode(F.col("metadata.payload"), "UTF-8"), r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.regexp_extract(F.col("response.refers_to"), r"(-?\d+)$", 1).try_cast("long").alias("refers_to"),
+        F.col("response.type").alias("record_type"), F.regexp_extract(F.col("response.refers_to"), r"^urn:page:(-?\d+):", 1).try_cast("long").alias("refers_to"),
         F.col("response.digest_ok").alias("digest_ok"))
