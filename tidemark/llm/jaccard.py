@@ -197,7 +197,7 @@ def similar_forest(classes: DataFrame, similarity: float, bucket: int = 1500, de
     rows = classes.select(F.explode("paths").alias("path"), "id")
     leaves = None
     for level in range(1, depth + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("path", "c")
+        sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("path", "c"), "path-sizes")
         shared = stage(rows.join(sizes.hint("merge"), "path"), "paths-shared")
         small = (shared if level == depth else shared.where(F.col("c") <= bucket)).select("path", "id")
         leaves = small if leaves is None else leaves.union(small)
