@@ -6,6 +6,8 @@ ids of the active records and is used only where ids are asked for."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,37 +17,70 @@ from tidemark.plans.comparison import Plan, parse_comparator
 SCOPE = ["window_name", "key", "partition_id", "ctx"]
 
 
-def prepare(windows: DataFrame, plan: Plan) -> DataFrame:
-    """Normalised records: scope columns, side, source, record_id, start_m, end_m, end_status. Open windows without a
-    horizon are left out here and reported by diagnostics(), which a strict caller treats as an error."""
-    w = windows
-    if plan.known_at is not None:
-        w = w.where(F.col("start_position") <= plan.known_at)
-    w = w.where(plan.scope())
+def _ranges(windows: DataFrame, plan: Plan):
+    """(start, end, whether the end is the horizon's, why the window is refused or null) on the plan's axis."""
     if plan.axis == "position":
         start, end = F.col("start_position"), F.col("end_position")
     else:
         start, end = ticks("start_time"), ticks("end_time")
-    status = F.when(end.isNull(), "OpenAtHorizon").otherwise("Closed")
-    if plan.horizon is not None:
-        end = F.coalesce(end, F.lit(plan.horizon).cast("long"))
-    if plan.known_at is not None and plan.axis == "position":
+    open_ = F.col("end_position").isNull()
+    clipped = open_
+    if plan.known_at is not None and plan.axis == "position" and plan.availability == "position":
         k = F.lit(plan.known_at).cast("long")
-        status = F.when(F.col("end_position").isNull() | (F.col("end_position") > k), "OpenAtHorizon").otherwise("Closed")
-        end = F.least(F.coalesce(F.col("end_position"), k), k)
-    against = plan.against[0].predicate
-    for s in plan.against[1:]:
-        against = against | s.predicate
-    sides = F.array_compact(F.array(F.when(plan.target.predicate, F.lit("target")), F.when(against, F.lit("against"))))
+        clipped = open_ | (F.col("end_position") > k)
+        end = F.least(F.coalesce(end, k), k)
+    elif plan.horizon is not None:
+        end = F.when(open_, F.lit(plan.horizon).cast("long")).otherwise(end)
+    missing = F.lit(False) if plan.axis == "position" else F.col("start_time").isNull() | (~open_ & F.col("end_time").isNull())
+    why = F.when(missing, "MissingEventTime").when(end.isNull(), "OpenWindowsWithoutPolicy").when(end < start, "InvalidRangeDuration")
+    return start.cast("long"), end.cast("long"), clipped, why
+
+
+def _known(windows: DataFrame, plan: Plan) -> Column:
+    """Whether a window is known at the plan's known-at: begun by then, or (availability "record") by the record's own
+    known_at, else its end, else its start."""
+    if plan.known_at is None:
+        return F.lit(True)
+    if plan.availability == "record":
+        own = [F.col("known_at")] if "known_at" in windows.columns else []
+        return F.coalesce(*own, F.col("end_position"), F.col("start_position")) <= plan.known_at
+    return F.col("start_position") <= plan.known_at
+
+
+def prepare(windows: DataFrame, plan: Plan) -> DataFrame:
+    """Normalised records: scope columns, side, source, record_id, start_m, end_m, end_status. A window that the plan's
+    policies refuse (open without a horizon, a missing time, an end before its start, a record on both sides) fails the
+    query with its code when it is executed, as no row may come of such a run; diagnostics() tells beforehand."""
+    w = windows.where(_known(windows, plan)).where(plan.scope())
+    start, end, clipped, why = _ranges(windows, plan)
+    target, against = plan.target.predicate, plan.against_predicate()
+    sides = F.array_compact(F.array(F.when(target & against, F.raise_error(F.lit("SelfComparison")).cast("string")).when(target, F.lit("target")), F.when(against, F.lit("against"))))
     ctx = F.to_json("segments") if plan.use_segments else F.lit("")
-    out = w.select("window_name", "key", "partition_id", ctx.alias("ctx"), "source", "record_id", start.cast("long").alias("start_m"), end.cast("long").alias("end_m"), status.alias("end_status"), F.explode(sides).alias("side"))
-    out = out.where("start_m is not null and end_m is not null and end_m >= start_m")
+    passes = why.isNull() | (F.lit(plan.missing_time == "exclude") & (why == "MissingEventTime"))
+    checked = F.when(passes, end).otherwise(F.raise_error(F.concat(why, F.lit(": "), F.coalesce("record_id", F.lit("")))).cast("long"))
+    out = w.select("window_name", "key", "partition_id", ctx.alias("ctx"), "source", "record_id", start.alias("start_m"), checked.alias("end_m"), F.when(clipped, "OpenAtHorizon").otherwise("Closed").alias("end_status"), F.explode(sides).alias("side"))
+    out = out.where("start_m is not null and end_m is not null")
     if plan.duplicates == "reject":
-        same = Window.partitionBy("side", *SCOPE, "source", "start_m", "end_m").orderBy("record_id")
-        out = out.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
+        out = out.withColumn("rn", _copy_number()).where("rn = 1").drop("rn")
     return coalesce_adjacent(out) if plan.coalesce else out
 
 
+def _copy_number() -> Column:
+    return F.row_number().over(Window.partitionBy("side", *SCOPE, "source", "start_m", "end_m").orderBy("record_id"))
+
+
+def excluded(windows: DataFrame, plan: Plan) -> DataFrame:
+    """record_id, reason of the windows in scope or in the future that the plan leaves out, and of those it refuses."""
+    start, end, _, why = _ranges(windows, plan)
+    chosen = plan.target.predicate | plan.against_predicate()
+    reason = F.when(~_known(windows, plan), "FutureWindow").when(~plan.scope(), "OutOfScope").when(~chosen, "NotSelected").otherwise(why)
+    out = windows.select("record_id", reason.alias("reason")).where("reason is not null")
+    if plan.duplicates == "reject":
+        norm = prepare(windows, replace(plan, duplicates="preserve", coalesce=False))
+        out = out.unionByName(norm.withColumn("rn", _copy_number()).where("rn > 1").select("record_id", F.lit("DuplicateWindow").alias("reason")))
+    return out
+
+
 def coalesce_adjacent(norm: DataFrame) -> DataFrame:
     """Windows of one side, scope and source that end where the next begins become one."""
     by = ["side", *SCOPE, "source"]
@@ -55,36 +90,56 @@ def coalesce_adjacent(norm: DataFrame) -> DataFrame:
 
 
 def diagnostics(windows: DataFrame, plan: Plan) -> DataFrame:
-    """Data-dependent findings, counted in one pass: open windows, missing times, future windows, records on both sides."""
-    s = windows.where(plan.scope())
-    against = plan.against[0].predicate
-    for x in plan.against[1:]:
-        against = against | x.predicate
-    future = F.lit(False) if plan.known_at is None else F.col("start_position") > plan.known_at
-    chosen = plan.target.predicate | against
-    time = F.lit(False) if plan.axis == "position" else F.col("start_time").isNull() | (F.col("end_position").isNotNull() & F.col("end_time").isNull())
-    open_ = F.col("end_position").isNull() & F.lit(plan.horizon is None and plan.known_at is None)
-    return s.agg(F.count_if(chosen & open_).alias("OpenWindowsWithoutPolicy"), F.count_if(chosen & time).alias("MissingEventTime"), F.count_if(chosen & future).alias("FutureWindowExcluded"), F.count_if(plan.target.predicate & against).alias("SelfComparison"))
-
-
-def align(norm: DataFrame, cohort: bool = False) -> DataFrame:
-    """Counts form: scope, start_m, end_m, target_n, against_n, target_prov, against_prov (and active_sources for cohorts)."""
+    """Data-dependent findings, counted in one pass: open windows without a policy, missing times, ranges that end before they
+    start, future windows, records on both sides."""
+    _, _, _, why = _ranges(windows, plan)
+    target, against, known = plan.target.predicate, plan.against_predicate(), _known(windows, plan)
+    chosen = known & (target | against)
+    n = lambda c, name: F.count_if(c).alias(name)
+    return windows.where(plan.scope()).agg(n(chosen & (why == "OpenWindowsWithoutPolicy"), "OpenWindowsWithoutPolicy"), n(chosen & (why == "MissingEventTime"), "MissingEventTime"), n(chosen & (why == "InvalidRangeDuration"), "InvalidRangeDuration"),
+                                           n((target | against) & ~known, "FutureWindowExcluded"), n(known & target & against, "SelfComparison"))
+
+
+BLOCKING = ("OpenWindowsWithoutPolicy", "MissingEventTime", "InvalidRangeDuration", "SelfComparison")
+
+
+def errors(windows: DataFrame, plan: Plan) -> list[str]:
+    """Codes that block a run over these windows (one small aggregate)."""
+    found = diagnostics(windows, plan).first()
+    return [c for c in BLOCKING if found[c] and not (c == "MissingEventTime" and plan.missing_time == "exclude")]
+
+
+def align(norm: DataFrame, cohort: bool = False, scope: list[str] = SCOPE, bin_width: int | None = None) -> DataFrame:
+    """Counts form: scope, start_m, end_m, target_n, against_n, target_prov, against_prov (and active_sources for cohorts).
+    bin_width: running sums in two levels, over bins of the axis and within them, so a scope of many boundaries is spread
+    over as many tasks as it has bins; a bin needs no more than the sums before it and the next bin's first boundary."""
     one = lambda side, prov=False: F.when((F.col("side") == side) & ((F.col("end_status") == "OpenAtHorizon") if prov else F.lit(True)), F.col("x.d")).otherwise(0)
-    pts = norm.select(*SCOPE, "side", "end_status", F.explode(F.array(F.struct(F.col("start_m").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end_m").alias("p"), F.lit(-1).alias("d")))).alias("x"))
-    pts = pts.select(*SCOPE, F.col("x.p").alias("p"), one("target").alias("t"), one("against").alias("a"), one("target", True).alias("tp"), one("against", True).alias("ap"), F.lit(0).alias("s"))
+    ends = lambda s, e: F.explode(F.array(F.struct(F.col(s).alias("p"), F.lit(1).alias("d")), F.struct(F.col(e).alias("p"), F.lit(-1).alias("d")))).alias("x")
+    pts = norm.select(*scope, "side", "end_status", ends("start_m", "end_m"))
+    pts = pts.select(*scope, F.col("x.p").alias("p"), one("target").alias("t"), one("against").alias("a"), one("target", True).alias("tp"), one("against", True).alias("ap"), F.lit(0).alias("s"))
     if cohort:
-        by = [*SCOPE, "source"]
+        by = [*scope, "source"]
         w = Window.partitionBy(*by).orderBy("start_m", "end_m")
         reach = F.max("end_m").over(w.rowsBetween(Window.unboundedPreceding, -1))
         n = norm.where("side = 'against' and source is not null and start_m < end_m").withColumn("new", F.when(F.col("start_m") <= reach, 0).otherwise(1))
         isl = n.withColumn("g", F.sum("new").over(w)).groupBy(*by, "g").agg(F.min("start_m").alias("b"), F.max("end_m").alias("e"))
         zero = F.lit(0)
-        more = isl.select(*SCOPE, F.explode(F.array(F.struct(F.col("b").alias("p"), F.lit(1).alias("d")), F.struct(F.col("e").alias("p"), F.lit(-1).alias("d")))).alias("x"))
-        pts = pts.unionByName(more.select(*SCOPE, "x.p", zero.alias("t"), zero.alias("a"), zero.alias("tp"), zero.alias("ap"), F.col("x.d").alias("s")))
-    sums = pts.groupBy(*SCOPE, "p").agg(*[F.sum(c).alias(c) for c in ("t", "a", "tp", "ap", "s")])
-    w = Window.partitionBy(*SCOPE).orderBy("p")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = sums.select(*SCOPE, F.col("p").alias("start_m"), F.lead("p").over(w).alias("end_m"), F.sum("t").over(run).alias("target_n"), F.sum("a").over(run).alias("against_n"), F.sum("tp").over(run).alias("target_prov"), F.sum("ap").over(run).alias("against_prov"), F.sum("s").over(run).alias("active_sources"))
+        pts = pts.unionByName(isl.select(*scope, ends("b", "e")).select(*scope, "x.p", zero.alias("t"), zero.alias("a"), zero.alias("tp"), zero.alias("ap"), F.col("x.d").alias("s")))
+    names = {"t": "target_n", "a": "against_n", "tp": "target_prov", "ap": "against_prov", "s": "active_sources"}
+    sums = pts.groupBy(*scope, "p").agg(*[F.sum(c).alias(c) for c in names])
+    if bin_width is None:
+        w = Window.partitionBy(*scope).orderBy("p")
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        seg = sums.select(*scope, F.col("p").alias("start_m"), F.lead("p").over(w).alias("end_m"), *[F.sum(c).over(run).alias(n) for c, n in names.items()])
+    else:
+        sums = sums.withColumn("bin", F.floor(F.col("p") / bin_width))
+        over = Window.partitionBy(*scope).orderBy("bin")
+        bins = sums.groupBy(*scope, "bin").agg(F.min("p").alias("first"), *[F.sum(c).alias(c) for c in names])
+        bins = bins.select(*[F.col(c).alias("b_" + c) for c in scope], F.col("bin").alias("b_bin"), F.lead("first").over(over).alias("next"), *[F.coalesce(F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_" + c) for c in names])
+        w = Window.partitionBy(*scope, "bin").orderBy("p")
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        j = sums.join(bins, [F.col(c).eqNullSafe(F.col("b_" + c)) for c in (*scope, "bin")])
+        seg = j.select(*scope, F.col("p").alias("start_m"), F.coalesce(F.lead("p").over(w), F.col("next")).alias("end_m"), *[(F.sum(c).over(run) + F.col("before_" + c)).alias(n) for c, n in names.items()])
     return seg.where("end_m is not null and (target_n > 0 or against_n > 0)")
 
 
@@ -109,6 +164,11 @@ def _final(*flags) -> Column:
     return F.when(c, "Provisional").otherwise("Final").alias("finality")
 
 
+def _finality(*statuses: Column) -> Column:
+    """Of a row that rests on records of these end statuses (null: none)."""
+    return F.when(F.greatest(*[F.coalesce(s, F.lit("Closed")) for s in (*statuses, F.lit("Closed"))]) == "OpenAtHorizon", "Provisional").otherwise("Final").alias("finality")
+
+
 class Comparison:
     """Lazy results of one plan over windows; comparators share the aligned segments."""
 
@@ -162,18 +222,19 @@ class Comparison:
 
     def containment(self):
         """Contained segments once, whatever the cohort rule; others once per target record, by the end they share."""
-        inside = self.aligned.where("target_n > 0 and against_n > 0").select(*SCOPE, "start_m", "end_m", F.lit("Contained").alias("status"), F.lit(None).cast("string").alias("record_id"))
+        inside = self.aligned.where("target_n > 0 and against_n > 0").select(*SCOPE, "start_m", "end_m", F.lit("Contained").alias("status"), F.lit(None).cast("string").alias("record_id"), _final("target_prov", "against_prov"))
         out = self.aligned.where("target_n > 0 and against_n = 0")
-        t = self.norm.where("side = 'target' and start_m < end_m").select(*SCOPE, "record_id", F.col("start_m").alias("ts"), F.col("end_m").alias("te"))
-        j = out.join(t, [out[c].eqNullSafe(t[c]) for c in SCOPE] + [t["ts"] <= out["start_m"], t["te"] >= out["end_m"]]).select(*[out[c] for c in SCOPE], "start_m", "end_m", F.when(F.col("start_m") == F.col("ts"), "LeftOverhang").when(F.col("end_m") == F.col("te"), "RightOverhang").otherwise("NotContained").alias("status"), "record_id")
+        t = self.norm.where("side = 'target' and start_m < end_m").select(*SCOPE, "record_id", F.col("start_m").alias("ts"), F.col("end_m").alias("te"), F.col("end_status").alias("st"))
+        j = out.join(t, [out[c].eqNullSafe(t[c]) for c in SCOPE] + [t["ts"] <= out["start_m"], t["te"] >= out["end_m"]]).select(*[out[c] for c in SCOPE], "start_m", "end_m", F.when(F.col("start_m") == F.col("ts"), "LeftOverhang").when(F.col("end_m") == F.col("te"), "RightOverhang").otherwise("NotContained").alias("status"), "record_id", _finality(F.col("st")))
         return inside.unionByName(j)
 
     def _nearest(self, column: str) -> DataFrame:
         """Target transitions with the candidates before (or at) and after (or at) them: points, least ids, counts."""
         n = self.norm
-        cand = n.where("side = 'against'").groupBy(*SCOPE, F.col(column).alias("p")).agg(F.min("record_id").alias("id"), F.count(F.lit(1)).alias("n"))
-        both = n.where("side = 'target'").select(*SCOPE, F.col(column).alias("p"), F.col("record_id").alias("tid"), F.lit(None).cast("struct<p:bigint,id:string,n:bigint>").alias("c")).unionByName(
-            cand.select(*SCOPE, "p", F.lit(None).cast("string").alias("tid"), F.struct("p", "id", "n").alias("c")))
+        cand = n.where("side = 'against'").groupBy(*SCOPE, F.col(column).alias("p")).agg(F.min(F.struct(F.col("record_id").alias("id"), F.col("end_status").alias("st"))).alias("x"), F.count(F.lit(1)).alias("n"))
+        none = F.lit(None).cast("string")
+        both = n.where("side = 'target'").select(*SCOPE, F.col(column).alias("p"), F.col("record_id").alias("tid"), F.col("end_status").alias("tst"), F.lit(None).cast("struct<p:bigint,id:string,n:bigint,st:string>").alias("c")).unionByName(
+            cand.select(*SCOPE, "p", none.alias("tid"), none.alias("tst"), F.struct("p", F.col("x.id").alias("id"), "n", F.col("x.st").alias("st")).alias("c")))
         w = Window.partitionBy(*SCOPE).orderBy("p")
         back = F.last("c", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
         ahead = F.first("c", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
@@ -185,7 +246,7 @@ class Comparison:
         m = F.when(first, F.col("b")).otherwise(F.col("f"))
         d = F.col("p") - m["p"]
         return x.select(*SCOPE, F.col("tid").alias("record_id"), F.col("p").alias("target_m"), m["p"].alias("against_m"), m["id"].alias("against_id"), d.alias("delta"),
-                        F.when(m.isNull(), "MissingComparison").when(d < 0, "TargetLeads").when(d > 0, "TargetLags").otherwise("Equal").alias("direction"), F.when(m.isNotNull(), F.abs(d) <= tolerance).otherwise(False).alias("within_tolerance"))
+                        F.when(m.isNull(), "MissingComparison").when(d < 0, "TargetLeads").when(d > 0, "TargetLags").otherwise("Equal").alias("direction"), F.when(m.isNotNull(), F.abs(d) <= tolerance).otherwise(False).alias("within_tolerance"), _finality(F.col("tst"), m["st"]))
 
     def lead_lag_summary(self, transition: str = "Start", tolerance: int = 0):
         r = self.lead_lag(transition, tolerance)
@@ -208,15 +269,31 @@ class Comparison:
         future = fd.isNotNull() & bd.isNull() if direction == "Previous" else F.lit(False)
         status = F.when(future, "FutureRejected").when(d.isNull() | (d > tolerance), "NoMatch").when(F.coalesce(many, F.lit(False)), "Ambiguous").when(d == 0, "Exact").otherwise("Matched")
         hit = status.isin("Exact", "Matched", "Ambiguous")
-        return x.select(*SCOPE, F.col("tid").alias("record_id"), F.col("p").alias("target_m"), F.when(hit, m["p"]).alias("against_m"), F.when(hit, m["id"]).alias("against_id"), F.when(future, fd).otherwise(d).alias("distance"), status.alias("status"))
+        return x.select(*SCOPE, F.col("tid").alias("record_id"), F.col("p").alias("target_m"), F.when(hit, m["p"]).alias("against_m"), F.when(hit, m["id"]).alias("against_id"), F.when(future, fd).otherwise(d).alias("distance"), status.alias("status"), _finality(F.col("tst"), F.when(hit, m["st"])))
 
     def totals(self, comparator: str) -> DataFrame:
         r = self.rows(comparator)
         return r.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(F.col("end_m") - F.col("start_m")), F.lit(0)).alias("total_length"))
 
-    def trace(self, start_m: int, end_m: int, key: str) -> DataFrame:
-        """The normalised records behind a row's range."""
-        return self.norm.where((F.col("key") == key) & (F.col("start_m") <= start_m) & (F.col("end_m") >= end_m))
+    def trace(self, rows: DataFrame) -> DataFrame:
+        """The normalised records behind range rows of a comparator, one row for each: the row's scope and range, and side,
+        record_id, record_start, record_end, end_status of what is active throughout it in its scope."""
+        on = [c for c in (*SCOPE, "start_m", "end_m") if c in rows.columns]
+        n = self.norm.where("start_m < end_m").select(*[F.col(c).alias("n_" + c) for c in SCOPE], "side", "record_id", F.col("start_m").alias("record_start"), F.col("end_m").alias("record_end"), "end_status")
+        r = rows.select(*on)
+        cond = [r[c].eqNullSafe(F.col("n_" + c)) for c in on if c in SCOPE] + [F.col("record_start") <= r["start_m"], F.col("record_end") >= r["end_m"]]
+        return r.join(n, cond).select(*on, "side", "record_id", "record_start", "record_end", "end_status")
+
+    def finality_counts(self) -> DataFrame:
+        """comparator, finality, rows of every comparator of the plan."""
+        out = None
+        for name, rows in self.run().items():
+            one = rows.groupBy("finality").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("comparator"), "finality", "rows")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def has_provisional(self) -> bool:
+        return any(not rows.where("finality = 'Provisional'").isEmpty() for rows in self.run().values())
 
 
 def source_matrix(windows: DataFrame, window: str, sources: list[str]) -> DataFrame:
@@ -230,11 +307,11 @@ def source_matrix(windows: DataFrame, window: str, sources: list[str]) -> DataFr
     has = w.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("end_position").isNull()).alias("open"))
     arr = F.array(*[F.lit(s) for s in sources])
     role = lambda side: F.transform(arr, lambda o: F.struct(F.lit(side).alias("side"), (F.col("source") if side == "target" else o).alias("t"), (o if side == "target" else F.col("source")).alias("a")))
-    norm = w.where("end_position is not null").select("window_name", "key", "partition_id", F.to_json("segments").alias("c"), "source", F.col("start_position").alias("start_m"), F.col("end_position").alias("end_m"), F.lit("Closed").alias("end_status"),
-                                                    F.explode(F.filter(F.concat(role("target"), role("against")), lambda r: r["t"] != r["a"])).alias("r")).select("window_name", "key", "partition_id", F.to_json(F.struct("c", "r.t", "r.a")).alias("ctx"), F.col("r.side").alias("side"), "source", "start_m", "end_m", "end_status")
+    norm = w.where("end_position is not null").select("window_name", "key", "partition_id", F.to_json("segments").alias("ctx"), "source", F.col("start_position").alias("start_m"), F.col("end_position").alias("end_m"), F.lit("Closed").alias("end_status"),
+                                                    F.explode(F.filter(F.concat(role("target"), role("against")), lambda r: r["t"] != r["a"])).alias("r")).select("window_name", "key", "partition_id", "ctx", F.col("r.t").alias("target"), F.col("r.a").alias("against"), F.col("r.side").alias("side"), "source", "start_m", "end_m", "end_status")
     m = F.col("end_m") - F.col("start_m")
     t, a = F.col("target_n") > 0, F.col("against_n") > 0
-    cells = align(norm).withColumn("target", F.get_json_object("ctx", "$.t")).withColumn("against", F.get_json_object("ctx", "$.a")).groupBy("target", "against").agg(
+    cells = align(norm, scope=[*SCOPE, "target", "against"]).groupBy("target", "against").agg(
         F.count_if(t & a).alias("o"), F.count_if(t & ~a).alias("r"), F.count_if(~t & a).alias("m"), F.count_if(t).alias("c"), F.sum(F.when(t, m).otherwise(0)).alias("tm"), F.sum(F.when(t & a, m).otherwise(0)).alias("cm"))
     th = has.select(F.col("source").alias("target"), F.col("n").alias("tn"), F.col("open").alias("topen"))
     ah = has.select(F.col("source").alias("against"), F.col("n").alias("an"), F.col("open").alias("aopen"))
@@ -246,8 +323,14 @@ def source_matrix(windows: DataFrame, window: str, sources: list[str]) -> DataFr
     return x.select("target", "against", (F.coalesce("tn", F.lit(0)) > 0).alias("target_has_windows"), (F.coalesce("an", F.lit(0)) > 0).alias("against_has_windows"), n("o").alias("overlap_rows"), n("r").alias("residual_rows"), n("m").alias("missing_rows"), n("c").alias("coverage_rows"), ratio.alias("coverage_ratio"))
 
 
-def hierarchy(windows: DataFrame, parent: str, child: str) -> DataFrame:
-    """Elementary intervals of a parent and a child family per (source, partition), whatever their keys; closed windows."""
+def matrix_cell(matrix: DataFrame, target: str, against: str) -> DataFrame:
+    """The cell of a source matrix: one row, or none for sources it does not have."""
+    return matrix.where((F.col("target") == target) & (F.col("against") == against))
+
+
+def hierarchy(windows: DataFrame, parent: str, child: str, bin_width: int | None = 1 << 14) -> DataFrame:
+    """Elementary intervals of a parent and a child family per (source, partition), whatever their keys; closed windows. As a
+    scope holds the windows of all keys, it is swept in bins of `bin_width`."""
     side = F.when(F.col("window_name") == parent, "target").when(F.col("window_name") == child, "against")
     n = windows.where(F.col("window_name").isin(parent, child) & F.col("end_position").isNotNull()).select(F.lit("").alias("window_name"), F.coalesce("source", F.lit("<null>")).alias("key"), "partition_id", F.lit("").alias("ctx"), "source", F.col("start_position").alias("start_m"), F.col("end_position").alias("end_m"), F.lit("Closed").alias("end_status"), side.alias("side"))
-    return align(n).select(F.col("key").alias("source"), "partition_id", "start_m", "end_m", F.when((F.col("target_n") > 0) & (F.col("against_n") > 0), "ParentExplained").when(F.col("target_n") > 0, "UnexplainedParent").otherwise("OrphanChild").alias("kind"))
+    return align(n, bin_width=bin_width).select(F.col("key").alias("source"), "partition_id", "start_m", "end_m", F.when((F.col("target_n") > 0) & (F.col("against_n") > 0), "ParentExplained").when(F.col("target_n") > 0, "UnexplainedParent").otherwise("OrphanChild").alias("kind"))

@@ -100,18 +100,15 @@ class Suite:
 
 
 def identified(comparison) -> DataFrame:
-    """comparator, row_id, finality of all range rows of the plan's comparators."""
+    """comparator, row_id, finality of all rows of the plan's comparators."""
     out = None
     for name in comparison.plan.comparators:
         rows = comparison.rows(name)
-        if "finality" not in rows.columns and name != "containment":
-            continue
-        who = [c for c in rows.columns if c in ("window_name", "key", "partition_id", "ctx", "start_m", "end_m", "side", "status", "record_id")]
-        final = F.col("finality") if "finality" in rows.columns else F.lit("Final")
-        one = rows.select(F.lit(name).alias("comparator"), row_id(name, *who).alias("row_id"), final.alias("finality"))
+        who = [c for c in rows.columns if c in ("window_name", "key", "partition_id", "ctx", "start_m", "end_m", "side", "record_id", "target_m", "against_m", "against_id") or (c == "status" and name == "containment")]
+        one = rows.select(F.lit(name).alias("comparator"), row_id(name, *who).alias("row_id"), "finality")
         out = one if out is None else out.unionByName(one)
     if out is None:
-        raise ValueError("the plan has no comparator with ranges")
+        raise ValueError("the plan has no comparator")
     return out
 
 

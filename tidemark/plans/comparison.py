@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.temporal import ticks
+
 
 def _is(name, value):
     return lambda s: (s["name"] == name) & (s["value"] == value)
@@ -17,49 +19,80 @@ def _is(name, value):
 
 @dataclass(frozen=True)
 class Selector:
+    """A predicate on windows. `spec` is its portable form; without one, a plan with it cannot be exported."""
+
     name: str
     predicate: Column
-    serialisable: bool = True
+    spec: dict | None = None
     cohort: "Cohort | None" = None
 
+    @property
+    def serialisable(self) -> bool:
+        return self.spec is not None
+
+    def with_name(self, name: str) -> "Selector":
+        return replace(self, name=name)
+
+    def _both(self, other: "Selector", op: str) -> dict | None:
+        return {op: [self.spec, other.spec]} if self.serialisable and other.serialisable else None
+
     def __and__(self, other: "Selector") -> "Selector":
         if self.cohort and other.cohort:
             raise ValueError("a cohort can be combined once")
-        return Selector(f"({self.name} and {other.name})", self.predicate & other.predicate, self.serialisable and other.serialisable, self.cohort or other.cohort)
+        return Selector(f"({self.name} and {other.name})", self.predicate & other.predicate, self._both(other, "and"), self.cohort or other.cohort)
 
     def __or__(self, other: "Selector") -> "Selector":
         if self.cohort or other.cohort:
             raise ValueError("a cohort cannot be an alternative")
-        return Selector(f"({self.name} or {other.name})", self.predicate | other.predicate, self.serialisable and other.serialisable)
+        return Selector(f"({self.name} or {other.name})", self.predicate | other.predicate, self._both(other, "or"))
 
 
 def for_window(name):
-    return Selector(f"window={name}", F.col("window_name") == name)
+    return Selector(f"window={name}", F.col("window_name") == name, {"window": name})
 
 
 def for_key(key):
-    return Selector(f"key={key}", F.col("key") == str(key))
+    return Selector(f"key={key}", F.col("key") == str(key), {"key": str(key)})
 
 
 def for_source(source):
-    return Selector(f"source={source}", F.col("source") == source)
+    return Selector(f"source={source}", F.col("source") == source, {"source": source})
 
 
 def for_sources(sources):
-    return Selector("sources=" + ",".join(sources), F.col("source").isin(*sources))
+    return Selector("sources=" + ",".join(sources), F.col("source").isin(*sources), {"sources": list(sources)})
 
 
 def for_partition(p):
-    return Selector(f"partition={p}", F.col("partition_id").eqNullSafe(p))
+    return Selector(f"partition={p}", F.col("partition_id").eqNullSafe(p), {"partition": p})
 
 
 def for_position_range(start, end=None):
     c = F.col("start_position") >= start
-    return Selector(f"start in [{start},{'' if end is None else end})", c if end is None else c & (F.col("start_position") < end))
+    return Selector(f"start in [{start},{'' if end is None else end})", c if end is None else c & (F.col("start_position") < end), {"positions": [start, end]})
+
+
+def for_time_range(start, end=None):
+    """Windows that start at or after `start` and before `end` (100 ns units since the epoch); without a start time: none."""
+    at = ticks("start_time")
+    c = at.isNotNull() & (at >= start)
+    return Selector(f"time in [{start},{'' if end is None else end})", c if end is None else c & (at < end), {"times": [start, end]})
 
 
 def runtime_only(name, predicate: Column):
-    return Selector(name, predicate, serialisable=False)
+    return Selector(name, predicate)
+
+
+def from_spec(spec: dict) -> Selector:
+    """The selector of a portable form."""
+    if not isinstance(spec, dict) or not spec:
+        raise ValueError("a selector is an object")
+    made = {"window": for_window, "key": for_key, "source": for_source, "sources": for_sources, "partition": for_partition, "positions": lambda v: for_position_range(*v), "times": lambda v: for_time_range(*v),
+            "cohort": lambda v: for_cohort(v["sources"], v["activity"], v.get("count")), "and": lambda v: from_spec(v[0]) & from_spec(v[1]), "or": lambda v: from_spec(v[0]) | from_spec(v[1])}
+    (kind, value), *more = spec.items()
+    if more or kind not in made:
+        raise ValueError(f"unknown selector {spec}")
+    return made[kind](value)
 
 
 @dataclass(frozen=True)
@@ -84,7 +117,7 @@ class Cohort:
 
 def for_cohort(sources, activity="any", count=None) -> Selector:
     c = Cohort(tuple(sources), activity, count)
-    return Selector(f"cohort {activity} of {','.join(sources)}", F.col("source").isin(*sources), cohort=c)
+    return Selector(f"cohort {activity} of {','.join(sources)}", F.col("source").isin(*sources), {"cohort": {"sources": list(sources), "activity": activity, "count": count}}, c)
 
 
 SIMPLE = ("overlap", "residual", "missing", "coverage", "gap", "symmetric-difference", "containment")
@@ -125,6 +158,8 @@ class Plan:
     coalesce: bool = False
     strict: bool = False
     use_segments: bool = True
+    missing_time: str = "reject"
+    availability: str = "position"
 
     def __post_init__(self):
         object.__setattr__(self, "comparators", tuple(dict.fromkeys(self.comparators)))
@@ -136,6 +171,12 @@ class Plan:
     def live(self, horizon: int) -> "Plan":
         return replace(self, horizon=horizon)
 
+    def against_predicate(self) -> Column:
+        c = self.against[0].predicate
+        for s in self.against[1:]:
+            c = c | s.predicate
+        return c
+
     def scope(self) -> Column:
         c = F.lit(True) if self.scope_window is None else F.col("window_name") == self.scope_window
         for col, pairs in (("segments", self.scope_segments), ("tags", self.scope_tags)):
@@ -162,6 +203,9 @@ class Plan:
             out.append(Diagnostic("NonSerializablePlan", self.strict))
         if self.axis not in ("position", "timestamp"):
             out.append(Diagnostic("UnknownAxis", True, self.axis))
+        for field_, known in (("duplicates", ("preserve", "reject")), ("missing_time", ("reject", "exclude")), ("availability", ("position", "record"))):
+            if getattr(self, field_) not in known:
+                out.append(Diagnostic("UnknownPolicy", True, field_))
         if self.known_at is not None and self.horizon is not None and self.known_at < 0:
             out.append(Diagnostic("InvalidKnownAt", True))
         return out
@@ -172,10 +216,30 @@ class Plan:
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
     def to_json(self) -> str:
+        """A document that from_json reads back: everything but runtime-only selectors, which it refuses."""
         if not all(s.serialisable for s in (self.target, *self.against)):
             raise ValueError("a plan with runtime-only selectors cannot be exported")
-        return json.dumps({"name": self.name, "target": self.target.name, "against": [s.name for s in self.against], "comparators": self.comparators, "scope": {"window": self.scope_window, "segments": self.scope_segments, "tags": self.scope_tags},
-                           "axis": self.axis, "horizon": self.horizon, "knownAt": self.known_at, "strict": self.strict}, indent=2)
-
+        one = lambda s: {"name": s.name, "select": s.spec}
+        pairs = lambda p: [{"name": n, "value": v} for n, v in p]
+        return json.dumps({"format": FORMAT, "version": 1, "name": self.name, "target": one(self.target), "against": [one(s) for s in self.against], "comparators": list(self.comparators),
+                           "scope": {"window": self.scope_window, "segments": pairs(self.scope_segments), "tags": pairs(self.scope_tags)}, "axis": self.axis, "horizon": self.horizon, "knownAt": self.known_at,
+                           "duplicates": self.duplicates, "coalesce": self.coalesce, "strict": self.strict, "useSegments": self.use_segments, "missingTime": self.missing_time, "availability": self.availability}, indent=2)
+
+    @staticmethod
+    def from_json(text: str) -> "Plan":
+        d = json.loads(text)
+        if not isinstance(d, dict) or d.get("format") != FORMAT or d.get("version") != 1:
+            raise ValueError("not a comparison plan of this version")
+        unknown = set(d) - {"format", "version", "name", "target", "against", "comparators", "scope", "axis", "horizon", "knownAt", "duplicates", "coalesce", "strict", "useSegments", "missingTime", "availability"}
+        if unknown:
+            raise ValueError(f"unknown fields {sorted(unknown)}")
+        one = lambda x: from_spec(x["select"]).with_name(x["name"])
+        pairs = lambda p: tuple((x["name"], x["value"]) for x in p or [])
+        scope = d.get("scope") or {}
+        return Plan(d["name"], one(d["target"]), tuple(one(x) for x in d["against"]), tuple(d["comparators"]), scope.get("window"), pairs(scope.get("segments")), pairs(scope.get("tags")), d.get("axis", "position"), d.get("horizon"), d.get("knownAt"),
+                    d.get("duplicates", "preserve"), d.get("coalesce", False), d.get("strict", False), d.get("useSegments", True), d.get("missingTime", "reject"), d.get("availability", "position"))
+
+
+FORMAT = "tidemark.comparison-plan"
 
 __all__ = [k for k in globals() if not k.startswith("_") and k != "field"]

@@ -145,7 +145,7 @@ query("nrm_known_at", W + f" select key, rid, s as a, least(coalesce(e, {K}), {K
     lambda s, d: comp(s, d, known_at=K, horizon=None).norm.select("key", F.col("record_id").alias("rid"), F.col("start_m").alias("a"), F.col("end_m").alias("b"), (F.col("end_status") == "OpenAtHorizon").alias("prov")))
 query("nrm_coalesce", "with " + BASE + win(seg=True) + """, c as (select key, part, source, s, e, case when s = lag(e) over (partition by key, source order by s) then 0 else 1 end as new from w where e is not null and source in ('lane-a', 'lane-b')),
 g as (select *, sum(new) over (partition by key, source order by s) as island from c) select key, source, min(s) as a, max(e) as b from g group by key, source, island""")(
-    lambda s, d: compare.Comparison(windows(s, d, segmented=True), plan(horizon=None, coalesce=True)).norm.select("key", "source", F.col("start_m").alias("a"), F.col("end_m").alias("b")))
+    lambda s, d: compare.Comparison(windows(s, d, segmented=True).where("end_position is not null"), plan(horizon=None, coalesce=True)).norm.select("key", "source", F.col("start_m").alias("a"), F.col("end_m").alias("b")))
 query("aln_segments", A1 + """ select x.key, x.s, x.e, coalesce((select string_agg(rid, ',' order by rid) from t where t.key = x.key and t.part = x.part and t.a <= x.s and t.b >= x.e), '') as target_ids,
   coalesce((select string_agg(rid, ',' order by rid) from g where g.key = x.key and g.part = x.part and g.a <= x.s and g.b >= x.e), '') as against_ids from x""")(
     lambda s, d: compare.align_lineage(comp(s, d).norm).select("key", F.col("start_m").alias("s"), F.col("end_m").alias("e"), F.array_join("target_ids", ",").alias("target_ids"), F.array_join("against_ids", ",").alias("against_ids")))

@@ -46,8 +46,7 @@ def run_fixture(spark: SparkSession, doc: dict) -> dict:
     """{valid, diagnostics, rows}: any error leaves no rows."""
     plan, windows = plan_of(doc["plan"]), windows_of(spark, doc["windows"])
     found = [(x.code, x.error) for x in plan.validate()]
-    data = compare.diagnostics(windows, plan).first()
-    found += [(k, True) for k in ("OpenWindowsWithoutPolicy", "SelfComparison") if data[k]]
+    found += [(k, True) for k in compare.errors(windows, plan)]
     if any(e for _, e in found):
         return {"valid": False, "diagnostics": [c for c, _ in found], "rows": {}}
     return {"valid": True, "diagnostics": [c for c, _ in found], "rows": compare.Comparison(windows, plan).run()}
