@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.temporal import saturating_subtract
+
 GROUP = ["window_name", "key", "source", "partition_id"]
 COMPATIBLE = ["window_name", "key", "partition_id"]
 
@@ -37,13 +42,13 @@ def union_length(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def form(windows: DataFrame, tolerance: int, horizon: int | None = None) -> DataFrame:
-    """One row an episode. Provisional: a provisional fragment, or a horizon that has not passed the settling boundary."""
+    """One row an episode; `identity` is a SHA-256 over all its fragments. Provisional: a provisional fragment, or a horizon that has not passed the settling boundary."""
     f = fragments(windows, tolerance, horizon)
     by = [*GROUP, "episode_id"]
-    e = f.groupBy(*by).agg(F.min("s").alias("start_m"), F.max("e").alias("end_m"), F.count(F.lit(1)).alias("fragments"), F.bool_or("prov").alias("p"))
+    e = f.groupBy(*by).agg(F.min("s").alias("start_m"), F.max("e").alias("end_m"), F.count(F.lit(1)).alias("fragments"), F.bool_or("prov").alias("p"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("s", "e", "record_id"))), lambda x: F.concat_ws(" ", x["s"], x["e"], x["record_id"]))), 256).alias("identity"))
     a = union_length(f, ["episode_id"])
     late = F.lit(False) if horizon is None else F.lit(horizon) <= F.col("end_m") + tolerance
-    return e.join(a, "episode_id").select(*by, "start_m", "end_m", "fragments", (F.col("end_m") - F.col("start_m")).alias("elapsed"), "active", (F.col("end_m") - F.col("start_m") - F.col("active")).alias("internal_gap"), F.when(F.col("p") | late, "Provisional").otherwise("Final").alias("finality"))
+    return e.join(a, "episode_id").select(*by, "start_m", "end_m", "fragments", (F.col("end_m") - F.col("start_m")).alias("elapsed"), "active", (F.col("end_m") - F.col("start_m") - F.col("active")).alias("internal_gap"), F.when(F.col("p") | late, "Provisional").otherwise("Final").alias("finality"), "identity")
 
 
 def distribution(column: str, prefix: str) -> list:
@@ -55,14 +60,24 @@ def set_summary(episodes: DataFrame) -> DataFrame:
 
 
 def relations(windows: DataFrame, target: str, against: str, stitch: int, tolerance: int, horizon: int | None = None) -> DataFrame:
-    """Members of relation components: side, episode_id, component (its least episode), kind. An edge joins episodes of one
-    (window, key, partition) of which two fragments are within the tolerance; a component never leaves that group, so
-    components are found group by group."""
+    """Members of relation components: side, episode_id, component (its least episode), kind, finality. An edge joins episodes
+    of one (window, key, partition) of which two fragments are within the tolerance; a component never leaves that group, so
+    components are found group by group.
+
+    Fragments meet in time bins as wide as a group's fragments lie apart on average, or as the tolerance: fragments of one
+    source are disjoint, so a group has about two bins a fragment, and no fragment meets those far from it. Null and empty
+    partitions are different ones. A relation is Provisional with any provisional episode, or while the horizon has not
+    passed its last end by more than the tolerance."""
     side = lambda s: fragments(windows.where(F.col("source") == s), stitch, horizon)
     t, a = side(target), side(against)
-    tt = t.select(*[F.coalesce(c, F.lit("")).alias(c) for c in COMPATIBLE], F.col("episode_id").alias("t_id"), F.col("s").alias("t_s"), F.col("e").alias("t_e"))
-    aa = a.select(*[F.coalesce(c, F.lit("")).alias(c) for c in COMPATIBLE], F.col("episode_id").alias("a_id"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    edges = tt.join(aa, COMPATIBLE).where((F.col("t_s") <= F.col("a_e") + tolerance) & (F.col("a_s") <= F.col("t_e") + tolerance)).select(*COMPATIBLE, "t_id", "a_id").distinct()
+    same = F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"}).alias("grp")
+    both = t.select(same, F.lit("T").alias("side"), "episode_id", "s", "e").unionByName(a.select(same, F.lit("A").alias("side"), "episode_id", "s", "e"))
+    spread = both.groupBy("grp").agg(F.greatest(F.lit(1), F.lit(tolerance), F.ceil((F.max("e") - F.min("s")) / F.count(F.lit(1)))).cast("long").alias("width"))
+    dealt = both.join(spread, "grp")
+    early = F.when(F.col("side") == "T", F.lit(tolerance)).otherwise(0)
+    dealt = dealt.withColumn("bin", F.explode(F.sequence(F.floor((F.col("s") - early) / F.col("width")), F.floor((F.col("e") + early) / F.col("width")))))
+    tt, aa = (dealt.where(F.col("side") == x).select("grp", "bin", *[F.col(c).alias(f"{x.lower()}_{n}") for c, n in (("episode_id", "id"), ("s", "s"), ("e", "e"))]) for x in "TA")
+    edges = tt.join(aa, ["grp", "bin"]).where((F.col("t_s") <= F.col("a_e") + tolerance) & (F.col("a_s") <= F.col("t_e") + tolerance)).select("grp", "t_id", "a_id").distinct()
 
     def union_find(pairs) -> list[tuple]:
         root: dict = {}
@@ -83,7 +98,7 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
         """Groups arrive whole and one after another."""
         group, held, out = None, [], []
         for b in batches:
-            for *k, i, j in zip(*(c.to_pylist() for c in b.columns)):
+            for k, i, j in zip(*(c.to_pylist() for c in b.columns)):
                 if k != group:
                     out += union_find(held)
                     group, held = k, []
@@ -95,13 +110,22 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["s", "episode_id", "component"])
 
-    comp = edges.repartition(*COMPATIBLE).sortWithinPartitions(*COMPATIBLE).mapInArrow(run, "s string, episode_id string, component string")
+    comp = edges.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "s string, episode_id string, component string")
     sizes = comp.groupBy("component").agg(F.count_if(F.col("s") == "T").alias("tn"), F.count_if(F.col("s") == "A").alias("an"))
     kind = F.when((F.col("tn") == 1) & (F.col("an") == 1), "OneToOne").when(F.col("tn") == 1, "Split").when(F.col("an") == 1, "Merge").otherwise("Complex")
     linked = comp.join(sizes, "component").select("s", "episode_id", "component", kind.alias("kind"))
-    ids = t.select(F.lit("T").alias("s"), "episode_id").distinct().unionByName(a.select(F.lit("A").alias("s"), "episode_id").distinct())
-    out = ids.join(linked, ["s", "episode_id"], "left")
-    return out.select(F.when(F.col("s") == "T", "Target").otherwise("Against").alias("side"), "episode_id", F.coalesce("component", F.concat_ws("|", "s", "episode_id")).alias("component"), F.coalesce("kind", F.when(F.col("s") == "T", "UnmatchedTarget").otherwise("UnmatchedAgainst")).alias("kind"))
+    late = F.lit(False) if horizon is None else F.lit(horizon) <= F.max("e") + stitch
+    ep = lambda f, x: f.groupBy("episode_id").agg((F.bool_or("prov") | late).alias("prov"), F.max("e").alias("end")).withColumn("s", F.lit(x))
+    out = ep(t, "T").unionByName(ep(a, "A")).join(linked, ["s", "episode_id"], "left").withColumn("component", F.coalesce("component", F.concat_ws("|", "s", "episode_id")))
+    over = Window.partitionBy("component")
+    open_ = F.max("prov").over(over) if horizon is None else F.max("prov").over(over) | (F.lit(horizon) <= F.max("end").over(over) + tolerance)
+    final = F.when(open_, "Provisional").otherwise("Final").alias("finality")
+    return out.select(F.when(F.col("s") == "T", "Target").otherwise("Against").alias("side"), "episode_id", "component", F.coalesce("kind", F.when(F.col("s") == "T", "UnmatchedTarget").otherwise("UnmatchedAgainst")).alias("kind"), final)
+
+
+def of_kind(relations_: DataFrame, kind: str) -> DataFrame:
+    """Members of the relations of a kind: OneToOne, Split, Merge, Complex, UnmatchedTarget, UnmatchedAgainst."""
+    return relations_.where(F.col("kind") == kind)
 
 
 def metrics(windows: DataFrame, target: str, against: str, stitch: int, tolerance: int, horizon: int | None = None) -> DataFrame:
@@ -120,6 +144,28 @@ def metrics(windows: DataFrame, target: str, against: str, stitch: int, toleranc
                                                                      (F.col("os") - F.col("ts")).alias("onset_delta"), (F.col("oe") - F.col("te")).alias("recovery_delta"))
 
 
+def comparison_summary(relations_: DataFrame, metrics_: DataFrame) -> DataFrame:
+    """One row: episodes and matches of both sides, relations of each kind, split and merge rates, biases, micro-averaged
+    coverage and IoU, and distributions of the differences over OneToOne relations."""
+    side = lambda x: F.col("side") == x
+    matched = ~F.col("kind").startswith("Unmatched")
+    n = lambda c, name: F.count_if(c).alias(name)
+    m = relations_.agg(n(side("Target"), "target_episodes"), n(side("Against"), "against_episodes"), n(side("Target") & matched, "matched_target"), n(side("Against") & matched, "matched_against"),
+                       n(side("Target") & (F.col("kind") == "Split"), "split_targets"), n(side("Against") & (F.col("kind") == "Merge"), "merged_against"))
+    kinds = {"OneToOne": "one_to_one", "Split": "splits", "Merge": "merges", "Complex": "complex"}
+    one = lambda c: F.when(F.col("kind") == "OneToOne", c)
+    deltas = {"onset": F.col("onset_delta"), "recovery": F.col("recovery_delta"), "active": F.col("against_active") - F.col("target_active"), "elapsed": F.col("recovery_delta") - F.col("onset_delta")}
+    x = metrics_.select("*", *[one(c).alias(f"__{k}") for k, c in deltas.items()])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    y = x.agg(*[n(F.col("kind") == k, v) for k, v in kinds.items()], total("overlap").alias("overlap"), total("target_active").alias("ta"), total("against_active").alias("aa"), *[d for k in deltas for d in distribution(f"__{k}", k)])
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    union = F.col("ta") + F.col("aa") - F.col("overlap")
+    more = [c for c in y.columns if c not in ("ta", "aa")]
+    return m.withColumn("__row", F.lit(1)).join(y.withColumn("__row", F.lit(1)), "__row").select(*m.columns, *more, (F.col("against_episodes") - F.col("target_episodes")).alias("count_bias"), saturating_subtract("aa", "ta").alias("active_bias"), rate("matched_target", "target_episodes").alias("target_match_rate"),
+                                         rate("matched_against", "against_episodes").alias("against_match_rate"), rate("split_targets", "target_episodes").alias("split_rate"), rate("merged_against", "against_episodes").alias("merge_rate"),
+                                         rate("overlap", "ta").alias("target_coverage"), rate("overlap", "aa").alias("against_coverage"), F.when(union > 0, F.col("overlap") / union).alias("iou"))
+
+
 def scorecard(relations_: DataFrame) -> DataFrame:
     """The target as reference: recall, precision, F1."""
     c = relations_.agg(F.count_if(F.col("side") == "Target").alias("tn"), F.count_if((F.col("side") == "Target") & (F.col("kind") != "UnmatchedTarget")).alias("tm"), F.count_if(F.col("side") == "Against").alias("an"), F.count_if((F.col("side") == "Against") & (F.col("kind") != "UnmatchedAgainst")).alias("am"))
@@ -129,11 +175,16 @@ def scorecard(relations_: DataFrame) -> DataFrame:
 
 def match_sequence(windows: DataFrame, steps: list[str], maximum_gap: int, horizon: int | None = None) -> DataFrame:
     """Greedy ordered chains per (key, source, partition): each first candidate, by (end, start, id), takes the first unused
-    candidate of every next step that starts no earlier and within the gap; complete chains use up their records."""
+    candidate of every next step that starts no earlier and within the gap; complete chains use up their records. Open windows
+    without a horizon fail the query when it is executed.
+
+    A family is searched from its first candidate that ends at or after its forerunner's start, by bisection: those before
+    start too early."""
     if horizon is not None:
         w = windows.where(F.col("start_position") <= horizon).withColumn("prov", F.col("end_position").isNull() | (F.col("end_position") > horizon)).withColumn("end_position", F.least(F.coalesce("end_position", F.lit(horizon)), F.lit(horizon)))
     else:
-        w = windows.where("end_position is not null").withColumn("prov", F.lit(False))
+        open_ = F.raise_error(F.concat(F.lit("open evidence: "), F.coalesce("record_id", F.lit("")))).cast("long")
+        w = windows.withColumn("end_position", F.coalesce(F.col("end_position").cast("long"), open_)).withColumn("prov", F.lit(False))
     w = w.where(F.col("window_name").isin(*steps)).select("window_name", "key", "source", "partition_id", "record_id", F.col("start_position").alias("s"), F.col("end_position").cast("long").alias("e"), "prov")
 
     def chains(rows) -> list[tuple]:
@@ -142,13 +193,21 @@ def match_sequence(windows: DataFrame, steps: list[str], maximum_gap: int, horiz
             fam[r["window_name"]].append(r)
         used: set = set()
         out = []
+        ends = {n: [c["e"] for c in fam[n]] for n in fam}  # ascending: a candidate that starts at s or later ends at s or later
+
+        def after(n, prev, chain):
+            own = {x["record_id"] for x in chain}
+            for c in itertools.islice(fam[n], bisect.bisect_left(ends[n], prev["s"]), None):
+                if c["record_id"] not in used and c["record_id"] not in own and c["s"] >= prev["s"] and max(0, c["s"] - prev["e"]) <= maximum_gap:
+                    return c
+
         for first in fam[steps[0]]:
             if first["record_id"] in used:
                 continue
             chain, gap = [first], 0
             for n in steps[1:]:
                 prev = chain[-1]
-                nxt = next((c for c in fam[n] if c["record_id"] not in used and all(c["record_id"] != x["record_id"] for x in chain) and c["s"] >= prev["s"] and max(0, c["s"] - prev["e"]) <= maximum_gap), None)
+                nxt = after(n, prev, chain)
                 if nxt is None:
                     break
                 gap += max(0, nxt["s"] - prev["e"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.temporal import ticks
+
 SCOPE = ["window_name", "key", "partition_id"]
 
 
@@ -51,12 +53,34 @@ class Query:
         last = [F.desc("window_name"), F.desc("key"), F.col("source").desc_nulls_last(), F.col("partition_id").desc_nulls_last(), F.desc("start_position"), F.col("end_position").desc_nulls_first(), F.desc("record_id")]
         return self.df.orderBy(*last).limit(1)
 
+    def ordered(self):
+        """The windows in the total order."""
+        first = [F.asc("window_name"), F.asc("key"), F.col("source").asc_nulls_first(), F.col("partition_id").asc_nulls_first(), F.asc("start_position"), F.col("end_position").asc_nulls_last(), F.asc("record_id")]
+        return self.df.orderBy(*first)
+
     def snapshot_at(self, horizon: int):
         return Query(snapshot_at(self.df, horizon))
 
+    def windows_at(self, horizon: int):
+        return snapshot_at(self.df, horizon)
+
+    def closed_at(self, horizon: int):
+        return snapshot_at(self.df, horizon).where("finality = 'Final'")
+
+    def open_at(self, horizon: int):
+        return snapshot_at(self.df, horizon).where("finality = 'Provisional'")
+
+    def latest_at(self, horizon: int):
+        return self.snapshot_at(horizon).latest()
+
 
-def snapshot_at(windows: DataFrame, horizon: int) -> DataFrame:
-    """Windows that began by the horizon: Final if they ended by then, else clipped to it and Provisional."""
+def snapshot_at(windows: DataFrame, horizon: int, axis: str = "position") -> DataFrame:
+    """Windows that began by the horizon: Final if they ended by then, else clipped to it and Provisional. On the time axis
+    (100 ns units since the epoch) windows that lack a time of theirs drop out, and start_m, end_m are times."""
+    if axis == "timestamp":
+        h, start, end = F.lit(horizon).cast("long"), ticks("start_time"), ticks("end_time")
+        w = windows.where(start.isNotNull() & (F.col("end_position").isNull() | end.isNotNull())).where(start <= h)
+        return w.withColumn("finality", F.when(end <= h, "Final").otherwise("Provisional")).withColumn("start_m", start).withColumn("end_m", F.least(F.coalesce(end, h), h))
     h = F.lit(horizon).cast("long")
     return windows.where(F.col("start_position") <= h).withColumn("finality", F.when(F.col("end_position") <= h, "Final").otherwise("Provisional")).withColumn("end_position", F.least(F.coalesce("end_position", h), h))
 

@@ -32,21 +32,52 @@ class WindowDefinition:
     normalise_key: Callable[[Column], Column] | None = None
 
 
+def _named(cols: dict[str, Column], parents: dict[str, str] | None = None) -> Column:
+    form = "array<struct<name:string,value:string" + (",parent_name:string>>" if parents is not None else ">>")
+    parent = lambda n: [F.lit(parents.get(n)).cast("string").alias("parent_name")] if parents is not None else []
+    return F.array(*[F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"), *parent(n)) for n, c in cols.items()]).cast(form) if cols else F.array().cast(form)
+
+
+def observed(position: Column, d: WindowDefinition) -> list[Column]:
+    """The columns of an observation of this family; raw_key is the key before its normaliser."""
+    key, null = d.key.cast("string"), F.lit(None).cast("string")
+    return [position.cast("long").alias("pos"), F.lit(d.name).alias("window_name"), (d.normalise_key(key) if d.normalise_key else key).alias("key"), (d.source.cast("string") if d.source is not None else null).alias("source"),
+            (d.partition.cast("string") if d.partition is not None else null).alias("partition_id"), F.coalesce(d.active, F.lit(False)).alias("active"), _named(d.segments, d.parents).alias("segments"), _named(d.tags).alias("tags"),
+            (d.event_time.cast("timestamp") if d.event_time is not None else F.lit(None).cast("timestamp")).alias("time"), key.alias("raw_key")]
+
+
 def observe(events: DataFrame, position: Column, d: WindowDefinition) -> DataFrame:
     """One observation per event; null keys are left out, a null predicate is inactive."""
-    named = lambda cols, parents=None: F.array(*[F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"), *([F.lit(parents.get(n)).cast("string").alias("parent_name")] if parents is not None else [])) for n, c in cols.items()]) if cols else F.array().cast("array<struct<name:string,value:string" + (",parent_name:string>>" if parents is not None else ">>"))
-    key = d.key.cast("string")
-    null = F.lit(None).cast("string")
-    return events.select(position.cast("long").alias("pos"), F.lit(d.name).alias("window_name"), (d.normalise_key(key) if d.normalise_key else key).alias("key"),
-                         (d.source.cast("string") if d.source is not None else null).alias("source"), (d.partition.cast("string") if d.partition is not None else null).alias("partition_id"),
-                         F.coalesce(d.active, F.lit(False)).alias("active"), named(d.segments, d.parents).alias("segments"), named(d.tags).alias("tags"),
-                         (d.event_time.cast("timestamp") if d.event_time is not None else F.lit(None).cast("timestamp")).alias("time")).where("key is not null")
+    return events.select(*observed(position, d)).where("key is not null")
+
+
+def admitted(obs: DataFrame, arrival: str) -> DataFrame:
+    """obs with `rejected`: null, or why an observation must not be recorded. Observations of a lane arrive in the order of the
+    column `arrival`; one that is not after all before it is out of order, one without a position or key is incomplete. Only
+    what is admitted goes on, so a bad event leaves no state."""
+    w = Window.partitionBy("window_name", *LANE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    late = F.col("pos") <= F.max("pos").over(w)
+    return obs.withColumn("rejected", F.when(F.col("pos").isNull() | F.col("key").isNull(), "Incomplete").when(F.col("pos") < 0, "NegativePosition").when(late, "OutOfOrder"))
+
+
+def record_id(*parts) -> Column:
+    """The parts with separators between them; null parts and separators within parts are escaped, so ids of differing parts
+    differ."""
+    one = lambda c: F.coalesce(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p")), F.lit("\\n"))
+    return F.concat_ws("|", *[one(F.col(p) if isinstance(p, str) else p) for p in parts])
 
 
-def record(obs: DataFrame) -> DataFrame:
+def _changes(was: Column, now: Column) -> Column:
+    """Segments that differ between two contexts, by name: segment_name, previous, current."""
+    names = F.array_distinct(F.concat(F.transform(was, lambda s: s["name"]), F.transform(now, lambda s: s["name"])))
+    value = lambda of, n: F.element_at(F.map_from_arrays(F.transform(of, lambda s: s["name"]), F.transform(of, lambda s: s["value"])), n)
+    return F.filter(F.transform(names, lambda n: F.struct(n.alias("segment_name"), value(was, n).alias("previous"), value(now, n).alias("current"))), lambda c: ~c["previous"].eqNullSafe(c["current"]))
+
+
+def record(obs: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
     """Windows of observations: false to true opens, true to false closes; another segment context while active closes and
-    reopens at the same position. Tags are those of the opening observation."""
-    w = Window.partitionBy("window_name", *LANE).orderBy("pos")
+    reopens at the same position. Tags are those of the opening observation. context: columns that make lanes of their own."""
+    w = Window.partitionBy("window_name", *LANE, *context).orderBy("pos")
     state = F.when(F.col("active"), F.struct("segments"))
     was = F.lag(state).over(w)
     cut = obs.withColumn("st", state).withColumn("was", was).where(~F.col("st").eqNullSafe(F.col("was")))
@@ -54,19 +85,18 @@ def record(obs: DataFrame) -> DataFrame:
     nxt = F.lead("st").over(w)
     out = cut.select("window_name", *LANE, F.col("pos").alias("start_position"), end.alias("end_position"), F.col("time").alias("start_time"), F.lead("time").over(w).alias("end_time"),
                      "segments", "tags", "active", F.when(end.isNull(), None).when(nxt.isNull(), F.lit("ActivePredicateEnded")).otherwise(F.lit("SegmentChanged")).alias("boundary_reason"),
-                     F.when(nxt.isNotNull(), F.filter(F.zip_with("segments", nxt["segments"], lambda a, b: F.struct(F.coalesce(a["name"], b["name"]).alias("segment_name"), a["value"].alias("previous"), b["value"].alias("current"))), lambda c: ~c["previous"].eqNullSafe(c["current"]))).alias("boundary_changes")).where("active").drop("active")
-    return out.withColumn("record_id", F.concat_ws("|", F.col("window_name"), F.col("key"), F.coalesce("source", F.lit("")), F.coalesce("partition_id", F.lit("")), F.col("start_position").cast("string")))
+                     F.when(nxt.isNotNull(), _changes(F.col("segments"), nxt["segments"])).alias("boundary_changes"), *context).where("active").drop("active")
+    return out.withColumn("record_id", record_id("window_name", *LANE, "start_position", *context)).drop(*context)
 
 
 def record_families(events: DataFrame, position: Column, definitions: list[WindowDefinition]) -> DataFrame:
     """Several independent families from the same events."""
     if len({d.name for d in definitions}) < len(definitions):
         raise ValueError("window names must be unique")
-    out = None
-    for d in definitions:
-        one = record(observe(events, position, d))
-        out = one if out is None else out.unionByName(one)
-    return out
+    kept = [c for c in events.columns]
+    one = lambda d: F.struct(*observed(position, d))
+    seen = events.select(*kept, F.explode(F.array(*[one(d) for d in definitions])).alias("__o")).select("__o.*").where("key is not null")
+    return record(seen)
 
 
 def transitions(windows: DataFrame) -> DataFrame:
@@ -106,10 +136,10 @@ def stabilise_two(obs: DataFrame, enter: str, leave: str, enter_after: int = 1,
     return out.groupBy("window_name", *LANE).applyInPandas(run, schema)
 
 
-def roll_up(child: DataFrame, name: str, parent: Column, rule: Callable[[Column, Column], Column]) -> DataFrame:
+def roll_up(child: DataFrame, name: str, parent: Column, rule: Callable[[Column, Column], Column], segments: bool = False) -> DataFrame:
     """Windows of parents from observations of children: `rule(active children, known children)`. A child that moves to
-    another parent leaves the old one first. Returns windows; see parent_observations for further levels."""
-    return record(parent_observations(child, name, parent, rule))
+    another parent leaves the old one first. Returns windows; see parent_observations for further levels and segments."""
+    return record(parent_observations(child, name, parent, rule, segments), ("context",) if segments else ())
 
 
 def any_active(active: Column, total: Column) -> Column:
@@ -120,31 +150,46 @@ def all_active(active: Column, total: Column) -> Column:
     return (total > 0) & (active == total)
 
 
-def parent_observations(child: DataFrame, name: str, parent: Column, rule) -> DataFrame:
-    """One observation of a parent for every change that reaches it, with `active` by the rule, ready for another level."""
-    c = child.withColumn("parent", parent.cast("string")).where("parent is not null")
-    w = Window.partitionBy(*LANE).orderBy("pos")
-    c = c.withColumn("was_parent", F.lag("parent").over(w)).withColumn("was", F.lag("active").over(w))
+def parent_observations(child: DataFrame, name: str, parent: Column, rule, segments: bool = False) -> DataFrame:
+    """One observation of a parent for every change that reaches it, with `active` by the rule, ready for another level.
+
+    segments: parents have a state for each segment context of their children (see project_segments for what they see of it);
+    an inactive child is in the empty context. A child that moves to another parent or context leaves the old one first. The
+    observations then carry `context`, for record(context=("context",))."""
+    ctx = F.when(F.col("active"), F.col("segments")).otherwise(F.slice("segments", 1, 0)) if segments else F.slice("segments", 1, 0)
+    c = child.withColumn("ctx", ctx).withColumn("scope", F.struct(parent.cast("string").alias("p"), F.col("ctx").alias("ctx"))).where(parent.isNotNull())
+    w = Window.partitionBy("window_name", *LANE).orderBy("pos")
+    c = c.withColumn("was_scope", F.lag("scope").over(w)).withColumn("was", F.lag("active").over(w))
     num = lambda x: F.coalesce(x.cast("int"), F.lit(0))
-    moved = F.col("was_parent").isNotNull() & (F.col("was_parent") != F.col("parent"))
-    known = F.col("was_parent").isNotNull() & ~moved
-    rows = F.array(F.when(moved, F.struct(F.col("was_parent").alias("p"), F.lit(0).alias("seq"), (-num(F.col("was"))).alias("da"), F.lit(-1).alias("dt"))),
-                   F.struct(F.col("parent").alias("p"), F.lit(1).alias("seq"), (num(F.col("active")) - F.when(known, num(F.col("was"))).otherwise(F.lit(0))).alias("da"), F.when(known, 0).otherwise(1).alias("dt")))
+    moved = F.col("was_scope").isNotNull() & ~F.col("was_scope").eqNullSafe(F.col("scope"))
+    known = F.col("was_scope").isNotNull() & ~moved
+    rows = F.array(F.when(moved, F.struct(F.col("was_scope").alias("o"), F.lit(0).alias("seq"), (-num(F.col("was"))).alias("da"), F.lit(-1).alias("dt"))),
+                   F.struct(F.col("scope").alias("o"), F.lit(1).alias("seq"), (num(F.col("active")) - F.when(known, num(F.col("was"))).otherwise(F.lit(0))).alias("da"), F.when(known, 0).otherwise(1).alias("dt")))
     d = c.select("pos", "source", "partition_id", "time", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("pos", "source", "partition_id", "time", "r.*")
-    run = Window.partitionBy("p", "source", "partition_id").orderBy("pos", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("pos", "source", "partition_id", "time", F.col("o.p").alias("p"), F.col("o.ctx").alias("ctx"), F.to_json("o.ctx").alias("context"), "seq", "da", "dt")
+    run = Window.partitionBy("p", "context", "source", "partition_id").orderBy("pos", "seq").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("a", F.sum("da").over(run)).withColumn("t", F.sum("dt").over(run))
-    none = lambda t: F.array().cast(t)
-    return d.select("pos", F.lit(name).alias("window_name"), F.col("p").alias("key"), "source", "partition_id", rule(F.col("a"), F.col("t")).alias("active"),
-                    none("array<struct<name:string,value:string,parent_name:string>>").alias("segments"), none("array<struct<name:string,value:string>>").alias("tags"), "time")
+    tags = F.array().cast("array<struct<name:string,value:string>>")
+    return d.select("pos", F.lit(name).alias("window_name"), F.col("p").alias("key"), "source", "partition_id", rule(F.col("a"), F.col("t")).alias("active"), F.col("ctx").alias("segments"), tags.alias("tags"), "time", *(["context"] if segments else []))
 
 
-def project_segments(obs: DataFrame, keep: list[str] | None = None, drop: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
-    """Preserve, drop or rename the segments that a parent sees; parents that are gone become null."""
-    rename = rename or {}
-    s = F.filter("segments", lambda x: (x["name"].isin(*keep) if keep is not None else F.lit(True)) & ~(x["name"].isin(*drop) if drop else F.lit(False)))
+def project_segments(obs: DataFrame, keep: list[str] | None = None, drop: list[str] = (), rename: dict[str, str] | None = None, transform: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Preserve, drop, rename or transform the segments that a parent sees; parents that are gone become null; two segments of
+    one projected name fail the query."""
+    rename, transform = rename or {}, transform or {}
+    s = F.filter("segments", lambda x: (x["name"].isin(*keep) if keep else F.lit(True)) & ~(x["name"].isin(*drop) if drop else F.lit(False)))
     new = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in rename.items() for v in kv]), c), c) if rename else c
+
+    def value(x):
+        out = x["value"]
+        for n, fn in transform.items():
+            out = F.when(x["name"] == n, fn(x["value"]).cast("string")).otherwise(out)
+        return out
+
     names = F.transform(s, lambda x: x["name"])
-    return obs.withColumn("segments", F.transform(s, lambda x: F.struct(new(x["name"]).alias("name"), x["value"].alias("value"), F.when(F.array_contains(names, x["parent_name"]), new(x["parent_name"])).alias("parent_name"))))
+    made = F.transform(s, lambda x: F.struct(new(x["name"]).alias("name"), value(x).alias("value"), F.when(F.array_contains(names, x["parent_name"]), new(x["parent_name"])).alias("parent_name")))
+    twice = F.size(F.array_distinct(F.transform(made, lambda x: x["name"]))) < F.size(made)
+    return obs.withColumn("segments", F.when(twice, F.raise_error(F.lit("two segments of one projected name")).cast("array<struct<name:string,value:string,parent_name:string>>")).otherwise(made))
 
 
 def trim_closed_before(windows: DataFrame, position: int) -> DataFrame:

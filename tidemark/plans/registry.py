@@ -10,7 +10,7 @@ from tidemark.operators import compare, episodes, governance, history, record
 from tidemark.plans import comparison as plans
 from tidemark.streaming import live
 
-H = 200_000  # beyond the last position of every scale used
+H = "(select max(pos) + 1000 from ev)"  # in SQL: beyond the last position of the table
 K = 5_000
 
 
@@ -25,6 +25,11 @@ def definition(name="HighValue", active=None, segmented=False):
     return record.WindowDefinition(name, F.col("value") > 20 if active is None else active, F.col("user_id"), lane, F.col("user_id") % 4, {"phase": phase} if segmented else {}, {}, {"type": F.col("event_type")}, F.col("ts"))
 
 
+def horizon(spark, d) -> int:
+    """A position beyond the last of the table."""
+    return (events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1001
+
+
 def POS():
     return F.col("event_id") + 1
 
@@ -72,12 +77,12 @@ FIN = "case when {} then 'Provisional' else 'Final' end as finality"
 
 
 def plan(against=None, **kw):
-    kw = {"horizon": H, "scope_window": "HighValue", "use_segments": False} | kw
+    kw = {"scope_window": "HighValue", "use_segments": False} | kw
     return plans.Plan("lanes", plans.for_source("lane-a"), (against or plans.for_source("lane-b"),), plans.SIMPLE, **kw)
 
 
 def comp(spark, d, against=None, **kw):
-    return compare.Comparison(windows(spark, d), plan(against, **kw))
+    return compare.Comparison(windows(spark, d), plan(against, **({"horizon": horizon(spark, d)} | kw)))
 
 
 def seg(df, *more):
@@ -250,7 +255,7 @@ RUP = RUP.replace("source, active, lag", "source, part as part_, active, lag").r
 query("rup_any", RUP.format(m=10, rule="a > 0"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active).select(*WCOLS()))
 query("rup_all", RUP.format(m=10, rule="t > 0 and a = t"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.all_active).select(*WCOLS()))
 QUERIES["rup_multilevel"] = lambda s, d: record.roll_up(record.parent_observations(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active), "Region", F.col("key").cast("long") % 3, record.any_active).select(*WCOLS())
-QUERIES["seq_three_step"] = lambda s, d: episodes.match_sequence(families(s, d), ["Signup", "Purchase", "Error"], 2000)
+QUERIES["seq_three_step"] = lambda s, d: episodes.match_sequence(families(s, d).where("end_position is not null"), ["Signup", "Purchase", "Error"], 2000)
 
 ROWS = W + f""", p as (select rid as row_id, case when e <= {K} then 'Final' else 'Provisional' end as finality from r where s <= {K}), q as (select rid as row_id, case when e <= 7500 then 'Final' else 'Provisional' end as finality from r where s <= 7500 and not (s % 97 = 0 and s <= {K}))"""
 snap = lambda s, d, h, drop=False: history.snapshot_at(windows(s, d), h).where(f"not (start_position % 97 = 0 and start_position <= {K})" if drop else "true").select(F.col("record_id").alias("row_id"), "finality")
@@ -260,7 +265,7 @@ query("rev_replay", ROWS + " select row_id, finality from q")(lambda s, d: gover
 query("asm_min_coverage", A1 + " , cs as (select key, sum(e - s) as tm, sum(case when an > 0 then e - s else 0 end) as cm from x where tn > 0 group by key) select 'coverage' as rule, count(*) as violations from cs where cm / tm < 0.5")(
     lambda s, d: governance.assess(comp(s, d), [governance.Rule("coverage", "minimum_coverage", 0.5)]).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
 query("live_liveness", "with " + BASE + f" x as (select source || '/' || key as lane, pos, lead(pos) over (partition by source, key order by pos) as nxt from ev) select lane, pos + 500 as silent_at, nxt as alive_at from x where coalesce(nxt, {H}) - pos >= 500")(
-    lambda s, d: live.silences(obs(s, d).select(F.concat_ws("/", "source", "key").alias("lane"), "pos"), 500, H))
+    lambda s, d: live.silences(obs(s, d).select(F.concat_ws("/", "source", "key").alias("lane"), "pos"), 500, horizon(s, d)))
 IMPORT = {"input": "csv", "source": "event_type", "position": "position", "key": "user_id", "windows": [{"name": "Big", "active": {"field": "value", "greaterThan": 20}, "tags": [{"name": "t", "field": "event_type"}]}]}
 
 
@@ -283,7 +288,7 @@ def at_horizon(h, select):
 
 def runs(s, d, **kw):
     w = windows(s, d)
-    return [compare.Comparison(w, replace(plan(), horizon=None, known_at=h, **kw)) for h in (K, H)]
+    return [compare.Comparison(w, replace(plan(), horizon=None, known_at=h, **kw)) for h in (K, horizon(s, d))]
 
 
 COVER = "select key, part, sum(e - s)::bigint as tm, sum(case when an > 0 then e - s else 0 end)::bigint as cm from x where tn > 0 group by key, part"
@@ -294,3 +299,5 @@ query("rev_rows", W + f", p as {at_horizon(K, OVER)}, q as {at_horizon(H, OVER)}
     lambda s, d: governance.revision(*runs(s, d, comparators=("overlap",)))["rows"].groupBy("change", "finality").agg(F.count(F.lit(1)).alias("n")))
 query("asm_suite", A1 + " , cs as (select key, sum(e - s) as tm, sum(case when an > 0 then e - s else 0 end) as cm from x where tn > 0 group by key, part), v as (select unnest(['low', 'high']) as specification, unnest([0.0, 0.5]) as least) select specification, count(*) filter (where cm / tm < least) as violations, count(*) filter (where cm / tm < least) = 0 as passed from v, cs group by specification")(
     lambda s, d: governance.Suite("lanes", (("low", (governance.Rule("c", "minimum_coverage", 0.0),)), ("high", (governance.Rule("c", "minimum_coverage", 0.5),)))).results(comp(s, d)).select("specification", "violations", "passed"))
+
+from tidemark.plans import extended  # noqa: E402, F401  (registers further queries)

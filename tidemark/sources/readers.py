@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.record import WindowDefinition, record_families
+from tidemark.operators.record import WindowDefinition, record_families, record_id
 
 PAIR = "array<struct<name:string,value:string,parentName:string>>"
 
@@ -20,7 +20,7 @@ def read_windows(spark: SparkSession, path: str, default_name: str | None = None
     none = F.array()
     return raw.select(name.alias("window_name"), "key", "source", F.col("partition").alias("partition_id"), F.col("startPosition").alias("start_position"), F.col("endPosition").alias("end_position"), F.lit(None).cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"),
                       F.coalesce(F.transform("segments", lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value"), s["parentName"].alias("parent_name"))), none.cast("array<struct<name:string,value:string,parent_name:string>>")).alias("segments"), F.coalesce("tags", none.cast("array<struct<name:string,value:string>>")).alias("tags"),
-                      F.concat_ws("|", name, "key", F.coalesce("source", F.lit("")), F.coalesce("partition", F.lit("")), F.col("startPosition").cast("string")).alias("record_id"))
+                      record_id(name, "key", "source", "partition", "startPosition").alias("record_id"), F.col("knownAt").alias("known_at"))
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
