@@ -73,8 +73,8 @@ def main(argv=None) -> int:
         doc = load(o.fixture)
         got = documents.run_fixture(spark, doc)
         plan = documents.plan_of(doc["plan"])
-        print(readers.export_markdown(plan, got["rows"]) if o.command == "explain" else json.dumps({"valid": got["valid"], "diagnostics": got["diagnostics"], "fingerprint": plan.fingerprint(), "rows": documents.rows_json(got["rows"], 10_000)}, indent=2))
-        return int(not got["valid"])
+        print(readers.export_markdown(plan, got["rows"]) if o.command == "explain" else json.dumps(documents.result_document(plan, got["valid"], got["diagnostics"], got["rows"]), indent=2))
+        return int(not (got["valid"] and got["matches"]))
     if o.command in ("timeline", "context", "suite"):
         from tidemark.operators import compare, governance
         from tidemark.sources import reports
@@ -93,7 +93,7 @@ def main(argv=None) -> int:
 
         doc = load(o.fixture)
         c = compare.Comparison(documents.windows_of(spark, doc["windows"]), documents.plan_of(doc["plan"]))
-        bad = [r.asDict() for r in governance.assess(c, documents.rules_of(load(o.assessment))).collect()]
+        bad = [r.asDict() for r in governance.assess(c, documents.rules_of(load(o.assessment))).toLocalIterator()]
         print(json.dumps({"passed": not bad, "violations": bad}, indent=2))
         return int(bool(bad))
     if o.command == "audit-windows":
@@ -107,12 +107,12 @@ def main(argv=None) -> int:
         if o.out:
             documents.write_bundle(o.out, files)
         else:
-            print(files["result.json" if o.profile == "Full" else "context.json"])
+            sys.stdout.writelines(files["result.json"] if o.profile == "Full" else [files["context.json"], "\n"])
         return 0
     if o.command == "episodes":
         doc = load(o.document)
         got = documents.run_episodes(spark, doc, readers.read_windows(spark, o.windows, doc["windowName"]))
-        print(json.dumps(documents.rows_json(got, 10_000), indent=2))
+        print(json.dumps(documents.rows_json(got), indent=2))
         return 0
     m = load(o.map)
     raw = readers.read_csv(spark, o.events) if m["input"] == "csv" else spark.read.text(o.events)

@@ -85,40 +85,46 @@ def snapshot_at(windows: DataFrame, horizon: int, axis: str = "position") -> Dat
     return windows.where(F.col("start_position") <= h).withColumn("finality", F.when(F.col("end_position") <= h, "Final").otherwise("Provisional")).withColumn("end_position", F.least(F.coalesce("end_position", h), h))
 
 
+def _bin(df: DataFrame, scope: list[str], bin_width: int | None) -> DataFrame:
+    """df (start_position, end_position) with `width` and a row for each time bin that a window touches. By default bins are as
+    wide as the windows of a scope lie apart on average, so windows that do not overlap have about two each."""
+    w = Window.partitionBy(*scope)
+    mean = F.ceil((F.max("end_position").over(w) - F.min("start_position").over(w)) / F.count(F.lit(1)).over(w)).cast("long")
+    out = df.withColumn("width", F.greatest(F.lit(1).cast("long"), mean) if bin_width is None else F.lit(bin_width).cast("long"))
+    last = F.greatest(F.col("end_position") - 1, F.col("start_position"))
+    return out.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_position") / F.col("width")), F.floor(last / F.col("width")))))
+
+
 def find_overlaps(windows: DataFrame, bin_width: int | None = None) -> DataFrame:
-    """Pairs of closed windows of one scope that overlap, first by (start, end, id). bin_width: deal dense scopes by time
-    bins, a pair being found in the bin where the later one starts."""
-    c = windows.where("end_position is not null").select(*SCOPE, F.to_json("segments").alias("ctx"), "source", "start_position", "end_position", "record_id")
-    a, b = (c.select(*SCOPE, "ctx", *[F.col(x).alias(f"{s}_{x}") for x in ("source", "start_position", "end_position", "record_id")]) for s in ("first", "second"))
+    """Pairs of closed windows of one scope that overlap, first by (start, end, id). Windows meet in time bins, a pair being
+    found in the bin where the later one starts; bin_width: a fixed width instead of one for each scope."""
     on = [*SCOPE, "ctx"]
-    if bin_width:
-        bins = lambda s: F.explode(F.sequence(F.floor(F.col(f"{s}_start_position") / bin_width), F.floor(F.greatest(F.col(f"{s}_end_position") - 1, F.col(f"{s}_start_position")) / bin_width)))
-        a, b = a.withColumn("bin", bins("first")), b.withColumn("bin", bins("second"))
-        on = [*on, "bin"]
-    cond = [a[x].eqNullSafe(b[x]) for x in on]
-    pair = a.join(b, cond).select(*[a[x] for x in on], *[c for c in a.columns if c.startswith("first_")], *[c for c in b.columns if c.startswith("second_")])
+    c = windows.where("end_position is not null").select(*SCOPE, F.to_json("segments").alias("ctx"), "source", "start_position", "end_position", "record_id")
+    c = _bin(c, on, bin_width)
+    a, b = (c.select(*on, "bin", "width", *[F.col(x).alias(f"{s}_{x}") for x in ("source", "start_position", "end_position", "record_id")]) for s in ("first", "second"))
+    cond = [a[x].eqNullSafe(b[x]) for x in (*on, "bin")]
+    pair = a.join(b, cond).select(*[a[x] for x in on], a["bin"], a["width"], *[c for c in a.columns if c.startswith("first_")], *[c for c in b.columns if c.startswith("second_")])
     hit = pair.where("first_start_position < second_end_position and second_start_position < first_end_position").where("struct(first_start_position, first_end_position, first_record_id) < struct(second_start_position, second_end_position, second_record_id)")
-    if bin_width:
-        hit = hit.where(F.col("bin") == F.floor(F.greatest("first_start_position", "second_start_position") / bin_width)).drop("bin")
+    hit = hit.where(F.col("bin") == F.floor(F.greatest("first_start_position", "second_start_position") / F.col("width"))).drop("bin", "width")
     return hit.drop("ctx").withColumn("overlap_start", F.greatest("first_start_position", "second_start_position")).withColumn("overlap_end", F.least("first_end_position", "second_end_position"))
 
 
 def find_residuals(windows: DataFrame, source: str) -> DataFrame:
-    """Parts of a source's closed windows that no other source's closed window of the scope covers: a sweep by running sums,
-    without a join of ranges."""
+    """Parts of a source's closed windows that no other source's closed window of the scope covers. A sweep by running sums
+    finds the stretches without cover between the boundaries of a scope; they meet the source's windows in time bins."""
     c = windows.where("end_position is not null and end_position > start_position").withColumn("ctx", F.to_json("segments"))
     scope = [*SCOPE, "ctx"]
-    others = c.where(~F.col("source").eqNullSafe(source))
-    pts = others.select(*scope, F.explode(F.array(F.struct(F.col("start_position").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end_position").alias("p"), F.lit(-1).alias("d")))).alias("x")).select(*scope, "x.p", "x.d", F.lit(None).cast("string").alias("rid"), F.lit(0).alias("mark"))
-    mine = c.where(F.col("source").eqNullSafe(source)).select(*scope, "record_id", "start_position", "end_position")
-    marks = mine.select(*scope, F.col("start_position").alias("p"), F.lit(0).alias("d"), F.col("record_id").alias("rid"), F.lit(1).alias("mark"))
-    w = Window.partitionBy(*scope).orderBy("p").rangeBetween(Window.unboundedPreceding, 0)
-    cover = pts.unionByName(marks).withColumn("n", F.sum("d").over(w))
-    edges = cover.groupBy(*scope, "p").agg(F.max("n").alias("n"))
-    nxt = edges.withColumn("q", F.lead("p").over(Window.partitionBy(*scope).orderBy("p"))).where("n = 0")
-    on = [mine[x].eqNullSafe(nxt[x]) for x in scope]
-    hit = mine.join(nxt, [*on, mine["start_position"] < F.coalesce(nxt["q"], mine["end_position"]), nxt["p"] < mine["end_position"]])
-    parts = hit.select(*[mine[x] for x in scope], "record_id", F.greatest("start_position", "p").alias("s"), F.least("end_position", F.coalesce("q", "end_position")).alias("e")).where("s < e")
+    mine = F.col("source").eqNullSafe(source)
+    ends = F.array(F.struct(F.col("start_position").alias("p"), F.when(mine, 0).otherwise(1).alias("d")), F.struct(F.col("end_position").alias("p"), F.when(mine, 0).otherwise(-1).alias("d")))
+    sums = c.select(*scope, F.explode(ends).alias("x")).groupBy(*scope, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy(*scope).orderBy("p")
+    bare = sums.select(*scope, F.col("p").alias("start_position"), F.lead("p").over(w).alias("end_position"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).where("n = 0 and end_position is not null")
+    both = c.where(mine).select(*scope, "record_id", "start_position", "end_position").unionByName(bare.select(*scope, F.lit(None).cast("string").alias("record_id"), "start_position", "end_position"))
+    dealt = _bin(both, scope, None)
+    own = dealt.where("record_id is not null").select(*scope, "bin", "width", "record_id", F.col("start_position").alias("a"), F.col("end_position").alias("b"))
+    gap = dealt.where("record_id is null").select(*[F.col(x).alias("g_" + x) for x in (*scope, "bin")], F.col("start_position").alias("s"), F.col("end_position").alias("e"))
+    met = own.join(gap, [own[x].eqNullSafe(gap["g_" + x]) for x in (*scope, "bin")]).where((F.col("s") < F.col("b")) & (F.col("a") < F.col("e"))).where(F.col("bin") == F.floor(F.greatest("a", "s") / F.col("width")))
+    parts = met.select(*scope, "record_id", F.greatest("a", "s").alias("s"), F.least("b", "e").alias("e"))
     o = Window.partitionBy("record_id").orderBy("s")  # pieces that touch are one residual
     island = F.sum(F.when(F.col("s") == F.lag("e").over(o), 0).otherwise(1)).over(o)
     return parts.withColumn("g", island).groupBy(*SCOPE, "record_id", "g").agg(F.min("s").alias("start_position"), F.max("e").alias("end_position")).drop("g")

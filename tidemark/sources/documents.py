@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import compare, episodes, governance
 from tidemark.plans import comparison as plans
 
+RESULT = "tidemark.comparison-result"
 WINDOWS = "window_name string, key string, source string, partition_id string, start_position long, end_position long, start_time timestamp, end_time timestamp, segments array<struct<name:string,value:string,parent_name:string>>, tags array<struct<name:string,value:string>>, record_id string"
 
 
@@ -42,21 +43,51 @@ def plan_of(d: dict) -> plans.Plan:
     return plans.Plan(d["name"], plans.for_source(d["targetSource"]), against, tuple(d["comparators"]), d.get("scopeWindow"), pairs("scopeSegments"), pairs("scopeTags"), strict=bool(d.get("strict")), horizon=d.get("liveHorizonPosition"))
 
 
+def _needs(doc, what: str, *fields: str) -> None:
+    """A document is an object with these fields."""
+    if not isinstance(doc, dict):
+        raise ValueError(f"a {what} is an object")
+    gone = [f for f in fields if f not in doc]
+    if gone:
+        raise ValueError(f"a {what} needs {', '.join(gone)}")
+
+
+def check_fixture(doc: dict) -> None:
+    """Refuses a fixture that lacks what it must have, or has a version that is not 1."""
+    _needs(doc, "fixture", "windows", "plan")
+    if doc.get("version", 1) != 1:
+        raise ValueError("a fixture of another version")
+    _needs(doc["plan"], "plan", "name", "targetSource", "comparators")
+    if bool(doc["plan"].get("againstSources")) == bool(doc["plan"].get("againstCohort")):
+        raise ValueError("a plan has either againstSources or againstCohort")
+    for w in doc["windows"]:
+        _needs(w, "window", "key", "startPosition")
+        if w.get("endPosition") is not None and w["endPosition"] < w["startPosition"]:
+            raise ValueError("a window ends before it starts")
+
+
 def run_fixture(spark: SparkSession, doc: dict) -> dict:
-    """{valid, diagnostics, rows}: any error leaves no rows."""
+    """{valid, diagnostics, rows, matches}: any error leaves no rows. matches: whether the numbers of rows in the fixture's
+    `expected` (comparator: rows), if it has one, are those found."""
+    check_fixture(doc)
     plan, windows = plan_of(doc["plan"]), windows_of(spark, doc["windows"])
     found = [(x.code, x.error) for x in plan.validate()]
     found += [(k, True) for k in compare.errors(windows, plan)]
     if any(e for _, e in found):
-        return {"valid": False, "diagnostics": [c for c, _ in found], "rows": {}}
-    return {"valid": True, "diagnostics": [c for c, _ in found], "rows": compare.Comparison(windows, plan).run()}
+        return {"valid": False, "diagnostics": [c for c, _ in found], "rows": {}, "matches": doc.get("expected") in (None, {})}
+    rows = compare.Comparison(windows, plan).run()
+    return {"valid": True, "diagnostics": [c for c, _ in found], "rows": rows, "matches": all(n in rows and rows[n].count() == k for n, k in (doc.get("expected") or {}).items())}
 
 
 def run_episodes(spark: SparkSession, doc: dict, windows: DataFrame) -> dict[str, DataFrame]:
+    _needs(doc, "episode analysis", "windowName", "target", "against", "stitchTolerance", "relationTolerance")
+    if min(doc["stitchTolerance"], doc["relationTolerance"]) < 0 or doc["target"]["source"] == doc["against"]["source"]:
+        raise ValueError("tolerances are not negative, and the sides differ")
     w = windows.where(F.col("window_name") == doc["windowName"])
     args = (w, doc["target"]["source"], doc["against"]["source"], doc["stitchTolerance"], doc["relationTolerance"], doc.get("liveHorizon"))
     rel = episodes.relations(*args)
-    return {"relations": rel, "metrics": episodes.metrics(*args), "scorecard": episodes.scorecard(rel)}
+    metrics = episodes.metrics(*args)
+    return {"relations": rel, "metrics": metrics, "scorecard": episodes.scorecard(rel), "summary": episodes.comparison_summary(rel, metrics)}
 
 
 def rules_of(doc: dict) -> list[governance.Rule]:
@@ -64,21 +95,37 @@ def rules_of(doc: dict) -> list[governance.Rule]:
     return [governance.Rule(r["id"], kind[r["type"]][0], r.get(kind[r["type"]][1], 0), r.get("aggregation", "single").capitalize()) for r in doc["rules"]]
 
 
-def rows_json(result: dict[str, DataFrame], limit: int) -> dict:
-    """At most `limit` rows a family, in order, for driver-side documents."""
-    return {n: [json.loads(r[0]) for r in df.orderBy(*[c for c in ("key", "start_m", "end_m") if c in df.columns]).limit(limit).select(F.to_json(F.struct(*df.columns))).collect()] for n, df in result.items()}
+def rows_json(result: dict[str, DataFrame], limit: int | None = None) -> dict:
+    """The rows of every family, in order; with a limit the first ones, which the caller has to say."""
+
+    def one(df):
+        df = df.orderBy(*[c for c in ("key", "start_m", "end_m") if c in df.columns])
+        df = df if limit is None else df.limit(limit)
+        return [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()]
+
+    return {n: one(df) for n, df in result.items()}
 
 
-def write_bundle(path: str, files: dict[str, str]) -> None:
-    """A directory of named documents with a manifest of sizes and SHA-256 sums; it appears whole or not at all."""
+def result_document(plan: plans.Plan, valid: bool, found: list[str], rows: dict[str, DataFrame]) -> dict:
+    """A whole result: every row of every family, for diff."""
+    return {"format": RESULT, "version": 1, "valid": valid, "diagnostics": found, "fingerprint": plan.fingerprint(), "complete": True, "rows": rows_json(rows)}
+
+
+def write_bundle(path: str, files: dict) -> None:
+    """A directory of named documents with a manifest of sizes and SHA-256 sums; it appears whole or not at all. A document is
+    text, or the pieces of one, which are written as they come: a result of any number of rows passes through."""
     tmp = tempfile.mkdtemp(prefix=".bundle-", dir=os.path.dirname(os.path.abspath(path)))
     try:
         manifest = {}
         for name, body in files.items():
-            data = body.encode()
+            size, digest = 0, hashlib.sha256()
             with open(os.path.join(tmp, name), "wb") as f:
-                f.write(data)
-            manifest[name] = {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
+                for piece in [body] if isinstance(body, str) else body:
+                    data = piece.encode()
+                    f.write(data)
+                    digest.update(data)
+                    size += len(data)
+            manifest[name] = {"bytes": size, "sha256": digest.hexdigest()}
         with open(os.path.join(tmp, "manifest.json"), "w") as f:
             json.dump({"files": manifest}, f, indent=2)
         os.rename(tmp, path)
@@ -87,6 +134,20 @@ def write_bundle(path: str, files: dict[str, str]) -> None:
         raise
 
 
+def read_bundle(path: str) -> dict[str, str]:
+    """The documents of a whole bundle; one that verify_bundle finds wanting is refused."""
+    bad = verify_bundle(path)
+    if bad:
+        raise ValueError("; ".join(bad))
+    with open(os.path.join(path, "manifest.json")) as f:
+        names = json.load(f)["files"]
+    out = {}
+    for n in names:
+        with open(os.path.join(path, n)) as f:
+            out[n] = f.read()
+    return out
+
+
 def verify_bundle(path: str) -> list[str]:
     """What is missing or differs from the manifest; nothing if the bundle is whole."""
     with open(os.path.join(path, "manifest.json")) as f:
@@ -107,11 +168,15 @@ def verify_bundle(path: str) -> list[str]:
 
 
 def diff(previous: dict, current: dict) -> list[dict]:
-    """Rows added and retracted between two exported results of one plan."""
+    """Rows added, revised (finality alone differs) and retracted between two exported results of one plan. Results that say
+    they are not complete are refused, as rows they leave out would look retracted."""
+    if not (previous.get("complete", True) and current.get("complete", True)):
+        raise ValueError("a result that leaves out rows cannot be compared")
     if previous.get("fingerprint") != current.get("fingerprint"):
         raise ValueError("the results are of different plans")
     out = []
     for n in sorted({*previous["rows"], *current["rows"]}):
-        a, b = ({json.dumps(r, sort_keys=True) for r in x["rows"].get(n, [])} for x in (previous, current))
-        out += [{"comparator": n, "change": "Retracted", "row": json.loads(r)} for r in sorted(a - b)] + [{"comparator": n, "change": "Added", "row": json.loads(r)} for r in sorted(b - a)]
+        a, b = ({json.dumps({k: v for k, v in r.items() if k != "finality"}, sort_keys=True): r for r in x["rows"].get(n, [])} for x in (previous, current))
+        out += [{"comparator": n, "change": "Retracted", "row": a[r]} for r in sorted(set(a) - set(b))] + [{"comparator": n, "change": "Added", "row": b[r]} for r in sorted(set(b) - set(a))]
+        out += [{"comparator": n, "change": "Revised", "row": b[r]} for r in sorted(set(a) & set(b)) if a[r].get("finality") != b[r].get("finality")]
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.record import WindowDefinition, record_families, record_id
@@ -53,9 +53,10 @@ def predicate(value: Column, spec: dict) -> Column:
     return known[op]()
 
 
-def import_events(events: DataFrame, mapping: dict, get=None) -> DataFrame:
+def import_events(events: DataFrame, mapping: dict, get=None, order: str | None = None) -> DataFrame:
     """Windows of raw events by an import map. events: one JSON document a row in `value`, or named CSV columns. A field that
-    a row lacks fails the job; open windows stay open."""
+    a row lacks fails the job; open windows stay open. `order`: a
+    column by which positions must not move backwards within a source and partition."""
     if get is None:
         get = (lambda f: F.get_json_object("value", path_of(f))) if "value" in events.columns and mapping.get("input", "jsonl") == "jsonl" else (lambda f: F.col(f"`{f}`"))
     need = lambda f: F.coalesce(get(f), F.raise_error(F.lit(f"missing field {f}")).cast("string"))
@@ -63,7 +64,14 @@ def import_events(events: DataFrame, mapping: dict, get=None) -> DataFrame:
     for w in mapping["windows"]:
         defs.append(WindowDefinition(w["name"], predicate(need(w["active"]["field"]), w["active"]), need(w.get("key") or mapping["key"]), need(mapping["source"]), need(mapping["partition"]) if mapping.get("partition") else None,
                                      {s["name"]: need(s["field"]) for s in w.get("segments", [])}, {s["name"]: s["parentName"] for s in w.get("segments", []) if s.get("parentName")}, {t["name"]: need(t["field"]) for t in w.get("tags", [])}))
-    return record_families(events, need(mapping["position"]).cast("long"), defs)
+    position = need(mapping["position"]).cast("long")
+    if order is not None:
+        lane = Window.partitionBy(need(mapping["source"]), *([need(mapping["partition"])] if mapping.get("partition") else [])).orderBy(order)
+        events = events.withColumn("__pos", position)
+        back = F.col("__pos") < F.lag("__pos").over(lane)
+        events = events.withColumn("__pos", F.when(back, F.raise_error(F.lit("a position moves backwards")).cast("long")).otherwise(F.col("__pos")))
+        position = F.col("__pos")
+    return record_families(events, position, defs)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +81,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def export_json_lines(rows: dict[str, DataFrame], path: str) -> None:
-    """All row families, one JSON document a row, written by the executors."""
-    out = None
-    for name, df in rows.items():
-        one = df.select(F.to_json(F.struct(F.lit(name).alias("comparator"), *df.columns)).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    out.write.text(path)
+def export_json_lines(rows: dict[str, DataFrame], path: str, plan=None) -> None:
+    """One JSON document a row, written by the executors: first a summary line with the rows of every family, then the families
+    in their order, each row with its finality. A summary and each family are a part of their own, in order of name."""
+    spark = next(iter(rows.values())).sparkSession
+    summary = {"kind": "summary", "plan": None if plan is None else plan.name, "rows": {n: df.count() for n, df in rows.items()}}
+    spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.text(f"{path}/00-summary")
+    for i, (name, df) in enumerate(rows.items(), 1):
+        df.select(F.to_json(F.struct(F.lit(name).alias("comparator"), *df.columns)).alias("value")).write.text(f"{path}/{i:02d}-{name.replace(':', '-')}")
 
 
 def export_markdown(plan, rows: dict[str, DataFrame], limit: int = 20) -> str:

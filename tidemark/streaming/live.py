@@ -139,12 +139,57 @@ def record_stream(obs: DataFrame, enter_after: int = 1, exit_after: int = 1) ->
     return obs.groupBy("key", "source", "partition_id").applyInPandasWithState(run, "key string, source string, partition_id string, kind string, start_position long, position long, segments string", "last long, opened long, held string, pending int", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_batches(stream: DataFrame, sink, compare) -> object:
-    """foreachBatch: `compare(batch, horizon)` at the batch's largest position, its result handed to `sink`."""
+def windows_so_far(emitted: DataFrame) -> DataFrame:
+    """Windows of all transitions of record_stream up to now: closed ones by their Closed row, open ones by an Opened row that
+    none has followed."""
+    lane = ["key", "source", "partition_id", "start_position"]
+    end = F.max(F.when(F.col("kind") == "Closed", F.col("position")))
+    return emitted.groupBy(*lane).agg(end.alias("end_position"), F.first("segments").alias("segments"))
+
+
+def live_batches(stream: DataFrame, sink, compare, store: str) -> object:
+    """foreachBatch: the transitions of every micro-batch are appended to the table at `store` (a batch that is run again
+    replaces its own part), and `compare(windows, horizon)` sees the windows of all batches so far, at the largest position
+    yet; its result is handed to `sink`."""
 
     def each(batch, n):
-        h = batch.agg(F.max("position")).first()[0]
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={n}")
+        seen = spark.read.parquet(store).where(F.col("batch") <= n).drop("batch")
+        h = seen.agg(F.max("position")).first()[0]
         if h is not None:
-            sink(compare(batch, h), n)
+            sink(compare(windows_so_far(seen), h), n)
 
     return stream.writeStream.foreachBatch(each)
+
+
+class Callbacks:
+    """Handlers of emissions, called for each row of a committed batch of transitions; a handler that fails does not keep
+    others from being called, and all errors are raised together afterwards. Rows are fetched a partition at a time."""
+
+    def __init__(self):
+        self.handlers: list[tuple[str | None, object]] = []
+
+    def on_emission(self, fn):
+        self.handlers.append((None, fn))
+        return self
+
+    def on_opened(self, fn):
+        self.handlers.append(("Opened", fn))
+        return self
+
+    def on_closed(self, fn):
+        self.handlers.append(("Closed", fn))
+        return self
+
+    def __call__(self, transitions: DataFrame, n: int = 0) -> None:
+        wrong = []
+        for row in transitions.toLocalIterator():
+            for kind, fn in self.handlers:
+                if kind in (None, row["kind"]):
+                    try:
+                        fn(row)
+                    except Exception as e:
+                        wrong.append(e)
+        if wrong:
+            raise ExceptionGroup("handlers failed", wrong)
