@@ -68,12 +68,11 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
     source are disjoint, so a group has about two bins a fragment, and no fragment meets those far from it. Null and empty
     partitions are different ones. A relation is Provisional with any provisional episode, or while the horizon has not
     passed its last end by more than the tolerance."""
-    side = lambda s: fragments(windows.where(F.col("source") == s), stitch, horizon)
-    t, a = side(target), side(against)
-    same = F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"}).alias("grp")
-    both = t.select(same, F.lit("T").alias("side"), "episode_id", "s", "e").unionByName(a.select(same, F.lit("A").alias("side"), "episode_id", "s", "e"))
-    spread = both.groupBy("grp").agg(F.greatest(F.lit(1), F.lit(tolerance), F.ceil((F.max("e") - F.min("s")) / F.count(F.lit(1)))).cast("long").alias("width"))
-    dealt = both.join(spread, "grp")
+    f = fragments(windows.where(F.col("source").isin(target, against)), stitch, horizon).withColumn("side", F.when(F.col("source") == target, "T").otherwise("A"))
+    both = f.select(F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"}).alias("grp"), "side", "episode_id", "s", "e", "prov")
+    over = Window.partitionBy("grp")
+    mean = F.ceil((F.max("e").over(over) - F.min("s").over(over)) / F.count(F.lit(1)).over(over))
+    dealt = both.withColumn("width", F.greatest(F.lit(1), F.lit(tolerance), mean).cast("long"))
     early = F.when(F.col("side") == "T", F.lit(tolerance)).otherwise(0)
     dealt = dealt.withColumn("bin", F.explode(F.sequence(F.floor((F.col("s") - early) / F.col("width")), F.floor((F.col("e") + early) / F.col("width")))))
     tt, aa = (dealt.where(F.col("side") == x).select("grp", "bin", *[F.col(c).alias(f"{x.lower()}_{n}") for c, n in (("episode_id", "id"), ("s", "s"), ("e", "e"))]) for x in "TA")
@@ -115,8 +114,8 @@ def relations(windows: DataFrame, target: str, against: str, stitch: int, tolera
     kind = F.when((F.col("tn") == 1) & (F.col("an") == 1), "OneToOne").when(F.col("tn") == 1, "Split").when(F.col("an") == 1, "Merge").otherwise("Complex")
     linked = comp.join(sizes, "component").select("s", "episode_id", "component", kind.alias("kind"))
     late = F.lit(False) if horizon is None else F.lit(horizon) <= F.max("e") + stitch
-    ep = lambda f, x: f.groupBy("episode_id").agg((F.bool_or("prov") | late).alias("prov"), F.max("e").alias("end")).withColumn("s", F.lit(x))
-    out = ep(t, "T").unionByName(ep(a, "A")).join(linked, ["s", "episode_id"], "left").withColumn("component", F.coalesce("component", F.concat_ws("|", "s", "episode_id")))
+    ep = both.groupBy(F.col("side").alias("s"), "episode_id").agg((F.bool_or("prov") | late).alias("prov"), F.max("e").alias("end"))
+    out = ep.join(linked, ["s", "episode_id"], "left").withColumn("component", F.coalesce("component", F.concat_ws("|", "s", "episode_id")))
     over = Window.partitionBy("component")
     open_ = F.max("prov").over(over) if horizon is None else F.max("prov").over(over) | (F.lit(horizon) <= F.max("end").over(over) + tolerance)
     final = F.when(open_, "Provisional").otherwise("Final").alias("finality")
