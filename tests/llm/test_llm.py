@@ -100,15 +100,18 @@ def test_exact(docs, empty):
     want = sorted((i, max(g), len(g), i == max(g), hashlib.sha256(x.encode()).hexdigest()) for x, g in groups.items() for i in g)
     assert sorted(map(tuple, exact.dedup(docs).collect())) == want
     assert sorted(map(tuple, exact.dedup(docs, table_bytes=300, bucket_bytes=500).collect())) == want
+    for parts in (1, 7):
+        assert sorted(map(tuple, exact.dedup(docs.repartition(parts), table_bytes=300, bucket_bytes=500, hot=1).collect())) == want
     assert exact.dedup(empty).count() == 0
 
 
 def test_grace_spills_and_streams_equal_hashes():
     rows = [(h, c, n, n, 1) for n, (h, c) in enumerate((i % 5, b"x%d" % (i % 50)) for i in range(2000))]
-    got = {p: (top, n) for p, top, n in exact.Grace(4000).run(iter(rows))}
+    got = {p: (top, n, first, c) for p, top, n, first, _, c in exact.Grace(4000).run(iter(rows))}
     for h, c, part, _, _ in rows:
         same = [r[2] for r in rows if r[0] == h and r[1] == c]
-        assert got[part] == (max(same), len(same))
+        first = got[part][2]
+        assert got[part][:2] == (max(same), len(same)) and first in same and got[first][2:] == (first, c) and (part == first or got[part][3] is None)
 
 
 def lm_brute(rows, target):

@@ -3,10 +3,12 @@
 1. Every task folds its own rows into an open-addressing table and writes one row for each distinct content it
    holds, with the ids of its copies: a hot group shrinks to a row per task before anything moves. A full table is
    written out and begun anew.
-2. The partial groups are dealt by content hash. A task spills what it receives to files by further hash bits,
+2. A content that very many tasks hold (found by counting hashes alone) is first dealt by its hash and a share of the tasks,
+   and merged there, so it arrives at its last task about as often as the root of the number of tasks that hold it.
+3. The partial groups are dealt by content hash. A task spills what it receives to files by further hash bits,
    again and again until a bucket fits its memory budget, and folds each bucket in a table of complete contents. A
    bucket that cannot be split any more (equal hashes) is folded as a stream: only distinct contents stay in memory.
-3. The group's verdict goes back to the partial groups by their own key, so a hot group stays spread over as many
+4. The group's verdict goes back to the partial groups by their own key, so a hot group stays spread over as many
    rows as tasks, and the ids are expanded.
 
 Defined cases: null texts count as empty and are equal to each other; ties on the id (repeated rows) keep one
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions_for, small_batches, stage, table
+from tidemark.llm.common import Bitmap, in_bitmap, partitions_for, small_batches, stage, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,7 +69,8 @@ class OpenTable:
 
 
 class Grace:
-    """Folds (hash, content, part, largest id, count) rows into groups; yields (part, largest id, count) again."""
+    """Folds (hash, content, part, largest id, count) rows into groups; yields (part, largest id, count, the group's first part,
+    hash, content) again, the content with the first part alone."""
 
     def __init__(self, budget: int, fanout: int = 16):
         self.budget, self.fanout = budget, fanout
@@ -125,33 +128,34 @@ class Grace:
                     return
 
     def _totals(self, rows):
-        t, top, count = OpenTable(), [], []
-        for h, content, _, last, n in rows:
+        t, top, count, first = OpenTable(), [], [], []
+        for h, content, part, last, n in rows:
             e = t.find(h, content)
             if e == len(top):
                 top.append(last)
                 count.append(n)
+                first.append(part)
             else:
                 top[e] = last if top[e] is None or (last is not None and last > top[e]) else top[e]
                 count[e] += n
-        return t, top, count
+        return t, top, count, first
 
-    def _fold(self, rows):
-        t, top, count = self._totals(rows)
+    def _again(self, rows, t, top, count, first):
         for h, content, part, _, _ in rows:
             e = t.find(h, content)
-            yield part, top[e], count[e]
+            yield part, top[e], count[e], first[e], h, content if part == first[e] else None
+
+    def _fold(self, rows):
+        yield from self._again(rows, *self._totals(rows))
 
     def _stream(self, path):
-        t, top, count = self._totals(self._read(path))
-        for h, content, part, _, _ in self._read(path):
-            e = t.find(h, content)
-            yield part, top[e], count[e]
+        yield from self._again(self._read(path), *self._totals(self._read(path)))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 64 << 20,
-          bucket_bytes: int = 96 << 20) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256. The row with the largest id of equal texts stays."""
+          bucket_bytes: int = 96 << 20, hot: int = 64) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256. The row with the largest id of equal texts stays. hot: partial groups
+    beyond which a content is merged in two steps."""
     spark = df.sparkSession
     small_batches(spark, 1000)
     norm = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
@@ -189,25 +193,45 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_b
 
     parts = stage(rows.mapInArrow(local, "part long, h long, t binary, top long, ids array<long>"), "grace")
 
-    def merge(batches):
-        def stream():
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
-
-        out = []
-        for r in Grace(bucket_bytes).run(stream()):
-            out.append(r)
-            if len(out) == 5000:
-                yield pack(out)
-                out = []
-        yield pack(out)
-
-    def pack(out):
-        cols = list(zip(*out)) if out else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "keep_id", "group_size"])
-
-    dealt = parts.select("h", "t", "part", "top", F.size("ids").cast("long").alias("n")).repartition(partitions_for(spark), "h")
-    verdict = dealt.mapInArrow(merge, "part long, keep_id long, group_size long")
+    def merge(with_content: bool):
+        form = {"part": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64(), "first": pa.int64(), "h": pa.int64(), "t": pa.binary()}
+        form = form if with_content else dict(list(form.items())[:3])
+
+        def pack(out):
+            cols = list(zip(*out)) if out else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, form.values())], names=list(form))
+
+        def run(batches):
+            def stream():
+                for b in batches:
+                    yield from zip(*(c.to_pylist() for c in b.columns))
+
+            out, size = [], 0
+            for r in Grace(bucket_bytes).run(stream()):
+                out.append(r)
+                size += len(r[5] or b"") if with_content else 0
+                if len(out) == 5000 or size > 16 << 20:
+                    yield pack(out)
+                    out, size = [], 0
+            yield pack(out)
+
+        return run
+
+    cols = ["h", "t", "part", "top", "n"]
+    all_ = parts.select("h", "t", "part", "top", F.size("ids").cast("long").alias("n"))
+    counts = stage(parts.groupBy("h").agg(F.count(F.lit(1)).alias("tasks")).where(F.col("tasks") > hot), "grace-hot")
+    most = counts.agg(F.max("tasks")).first()[0]
+    if most is None:
+        verdict = all_.repartition(partitions_for(spark), "h").mapInArrow(merge(False), "part long, keep_id long, group_size long")
+    else:
+        is_hot = in_bitmap(spark, Bitmap.build(counts, "h", 24))
+        marked = all_.withColumn("hot", is_hot("h"))
+        share = F.pmod(F.xxhash64("part"), F.lit(max(2, round(most**0.5))))
+        warm = stage(marked.where("hot").select(*cols).repartition(partitions_for(spark), "h", share).mapInArrow(merge(True), "part long, keep_id long, group_size long, first long, h long, t binary"), "grace-warm")
+        once = warm.where("part = first").select("h", "t", "part", F.col("keep_id").alias("top"), F.col("group_size").alias("n"))
+        last = stage(marked.where("not hot").select(*cols).unionByName(once).repartition(partitions_for(spark), "h").mapInArrow(merge(False), "part long, keep_id long, group_size long"), "grace-verdict")
+        cold = last.join(warm.select("part").hint("merge"), "part", "left_anti")
+        verdict = warm.select("part", F.col("first").alias("f")).join(last.select(F.col("part").alias("f"), "keep_id", "group_size").hint("merge"), "f").drop("f").unionByName(cold)
     out = parts.select("part", "ids", F.sha2("t", 256).alias("text_sha256")).join(verdict, "part").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
