@@ -133,9 +133,13 @@ def paths(piece: DataFrame) -> DataFrame:
     return chains(stage(tails.join(heads.hint("merge"), "v").where("a <> b").select("a", "b"), "piece-links")).select(F.col("id").alias("piece"), F.col("label").alias("path"))
 
 
-def spans_of(found: DataFrame, edge: DataFrame) -> DataFrame:
-    """doc_id, key, at, n (words), src, src_key, src_at, piece: runs of a row's edges along a piece, from smaller documents."""
-    hit = found.join(edge.hint("merge"), ["l", "r"]).where("doc_id > src").select(*ROW, "start", *SOURCE, "src_at", "piece")
+def repeats_of(found: DataFrame, edge: DataFrame) -> DataFrame:
+    """doc_id, key, start, src, src_key, src_at, piece: a row's edges whose source is a smaller document."""
+    return found.join(edge.hint("merge"), ["l", "r"]).where("doc_id > src").select(*ROW, "start", *SOURCE, "src_at", "piece")
+
+
+def spans_of(hit: DataFrame) -> DataFrame:
+    """doc_id, key, at, n (edges), src, src_key, src_at, piece: runs of a row's repeats along a piece."""
     w = Window.partitionBy(*ROW).orderBy("start")
     was = lambda c: F.lag(c).over(w)
     hit = hit.withColumn("again", F.coalesce(F.col("start") == was("start"), F.lit(False))).where("not again")  # repeated rows
@@ -191,9 +195,12 @@ def repeated_spans(rows: DataFrame, k: int = 13) -> DataFrame:
     distinct = stage(sources(found), "edge-sources")
     branch = stage(branching(distinct), "branching")
     edge = stage(pieces(distinct, branch), "edge-pieces")
+    discard(distinct, branch)
     path = paths(edge)
-    span = stage(spans_of(found, edge).withColumn("n", F.col("n") + (k - 1)), "spans-found")
-    discard(found, distinct, branch, edge)
+    hit = stage(repeats_of(found, edge), "edge-repeats")
+    discard(found, edge)
+    span = stage(spans_of(hit).withColumn("n", F.col("n") + (k - 1)), "spans-found")
+    discard(hit)
     seen = stage(verified(rows, span), "span-digests")
     known = span.join(seen.hint("merge"), [*SOURCE, "src_at", "n"]).join(path.hint("merge"), "piece", "left")
     one = F.struct("at", "n", "digest", F.coalesce("path", "piece").alias("path"))
