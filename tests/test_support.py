@@ -237,6 +237,39 @@ def test_callbacks(spark):
     assert sorted(seen) == [("c", 5), ("o", 1)] and len(e.value.exceptions) == 2
 
 
+def test_streamed_watermarks_equal_the_tracker(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    clock, rows = {"x": 0, "y": 0}, []
+    for n in range(400):
+        lane, kind = r.choice("xy"), r.choices(["Advance", "Observe", "Remove"], [3, 9, 0.2])[0]
+        clock[lane] += kind == "Advance" and r.randint(0, 4)
+        time = clock[lane] - (r.random() < 0.05) * 3 if kind == "Advance" else clock[lane] + r.randint(-12, 6)
+        rows.append((lane, n, kind, f"e{r.randint(0, 25)}", f"r{r.randint(0, 2)}", time))
+    w, want = live.BoundedWatermark(3), []
+    for lane, n, kind, event, revision, time in rows:
+        if kind == "Remove":
+            w.remove(lane)
+        elif kind == "Advance" and time < w.progress.get(lane, time):
+            want.append((lane, n, None, None, "Refused", None))
+        elif kind == "Advance":
+            want += [(lane, n, e, v, *x) for e, v, x in w.advance(lane, time)]
+        elif lane not in w.progress:
+            want.append((lane, n, event, revision, "NoProgress", None))
+        else:
+            want.append((lane, n, event, revision, *w.observe(lane, event, revision, time)))
+    form = "lane string, seq long, kind string, event string, revision string, time long"
+    for i in range(0, 400, 100):
+        spark.createDataFrame(rows[i : i + 100], form).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i:03d}"))
+    stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = live.watermark_stream(stream, 3).writeStream.format("memory").queryName("marks").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda x: tuple(map(str, x))
+    got = sorted((tuple(x) for x in spark.table("marks").collect()), key=key)
+    assert got == sorted(want, key=key) and {x[4] for x in want} >= {"Accepted", "Buffered", "Corrected", "Rejected", "Refused"}
+
+
 def test_live_batches_remember_earlier_windows(spark, tmp_path):
     form = "key string, source string, partition_id string, kind string, start_position long, position long, segments string"
     batches = [[("k", "a", "p", "Opened", 1, 1, "[]")], [("k", "b", "p", "Opened", 2, 2, "[]"), ("k", "a", "p", "Closed", 1, 4, "[]")], [("k", "b", "p", "Closed", 2, 6, "[]")]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import insort
 from collections.abc import Iterator
 
@@ -91,6 +92,43 @@ class Liveness:
         return out
 
 
+def watermark_stream(messages: DataFrame, lateness: int) -> DataFrame:
+    """BoundedWatermark as a stateful stream, one lane's tracker a key: lane, seq, event, revision, outcome, retracted.
+
+    messages: lane, seq (order of a lane's messages within a micro-batch), kind (Advance, Observe, Remove), event, revision,
+    time (the new progress of an Advance). An Advance gives a row for every waiting event that it releases; an observation
+    before any progress of its lane is NoProgress, a progress that moves backwards is Refused, and both leave no state."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out_form = "lane string, seq long, event string, revision string, outcome string, retracted string"
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state):
+        lane, w, out = key[0], BoundedWatermark(lateness), []
+        if state.exists:
+            progress, held, waiting = json.loads(state.get[0])
+            w.progress[lane], w.held[lane], w.waiting[lane] = progress, {e: (r, t) for e, r, t in held}, [tuple(x) for x in waiting]
+        rows = sorted((r for pdf in pdfs for r in pdf[["seq", "kind", "event", "revision", "time"]].itertuples(index=False, name=None)), key=lambda r: r[0])
+        for seq, kind, event, revision, time in rows:
+            if kind == "Remove":
+                w.remove(lane)
+            elif kind == "Advance":
+                if int(time) < w.progress.get(lane, int(time)):
+                    out.append((lane, seq, None, None, "Refused", None))
+                else:
+                    out += [(lane, seq, e, r, outcome, old) for e, r, (outcome, old) in w.advance(lane, int(time))]
+            elif lane not in w.progress:
+                out.append((lane, seq, event, revision, "NoProgress", None))
+            else:
+                out.append((lane, seq, event, revision, *w.observe(lane, event, revision, int(time))))
+        if lane in w.progress:
+            state.update((json.dumps([w.progress[lane], [[e, r, t] for e, (r, t) in w.held.get(lane, {}).items()], w.waiting.get(lane, [])]),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in out_form.split(", ")])
+
+    return messages.groupBy("lane").applyInPandasWithState(run, out_form, "tracker string", "append", GroupStateTimeout.NoTimeout)
+
+
 def silences(obs: DataFrame, threshold: int, horizon: int) -> DataFrame:
     """Batch liveness at the final horizon and between sightings: every lane's silences of `threshold` or more, from where
     they count as silent until the next sighting (null: still silent at the horizon)."""
