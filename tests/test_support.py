@@ -225,6 +225,24 @@ def test_import_refuses_positions_that_move_backwards(spark):
     assert readers.import_events(ev.where("n = 1"), m, order="n").count() == 1
 
 
+def test_debounce_with_both_predicates_equals_a_plain_loop(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(n, "w", f"k{n % 3}", "s", None, r.choice([True, False, None]), r.choice([True, False, None])) for n in range(300)]
+    df = spark.createDataFrame(rows, "pos long, window_name string, key string, source string, partition_id string, enter boolean, leave boolean")
+    for up, down in ((1, 1), (2, 3)):
+        state, want = {}, []
+        for pos, _, key, _, _, a, z in rows:
+            on, n = state.get(key, (False, 0))
+            n = n + 1 if (z if on else a) else 0
+            if n >= (down if on else up):
+                on, n = not on, 0
+            state[key] = on, n
+            want.append((pos, on))
+        assert sorted((x.pos, x.active) for x in record.stabilise_two(df, "enter", "leave", up, down).collect()) == want
+
+
 def test_callbacks(spark):
     seen = []
 

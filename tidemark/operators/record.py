@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -119,21 +119,26 @@ def stabilise(obs: DataFrame, enter_after: int = 1, exit_after: int = 1) -> Data
 
 
 def stabilise_two(obs: DataFrame, enter: str, leave: str, enter_after: int = 1, exit_after: int = 1) -> DataFrame:
-    """Debounce with independent enter and exit predicates (they may hold together): one pass over each lane."""
+    """Debounce with independent enter and exit predicates (they may hold together): each lane is passed through once, in order,
+    a batch at a time; what is held is a lane's state. A null predicate does not hold."""
+    lane = ["window_name", *LANE]
     out = obs.drop("active")
     schema = StructType([*out.schema.fields, StructField("active", BooleanType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        on, n, got = False, 0, []
-        for a, b in zip(pdf[enter].tolist(), pdf[leave].tolist()):
-            n = n + 1 if (b if on else a) else 0
-            if n and n >= (exit_after if on else enter_after):
-                on, n = not on, 0
-            got.append(on)
-        return pdf.assign(active=got)
-
-    return out.groupBy("window_name", *LANE).applyInPandas(run, schema)
+    def run(batches):
+        now, on, n = None, False, 0
+        for b in batches:
+            got = []
+            for *k, a, z in zip(*(b.column(c).to_pylist() for c in (*lane, enter, leave))):
+                if k != now:
+                    now, on, n = k, False, 0
+                n = n + 1 if (z if on else a) else 0
+                if n and n >= (exit_after if on else enter_after):
+                    on, n = not on, 0
+                got.append(on)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.bool_())], names=[*b.schema.names, "active"])
+
+    return out.repartition(*lane).sortWithinPartitions(*lane, "pos").mapInArrow(run, schema)
 
 
 def roll_up(child: DataFrame, name: str, parent: Column, rule: Callable[[Column, Column], Column], segments: bool = False) -> DataFrame:

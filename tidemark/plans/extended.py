@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import temporal
 from tidemark.operators import compare, episodes, governance, history, record
 from tidemark.plans import comparison as plans
-from tidemark.plans.registry import A1, ASOF, BASE, CLIP, EPI, FIN, H, HIER, K, LANES, NEAR, PAIRS, SQL, TOL, W, WCOLS, comp, families, horizon, obs, plan, query, rel, seg, win, windows
+from tidemark.plans.registry import A1, ASOF, BASE, CLIP, EPI, FIN, H, HIER, K, LANES, NEAR, PAIRS, POS, SQL, TOL, W, WCOLS, comp, definition, events, families, horizon, obs, plan, query, rel, seg, win, windows
 
 FINAL = "case when {} then 'Provisional' else 'Final' end"
 
@@ -92,6 +92,17 @@ query("rec_boundary_changes", "with " + BASE + win(seg=True) + " select key, sou
 query("rec_out_of_order", "with " + BASE + """ o as (select key, source, pos - case when pos % 7 = 0 then 60 else 0 end as p, pos from ev)
 select key, source, p as pos, case when p < 0 then 'NegativePosition' when p <= max(p) over (partition by key, source order by pos rows between unbounded preceding and 1 preceding) then 'OutOfOrder' end as rejected from o""")(
     lambda s, d: record.admitted(obs(s, d).withColumn("arrival", F.col("pos")).withColumn("pos", F.col("pos") - F.when(F.col("pos") % 7 == 0, 60).otherwise(0)), "arrival").select("key", "source", "pos", "rejected"))
+query("rec_hysteresis", "with " + BASE.replace("value > 20 as active", "value") + """ f as (select *, coalesce(last_value(case when value > 50 then true when value < 10 then false end ignore nulls) over (partition by key, source order by pos), false) as on_ from ev),
+c as (select *, lag(on_, 1, false) over (partition by key, source order by pos) as was from f), d as (select * from c where on_ <> was)
+select key, source, s, e from (select key, source, pos as s, lead(pos) over (partition by key, source order by pos) as e, on_ from d) where on_""")(
+    lambda s, d: record.record(record.stabilise_two(_two(s, d), "enter", "leave")).select("key", "source", F.col("start_position").alias("s"), F.col("end_position").alias("e")))
+
+
+def _two(s, d):
+    """Observations with both predicates."""
+    return events(s, d).select(*record.observed(POS(), definition()), (F.col("value") > 50).alias("enter"), (F.col("value") < 10).alias("leave"))
+
+
 query("tmp_ranges", W + f" select rid, s <= {K} and {K} < coalesce(e, {H}) as holds, s = e as empty, coalesce(e, {H}) - s as length, s < 6000 and 5500 < coalesce(e, {H}) as meets from r")(
     lambda s, d: windows(s, d).withColumn("e", F.coalesce("end_position", F.lit(horizon(s, d)))).withColumn("lo", F.lit(5500)).withColumn("hi", F.lit(6000)).select(
         F.col("record_id").alias("rid"), temporal.contains("start_position", "e", F.lit(K)).alias("holds"), temporal.is_empty("start_position", "end_position").alias("empty"), temporal.saturating_subtract("e", "start_position").alias("length"),
