@@ -142,6 +142,29 @@ def test_watermark():
     assert w.advance("l", 16)[0][:2] == ("b", "r")
 
 
+def test_watermark_corrects_until_another_lateness_behind_it():
+    w = live.BoundedWatermark(2)
+    w.advance("l", 10)
+    w.observe("l", "e", "r1", 9)
+    w.advance("l", 13)  # watermark 11, corrections from 9 on
+    assert w.observe("l", "e", "r2", 9) == ("Corrected", "r1")
+    assert w.observe("l", "e", "r2", 9) == ("Accepted", None)
+    assert w.observe("l", "e", "r2", 8) == ("Rejected", None)  # the same revision, but too old
+    assert w.observe("l", "g", "r1", 10) == ("Rejected", None)  # late, and nothing to correct
+    w.advance("l", 14)  # corrections from 10 on: e is forgotten
+    assert w.observe("l", "e", "r3", 11) == ("Rejected", None)
+    assert w.observe("l", "e", "r3", 12) == ("Accepted", None)
+
+
+def test_watermark_waits_for_first_progress_and_ignores_stale_progress():
+    w = live.BoundedWatermark(1)
+    assert [w.observe("l", e, "r", t) for e, t in (("b", 4), ("a", 4), ("c", 9))] == [("Buffered", None)] * 3
+    assert w.advance("l", 4) == [("a", "r", ("Accepted", None)), ("b", "r", ("Accepted", None))]
+    assert w.advance("l", 4) == w.advance("l", 3) == [] and w.progress["l"] == 4
+    assert w.remove("l") and not w.remove("l")
+    assert w.advance("l", 20) == []
+
+
 def test_liveness():
     t = live.Liveness(["x", "y"], 0, 5)
     assert t.observe("x", 2) == [("x", "Alive", 2)]
@@ -150,6 +173,38 @@ def test_liveness():
     assert t.check(9) == []
 
 
+def test_liveness_orders_each_lane_for_itself():
+    t = live.Liveness(["x", "y"], 0, 5)
+    t.observe("x", 4)
+    assert t.observe("y", 3) == [("y", "Alive", 3)]  # earlier than x, but not than y
+    with pytest.raises(ValueError):
+        t.observe("x", 3)
+    t.check(6)
+    for lane, at in (("y", 5), ("z", 9)):
+        with pytest.raises(ValueError):
+            t.observe(lane, at)
+    for lanes, threshold in (([], 5), (["x", "x"], 5), (["x"], 0)):
+        with pytest.raises(ValueError):
+            live.Liveness(lanes, 0, threshold)
+
+
+def test_silences_of_lanes_that_are_seen_late_or_never(spark):
+    seen = spark.createDataFrame([("a", 2), ("b", 9)], "lane string, pos long")
+    lanes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "lane string")
+    assert got(live.silences(seen, 5, 10, lanes), "lane", "silent_at", "alive_at") == [("a", 7, None), ("b", 5, 9), ("c", 5, None)]
+
+
+def test_rules_judge_the_plans_own_comparators(spark):
+    h = hist(spark, ("a", 0, 10), ("b", 4, 6))
+    rules = [governance.Rule("cover", "minimum_coverage", 0.9), governance.Rule("rest", "maximum_residual", 3), governance.Rule("lag", "maximum_lead_lag", 3), governance.Rule("codes", "allowed_diagnostics", codes=("BroadSelector",))]
+    p = plans.Plan("p", plans.for_source("a"), (plans.for_source("b"),), ("overlap",))
+    ask = lambda *c: sorted(r.rule for r in governance.assess(compare.Comparison(h, plans.replace(p, comparators=c)), rules).collect())
+    assert ask("overlap") == []
+    assert ask("coverage", "residual") == ["cover", "rest", "rest"]
+    assert ask("lead-lag:Start:position:99", "lead-lag:End:position:0") == ["lag", "lag"]
+    assert ask("asof:Previous:position:5") == ["codes"]
+
+
 def test_duplicates_and_latest(spark):
     h = hist(spark, ("a", 1, 5), ("b", 0, 9))
     assert got(history.Query(h).latest(), "source") == [("b",)]
@@ -160,7 +215,8 @@ def test_duplicates_and_latest(spark):
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     c.execute("set TimeZone = 'UTC'")
-    c.execute(f"create view events as select * from '{SF}/events.parquet'")
+    for t in ("events", "customer"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     b = c.sql(registry.SQL[name]).df()
     a = registry.QUERIES[name](spark, SF).toPandas()
     assert sorted(a.columns) == sorted(b.columns)

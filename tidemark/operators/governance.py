@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.temporal import row_id
+from tidemark.functions.temporal import row_id, saturating_subtract
+from tidemark.operators.compare import diagnostics
 
 
 def changelog(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -29,38 +30,54 @@ def replay(previous: DataFrame, entries: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """minimum_coverage(ratio), maximum_residual / maximum_gap(limit, Single | Total), maximum_lead_lag(limit), require_final."""
+    """minimum_coverage(ratio), maximum_residual / maximum_gap(limit, Single | Total), maximum_lead_lag(limit), require_final,
+    allowed_diagnostics(codes)."""
 
     id: str
     kind: str
     limit: float = 0
     aggregation: str = "Single"
+    codes: tuple[str, ...] = ()
+
+
+def _violations(comparison, r: Rule) -> DataFrame | None:
+    """rule, evidence of one rule, over rows of the plan's own comparators; None if it declares none that the rule is about."""
+    plan, name = comparison.plan, F.lit(r.id).alias("rule")
+    evidence = lambda *c: F.to_json(F.struct(*c)).alias("evidence")
+    if r.kind == "minimum_coverage":
+        if "coverage" not in plan.comparators:
+            return None
+        return comparison.coverage_summary().where(F.col("ratio") < r.limit).select(name, evidence("window_name", "key", "partition_id", "ratio"))
+    if r.kind in ("maximum_residual", "maximum_gap"):
+        family = r.kind.removeprefix("maximum_")
+        if family not in plan.comparators:
+            return None
+        rows = comparison.rows(family).select("key", "start_m", "end_m", saturating_subtract("end_m", "start_m").alias("length"))
+        if r.aggregation == "Total":
+            rows = rows.agg(F.coalesce(F.sum(F.col("length").cast("decimal(38,0)")), F.lit(0)).alias("length"))
+        return rows.where(F.col("length") > r.limit).select(name, evidence(*rows.columns))
+    if r.kind == "maximum_lead_lag":
+        leads = [c for c in plan.comparators if c.startswith("lead-lag")]
+        if not leads:
+            return None
+        rows = reduce(DataFrame.unionByName, [comparison.rows(c).withColumn("comparator", F.lit(c)) for c in leads])
+        return rows.where(F.col("delta").isNull() | (F.col("delta") > r.limit) | (F.col("delta") < -r.limit)).select(name, evidence("comparator", "record_id", "delta"))
+    if r.kind == "require_final":
+        return identified(comparison).where("finality <> 'Final'").select(name, evidence("comparator", "row_id"))
+    if r.kind == "allowed_diagnostics":
+        found = diagnostics(comparison.windows, plan)
+        counted = [F.when(F.col(c) > 0, F.lit(c)) for c in found.columns]
+        codes = F.array_compact(F.array(*counted, *[F.lit(d.code) for d in plan.validate()]))
+        return found.select(name, F.explode(codes).alias("evidence")).where(~F.col("evidence").isin(*r.codes) if r.codes else F.lit(True))
+    raise ValueError(f"unknown rule {r.kind}")
 
 
 def assess(comparison, rules: list[Rule]) -> DataFrame:
-    """One row per violation: rule, evidence. Empty: passed."""
+    """One row per violation: rule, evidence. Empty: passed. A rule about rows that the plan has no comparator for passes."""
     if not rules or len({r.id for r in rules}) < len(rules):
         raise ValueError("an assessment needs rules with unique ids")
-    out = None
-    for r in rules:
-        name = F.lit(r.id).alias("rule")
-        if r.kind == "minimum_coverage":
-            one = comparison.coverage_summary().where(F.col("ratio") < r.limit).select(name, F.to_json(F.struct("window_name", "key", "partition_id", "ratio")).alias("evidence"))
-        elif r.kind in ("maximum_residual", "maximum_gap"):
-            rows = comparison.rows("residual" if r.kind == "maximum_residual" else "gap").select("key", "start_m", "end_m", (F.col("end_m") - F.col("start_m")).alias("length"))
-            if r.aggregation == "Total":
-                rows = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
-            one = rows.where(F.col("length") > r.limit).select(name, F.to_json(F.struct(*rows.columns)).alias("evidence"))
-        elif r.kind == "maximum_lead_lag":
-            rows = comparison.lead_lag("Start", int(r.limit))
-            one = rows.where(~F.col("within_tolerance")).select(name, F.to_json(F.struct("record_id", "delta")).alias("evidence"))
-        elif r.kind == "require_final":
-            rows = comparison.rows("overlap").select("key", "start_m", "finality").unionByName(comparison.rows("residual").select("key", "start_m", "finality"))
-            one = rows.where("finality <> 'Final'").select(name, F.to_json(F.struct("key", "start_m")).alias("evidence"))
-        else:
-            raise ValueError(f"unknown rule {r.kind}")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = [v for r in rules if (v := _violations(comparison, r)) is not None]
+    return reduce(DataFrame.unionByName, found) if found else comparison.windows.sparkSession.createDataFrame([], "rule string, evidence string")
 
 
 INVALID = "comparison.invalid"

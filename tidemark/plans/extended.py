@@ -10,6 +10,7 @@ from tidemark.functions import temporal
 from tidemark.operators import compare, episodes, governance, history, record
 from tidemark.plans import comparison as plans
 from tidemark.plans.registry import A1, ASOF, BASE, CLIP, EPI, FIN, H, HIER, K, LANES, NEAR, PAIRS, POS, SQL, TOL, W, WCOLS, comp, definition, events, families, horizon, obs, plan, query, rel, seg, win, windows
+from tidemark.streaming import live
 
 FINAL = "case when {} then 'Provisional' else 'Final' end"
 
@@ -132,10 +133,27 @@ query("matrix_cell", "select * from (" + PAIRS + ") where target = 'lane-b' and
     lambda s, d: compare.matrix_cell(compare.source_matrix(windows(s, d).where("end_position is not null"), "HighValue", LANES[:3]), "lane-b", "lane-c").select(
         "target", "against", "overlap_rows", "residual_rows", "missing_rows", "coverage_rows", F.round("coverage_ratio", 9).alias("coverage_ratio")))
 query("hierarchy_one_sweep", HIER)(lambda s, d: compare.hierarchy(families(s, d), "HighValue", "Error", bin_width=None).select("source", F.col("partition_id").alias("part"), F.col("start_m").alias("s"), F.col("end_m").alias("e"), "kind"))
+
+
+def _counted(s, d, comparators, *rules):
+    """Violations of each rule over a plan of these comparators."""
+    c = compare.Comparison(windows(s, d), replace(plan(horizon=horizon(s, d)), comparators=comparators))
+    return governance.assess(c, list(rules)).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
 query("asm_rules", A1 + f""", rs as (select 'single' as rule, count(*) as violations from x where tn > 0 and an = 0 and e - s > 300 union all select 'total', count(*) from (select sum(e - s) as m from x where tn > 0 and an = 0) where m > 10
   union all select 'gaps', count(*) from (select *, lead(s) over (partition by key, part order by s) as nxt from x) where nxt - e > 300
-  union all select 'final', (select count(*) from x where tn > 0 and an > 0 and tp + ap > 0) + (select count(*) from x where tn > 0 and an = 0 and tp > 0)) select * from rs where violations > 0""")(
-    lambda s, d: governance.assess(comp(s, d), [governance.Rule("single", "maximum_residual", 300), governance.Rule("total", "maximum_residual", 10, "Total"), governance.Rule("gaps", "maximum_gap", 300), governance.Rule("final", "require_final")]).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
+  union all select 'final', (select count(*) from x where tn > 0 and an > 0 and tp + ap > 0) + (select count(*) from x where tn > 0 and an = 0 and tp > 0)
+    + (select count(*) from (select *, lead(s) over w as nxt, lead(tp + ap) over w as np from x window w as (partition by key, part order by s)) where nxt > e and greatest(tp + ap, np) > 0)
+) select * from rs where violations > 0""")(
+    lambda s, d: _counted(s, d, ("overlap", "residual", "gap"), governance.Rule("single", "maximum_residual", 300), governance.Rule("total", "maximum_residual", 10, "Total"), governance.Rule("gaps", "maximum_gap", 300), governance.Rule("final", "require_final")))
+query("asm_lead_lag", NEAR.format(p="a") + " select 'lag' as rule, count(*) as violations from l where delta is null or abs(delta) > 50 having count(*) > 0")(
+    lambda s, d: _counted(s, d, ("lead-lag:Start:position:9",), governance.Rule("lag", "maximum_lead_lag", 50), governance.Rule("not declared", "minimum_coverage", 1)))
+query("asm_diagnostics", W + """ select 'codes' as rule, 'OpenWindowsWithoutPolicy' as evidence from w where e is null and source in ('lane-a', 'lane-b') having count(*) > 0""")(
+    lambda s, d: governance.assess(compare.Comparison(windows(s, d), plan()), [governance.Rule("codes", "allowed_diagnostics", codes=("BroadSelector",))]))
+query("live_unseen_lanes", f"""with x as (select cast(user_id as varchar) as lane, event_id + 1 as pos from events union all select cast(c_custkey as varchar), 0 from customer),
+  y as (select *, lead(pos) over (partition by lane order by pos) as nxt from x) select lane, pos + 500 as silent_at, nxt as alive_at from y where coalesce(nxt, (select max(event_id) + 1001 from events)) - pos >= 500""")(
+    lambda s, d: live.silences(obs(s, d).select(F.col("key").alias("lane"), "pos"), 500, horizon(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("lane"))))
 
 # ------------------------------------------------------------------ roll-ups
 

@@ -91,8 +91,9 @@ def run_episodes(spark: SparkSession, doc: dict, windows: DataFrame) -> dict[str
 
 
 def rules_of(doc: dict) -> list[governance.Rule]:
-    kind = {"minimumCoverage": ("minimum_coverage", "minimumRatio"), "maximumResidualMagnitude": ("maximum_residual", "maximumMagnitude"), "maximumGapMagnitude": ("maximum_gap", "maximumMagnitude"), "maximumAbsoluteLeadLag": ("maximum_lead_lag", "maximumMagnitude"), "requireFinalRows": ("require_final", "")}
-    return [governance.Rule(r["id"], kind[r["type"]][0], r.get(kind[r["type"]][1], 0), r.get("aggregation", "single").capitalize()) for r in doc["rules"]]
+    kind = {"minimumCoverage": ("minimum_coverage", "minimumRatio"), "maximumResidualMagnitude": ("maximum_residual", "maximumMagnitude"), "maximumGapMagnitude": ("maximum_gap", "maximumMagnitude"), "maximumAbsoluteLeadLag": ("maximum_lead_lag", "maximumMagnitude"), "requireFinalRows": ("require_final", ""),
+            "allowedDiagnostics": ("allowed_diagnostics", "")}
+    return [governance.Rule(r["id"], kind[r["type"]][0], r.get(kind[r["type"]][1], 0), r.get("aggregation", "single").capitalize(), tuple(r.get("allowedCodes") or ())) for r in doc["rules"]]
 
 
 def rows_json(result: dict[str, DataFrame], limit: int | None = None) -> dict:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 class BoundedWatermark:
-    """Progress per lane, watermark = progress - lateness. Events ahead of progress wait; events before the watermark only
-    count as corrections of a revision that is still held."""
+    """Progress per lane, watermark = progress - lateness. Events ahead of progress wait, as do all of a lane without any; events
+    before the watermark count only as corrections, down to another lateness before it, of an event that is still held."""
 
     def __init__(self, lateness: int):
         if lateness < 0:
@@ -21,61 +21,62 @@ class BoundedWatermark:
         self.lateness, self.progress, self.held, self.waiting = lateness, {}, {}, {}
 
     def advance(self, lane, progress: int) -> list[tuple]:
-        """The waiting events that progress releases, in order of (time, event, revision)."""
-        if progress < self.progress.get(lane, progress):
-            raise ValueError("progress may not move backwards")
+        """The waiting events that progress releases, in order of (time, event, revision); none if it does not move on."""
+        if lane in self.progress and progress <= self.progress[lane]:
+            return []
         self.progress[lane] = progress
-        wait = self.waiting.setdefault(lane, [])
+        wait = self.waiting.get(lane, [])
         due = [w for w in wait if w[0] <= progress]
         self.waiting[lane] = [w for w in wait if w[0] > progress]
-        held = self.held.setdefault(lane, {})
         out = [(e, r, self._accept(lane, t, e, r)) for t, e, r in due]
-        low = progress - self.lateness
+        held, low = self.held.setdefault(lane, {}), progress - 2 * self.lateness
         for e in [e for e, (_, t) in held.items() if t < low]:
             del held[e]
         return out
 
     def observe(self, lane, event, revision, time: int) -> tuple[str, object]:
         """(Buffered | Accepted | Corrected | Rejected, the revision that is retracted)."""
-        if lane not in self.progress:
-            raise ValueError("a lane needs progress first")
-        if time > self.progress[lane]:
+        if lane not in self.progress or time > self.progress[lane]:
             insort(self.waiting.setdefault(lane, []), (time, event, revision))
             return "Buffered", None
         return self._accept(lane, time, event, revision)
 
     def _accept(self, lane, time, event, revision):
         held, low = self.held.setdefault(lane, {}), self.progress[lane] - self.lateness
-        if event in held:
-            if held[event][0] == revision:
-                return "Accepted", None
-            if time >= low - self.lateness:
-                old, held[event] = held[event][0], (revision, time)
-                return "Corrected", old
-            return "Rejected", None
-        if time < low:
+        was = held.get(event)
+        if time < low and (was is None or time < low - self.lateness):
             return "Rejected", None
+        if was is not None and was[0] == revision:
+            return "Accepted", None
         held[event] = (revision, time)
-        return "Accepted", None
+        return ("Accepted", None) if was is None else ("Corrected", was[0])
+
+    def lanes(self) -> set:
+        return {*self.progress, *self.waiting}
 
-    def remove(self, lane) -> None:
+    def remove(self, lane) -> bool:
+        """Forget a lane; whether there was one."""
+        known = lane in self.lanes()
         for d in (self.progress, self.held, self.waiting):
             d.pop(lane, None)
+        return known
 
 
 class Liveness:
-    """Lanes are silent once `threshold` has passed since they were last seen (or since the start)."""
+    """Lanes are silent once `threshold` has passed since they were last seen (or since the start). A sighting is not before the
+    start, the last check or the lane's last sighting; sightings of different lanes come in any order."""
 
     def __init__(self, lanes, started: int, threshold: int):
-        self.last, self.state, self.threshold, self.now = dict.fromkeys(lanes, started), dict.fromkeys(lanes), threshold, started
-
-    def _tick(self, t):
-        if t < self.now:
-            raise ValueError("time may not move backwards")
-        self.now = t
+        lanes = list(lanes)
+        if threshold <= 0 or not lanes or len(set(lanes)) < len(lanes):
+            raise ValueError("liveness needs unique lanes and a threshold above zero")
+        self.last, self.state, self.threshold, self.checked = dict.fromkeys(lanes, started), dict.fromkeys(lanes), threshold, started
 
     def observe(self, lane, t: int):
-        self._tick(t)
+        if lane not in self.last:
+            raise ValueError("the lane is not tracked")
+        if t < max(self.checked, self.last[lane]):
+            raise ValueError("a sighting may not move backwards")
         self.last[lane] = t
         if self.state[lane] != "Alive":
             self.state[lane] = "Alive"
@@ -83,12 +84,14 @@ class Liveness:
         return []
 
     def check(self, horizon: int):
-        self._tick(horizon)
+        if horizon < self.checked:
+            raise ValueError("the horizon may not move backwards")
+        self.checked = horizon
         out = []
-        for lane in sorted(self.last):
-            if self.state[lane] != "Silent" and horizon - self.last[lane] >= self.threshold:
+        for lane, last in self.last.items():
+            if self.state[lane] != "Silent" and horizon - last >= self.threshold:
                 self.state[lane] = "Silent"
-                out.append((lane, "Silent", self.last[lane] + self.threshold))
+                out.append((lane, "Silent", last + self.threshold))
         return out
 
 
@@ -96,8 +99,8 @@ def watermark_stream(messages: DataFrame, lateness: int) -> DataFrame:
     """BoundedWatermark as a stateful stream, one lane's tracker a key: lane, seq, event, revision, outcome, retracted.
 
     messages: lane, seq (order of a lane's messages within a micro-batch), kind (Advance, Observe, Remove), event, revision,
-    time (the new progress of an Advance). An Advance gives a row for every waiting event that it releases; an observation
-    before any progress of its lane is NoProgress, a progress that moves backwards is Refused, and both leave no state."""
+    time (the new progress of an Advance). An Advance gives a row for every waiting event that it releases, and none if it does
+    not move on; observations before any progress of their lane wait."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     out_form = "lane string, seq long, event string, revision string, outcome string, retracted string"
@@ -106,22 +109,19 @@ def watermark_stream(messages: DataFrame, lateness: int) -> DataFrame:
         lane, w, out = key[0], BoundedWatermark(lateness), []
         if state.exists:
             progress, held, waiting = json.loads(state.get[0])
-            w.progress[lane], w.held[lane], w.waiting[lane] = progress, {e: (r, t) for e, r, t in held}, [tuple(x) for x in waiting]
+            w.held[lane], w.waiting[lane] = {e: (r, t) for e, r, t in held}, [tuple(x) for x in waiting]
+            if progress is not None:
+                w.progress[lane] = progress
         rows = sorted((r for pdf in pdfs for r in pdf[["seq", "kind", "event", "revision", "time"]].itertuples(index=False, name=None)), key=lambda r: r[0])
         for seq, kind, event, revision, time in rows:
             if kind == "Remove":
                 w.remove(lane)
             elif kind == "Advance":
-                if int(time) < w.progress.get(lane, int(time)):
-                    out.append((lane, seq, None, None, "Refused", None))
-                else:
-                    out += [(lane, seq, e, r, outcome, old) for e, r, (outcome, old) in w.advance(lane, int(time))]
-            elif lane not in w.progress:
-                out.append((lane, seq, event, revision, "NoProgress", None))
+                out += [(lane, seq, e, r, outcome, old) for e, r, (outcome, old) in w.advance(lane, int(time))]
             else:
                 out.append((lane, seq, event, revision, *w.observe(lane, event, revision, int(time))))
-        if lane in w.progress:
-            state.update((json.dumps([w.progress[lane], [[e, r, t] for e, (r, t) in w.held.get(lane, {}).items()], w.waiting.get(lane, [])]),))
+        if lane in w.lanes():
+            state.update((json.dumps([w.progress.get(lane), [[e, r, t] for e, (r, t) in w.held.get(lane, {}).items()], w.waiting.get(lane, [])]),))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in out_form.split(", ")])
@@ -129,11 +129,14 @@ def watermark_stream(messages: DataFrame, lateness: int) -> DataFrame:
     return messages.groupBy("lane").applyInPandasWithState(run, out_form, "tracker string", "append", GroupStateTimeout.NoTimeout)
 
 
-def silences(obs: DataFrame, threshold: int, horizon: int) -> DataFrame:
+def silences(obs: DataFrame, threshold: int, horizon: int, lanes: DataFrame | None = None, started: int = 0) -> DataFrame:
     """Batch liveness at the final horizon and between sightings: every lane's silences of `threshold` or more, from where
-    they count as silent until the next sighting (null: still silent at the horizon)."""
-    w = Window.partitionBy("lane").orderBy("pos")
-    x = obs.withColumn("nxt", F.lead("pos").over(w))
+    they count as silent until the next sighting (null: still silent at the horizon). lanes: tracked from `started` on, so one
+    that is seen late or never is silent until then."""
+    x = obs.select("lane", "pos")
+    if lanes is not None:
+        x = x.unionByName(lanes.select("lane", F.lit(started).cast("long").alias("pos")).distinct())
+    x = x.withColumn("nxt", F.lead("pos").over(Window.partitionBy("lane").orderBy("pos")))
     return x.where(F.coalesce("nxt", F.lit(horizon)) - F.col("pos") >= threshold).select("lane", (F.col("pos") + threshold).alias("silent_at"), F.col("nxt").alias("alive_at"))
 
 
