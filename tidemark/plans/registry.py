@@ -255,7 +255,27 @@ RUP = RUP.replace("source, active, lag", "source, part as part_, active, lag").r
 query("rup_any", RUP.format(m=10, rule="a > 0"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active).select(*WCOLS()))
 query("rup_all", RUP.format(m=10, rule="t > 0 and a = t"))(lambda s, d: record.roll_up(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.all_active).select(*WCOLS()))
 QUERIES["rup_multilevel"] = lambda s, d: record.roll_up(record.parent_observations(obs(s, d), "Parent", F.col("key").cast("long") % 10, record.any_active), "Region", F.col("key").cast("long") % 3, record.any_active).select(*WCOLS())
-QUERIES["seq_three_step"] = lambda s, d: episodes.match_sequence(families(s, d).where("end_position is not null"), ["Signup", "Purchase", "Error"], 2000)
+
+STEPS = ("Signup", "Purchase", "Error")
+
+
+def candidates(n, name):
+    """SQL: a lane's closed windows of a family as a list, in the order in which they are tried."""
+    return f"""f{n} as (select key, source, part, list({{'s': s, 'e': e, 'id': '{name}|' || key || '|' || source || '|' || part || '|' || s}} order by e, s) as f{n} from {name}_w where e is not null group by key, source, part)"""
+
+
+# One round for each first candidate of a lane: `used` are the ids that earlier chains took.
+SEQ = "with recursive " + BASE + ",".join(win(f"{n}_w", f"event_type = '{n.lower()}'") for n in STEPS) + "," + ",".join(candidates(i, n) for i, n in enumerate(STEPS, 1)) + """,
+lanes as (select * from f1 join f2 using (key, source, part) join f3 using (key, source, part)),
+chain as (select key, source, part, 0 as i, [''] as used, f1[1] as a, f1[1] as b, f1[1] as c, false as found from lanes
+  union all
+  select key, source, part, n, case when c is null then used else list_concat(used, [b.id, c.id]) end, a, b, c, c is not null
+  from (select *, ([x for x in f3 if not list_contains(used, x.id) and x.s >= b.s and x.s - b.e <= 2000])[1] as c
+    from (select *, ([x for x in f2 if not list_contains(used, x.id) and x.s >= a.s and x.s - a.e <= 2000])[1] as b
+      from (select key, source, part, i + 1 as n, used, f1[i + 1] as a, f2, f3 from chain join lanes using (key, source, part) where i < len(f1)))))
+select key, source, part as partition_id, a.s as start_m, greatest(a.e, b.e, c.e) as end_m, greatest(a.e, b.e, c.e) - a.s as elapsed, greatest(0, b.s - a.e) + greatest(0, c.s - b.e) as total_gap,
+  'Final' as finality, a.id || ',' || b.id || ',' || c.id as record_ids from chain where found"""
+query("seq_three_step", SEQ)(lambda s, d: episodes.match_sequence(families(s, d).where("end_position is not null"), list(STEPS), 2000))
 
 ROWS = W + f""", p as (select rid as row_id, case when e <= {K} then 'Final' else 'Provisional' end as finality from r where s <= {K}), q as (select rid as row_id, case when e <= 7500 then 'Final' else 'Provisional' end as finality from r where s <= 7500 and not (s % 97 = 0 and s <= {K}))"""
 snap = lambda s, d, h, drop=False: history.snapshot_at(windows(s, d), h).where(f"not (start_position % 97 = 0 and start_position <= {K})" if drop else "true").select(F.col("record_id").alias("row_id"), "finality")
