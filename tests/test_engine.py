@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import temporal
 from tidemark.operators import compare, episodes, governance, history, record
 from tidemark.plans import comparison as plans
 from tidemark.plans import registry
@@ -205,6 +206,33 @@ def test_rules_judge_the_plans_own_comparators(spark):
     assert ask("asof:Previous:position:5") == ["codes"]
 
 
+def test_points_and_ranges(spark):
+    df = spark.createDataFrame([(1, 5, 5), (3, 4, 9)], "a long, b long, c long")
+    a, b, c = (temporal.point(x) for x in "abc")
+    r, q = temporal.closed(a, b), temporal.with_effective_end(b, c, "OpenAtHorizon")
+    cols = [temporal.compare_points(b, c), temporal.range_length(r), temporal.range_holds(r, a), temporal.range_holds(r, b), temporal.ranges_overlap(r, q), temporal.range_empty(q), q["status"]]
+    assert [tuple(x) for x in df.select(*[x.alias(f"c{i}") for i, x in enumerate(cols)]).collect()] == [(0, 4, True, False, False, True, "OpenAtHorizon"), (-1, 1, True, False, False, False, "OpenAtHorizon")]
+    utc, gps = (temporal.point("a", "timestamp", x) for x in ("utc", "gps"))
+    for bad in (temporal.compare_points(a, utc), temporal.compare_points(utc, gps), temporal.range_length(temporal.unended(a)), temporal.range_length(r, "timestamp"), temporal.range_holds(r, utc)):
+        with pytest.raises(Exception, match="axes|clocks|without an end|not a range"):
+            df.select(bad.alias("x")).collect()
+    assert df.select(temporal.compare_points(utc, utc).alias("x")).distinct().first()[0] == 0
+    for call in (lambda: temporal.point("a", "phase"), lambda: temporal.with_effective_end(a, b, "Closed")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_annotations_on_the_horizons_axis_and_clock(spark):
+    rows = [("w", "n", 1, 1, "position", None), ("w", "n", 2, 2, "timestamp", "utc"), ("w", "n", 3, 3, "timestamp", None), ("w", "n", 4, 9, None, None), ("w", "n", 5, None, None, None)]
+    notes = spark.createDataFrame(rows, "target string, name string, seq long, known_at long, axis string, clock string")
+    ask = lambda *x: got(history.annotations_known_at(notes, *x), "seq", "revision")
+    assert ask(8) == [(1, 1)] and ask(9) == [(1, 1), (4, 4)]
+    assert ask(8, "timestamp", "utc") == [(2, 2)] and ask(8, "timestamp") == [(3, 3)] and ask(1, "timestamp", "utc") == []
+    with pytest.raises(ValueError):
+        history.annotations_known_at(notes, 1, "phase")
+    assert got(history.annotations_known_at(notes.drop("axis", "clock"), 3), "seq") == [(1,), (2,), (3,)]
+
+
 def test_duplicates_and_latest(spark):
     h = hist(spark, ("a", 1, 5), ("b", 0, 9))
     assert got(history.Query(h).latest(), "source") == [("b",)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.temporal import ticks
+from tidemark.functions.temporal import AXES, ticks
 
 SCOPE = ["window_name", "key", "partition_id"]
 
@@ -144,8 +144,16 @@ def annotate(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("revision", F.row_number().over(Window.partitionBy("target", "name").orderBy("seq")))
 
 
-def annotations_known_at(annotations: DataFrame, horizon: int) -> DataFrame:
-    return annotate(annotations).where(F.col("known_at") <= horizon)
+def annotations_known_at(annotations: DataFrame, horizon: int, axis: str = "position", clock: str | None = None) -> DataFrame:
+    """Those known by the horizon, with their revision among all. Annotations may carry `axis` and `clock` of known_at (without:
+    positions); only those on the horizon's axis count, of timestamps only those of its clock. A null known_at is never known."""
+    if axis not in AXES:
+        raise ValueError(f"unknown axis {axis}")
+    own = F.coalesce(F.col("axis"), F.lit("position")) if "axis" in annotations.columns else F.lit("position")
+    same = own == axis
+    if axis == "timestamp":
+        same = same & (F.col("clock") if "clock" in annotations.columns else F.lit(None).cast("string")).eqNullSafe(F.lit(clock))
+    return annotate(annotations).where(same & (F.col("known_at") <= horizon))
 
 
 def validate(windows: DataFrame) -> DataFrame:
