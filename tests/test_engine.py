@@ -233,6 +233,13 @@ def test_annotations_on_the_horizons_axis_and_clock(spark):
     assert got(history.annotations_known_at(notes.drop("axis", "clock"), 3), "seq") == [(1,), (2,), (3,)]
 
 
+def test_hierarchy_warnings(spark):
+    ask = lambda *rows: got(compare.hierarchy_diagnostics(hist(spark, *rows), "up", "down"), "code", "path")
+    assert ask(("a", 0, 5, "up"), ("a", 1, 2, "down"), ("a", 3, None, "other")) == []
+    assert ask(("a", 0, None, "up")) == [("HierarchyOpenWindowsWithoutHorizon", "windowNames"), ("MissingLineage", "childWindowName")]
+    assert ask(("a", 0, 5, "other")) == [("MissingLineage", "childWindowName"), ("MissingLineage", "parentWindowName")]
+
+
 def test_duplicates_and_latest(spark):
     h = hist(spark, ("a", 1, 5), ("b", 0, 9))
     assert got(history.Query(h).latest(), "source") == [("b",)]

@@ -334,3 +334,12 @@ def hierarchy(windows: DataFrame, parent: str, child: str, bin_width: int | None
     side = F.when(F.col("window_name") == parent, "target").when(F.col("window_name") == child, "against")
     n = windows.where(F.col("window_name").isin(parent, child) & F.col("end_position").isNotNull()).select(F.lit("").alias("window_name"), F.coalesce("source", F.lit("<null>")).alias("key"), "partition_id", F.lit("").alias("ctx"), "source", F.col("start_position").alias("start_m"), F.col("end_position").alias("end_m"), F.lit("Closed").alias("end_status"), side.alias("side"))
     return align(n, bin_width=bin_width).select(F.col("key").alias("source"), "partition_id", "start_m", "end_m", F.when((F.col("target_n") > 0) & (F.col("against_n") > 0), "ParentExplained").when(F.col("target_n") > 0, "UnexplainedParent").otherwise("OrphanChild").alias("kind"))
+
+
+def hierarchy_diagnostics(windows: DataFrame, parent: str, child: str) -> DataFrame:
+    """code, path of the warnings of a hierarchy: no windows of a family, or open ones, which it leaves out."""
+    of = lambda n: F.col("window_name") == n
+    n = windows.agg(F.count_if(of(parent)).alias("p"), F.count_if(of(child)).alias("c"), F.count_if((of(parent) | of(child)) & F.col("end_position").isNull()).alias("o"))
+    warn = lambda when, code, path: F.when(F.expr(when), F.struct(F.lit(code).alias("code"), F.lit(path).alias("path")))
+    found = F.array(warn("p = 0", "MissingLineage", "parentWindowName"), warn("c = 0", "MissingLineage", "childWindowName"), warn("o > 0", "HierarchyOpenWindowsWithoutHorizon", "windowNames"))
+    return n.select(F.explode(F.array_compact(found)).alias("x")).select("x.*")

@@ -132,6 +132,8 @@ def _union(frames):
 query("matrix_cell", "select * from (" + PAIRS + ") where target = 'lane-b' and against = 'lane-c'")(
     lambda s, d: compare.matrix_cell(compare.source_matrix(windows(s, d).where("end_position is not null"), "HighValue", LANES[:3]), "lane-b", "lane-c").select(
         "target", "against", "overlap_rows", "residual_rows", "missing_rows", "coverage_rows", F.round("coverage_ratio", 9).alias("coverage_ratio")))
+query("hierarchy_warnings", W + " select 'MissingLineage' as code, 'childWindowName' as path union all select 'HierarchyOpenWindowsWithoutHorizon', 'windowNames' from w where e is null having count(*) > 0")(
+    lambda s, d: compare.hierarchy_diagnostics(families(s, d), "HighValue", "Nothing"))
 query("hierarchy_one_sweep", HIER)(lambda s, d: compare.hierarchy(families(s, d), "HighValue", "Error", bin_width=None).select("source", F.col("partition_id").alias("part"), F.col("start_m").alias("s"), F.col("end_m").alias("e"), "kind"))
 
 
