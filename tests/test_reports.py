@@ -71,3 +71,25 @@ def test_command_line(spark, tmp_path, capsys):
     out = tmp_path / "b"
     assert main(["audit-windows", str(w), "--target", "a", "--against", "b", "--window", "w", "--profile", "Redacted", "--out", str(out)]) == 0
     assert main(["verify-bundle", str(out)]) == 0 and not (out / "result.json").exists()
+
+
+def test_portable_episode_documents(spark):
+    from tidemark.support.fixtures import FixtureBuilder
+
+    b = FixtureBuilder()
+    for key, part, source, s, e in (("é", None, "a", 0, 4), ("z", "null", "a", 0, 4), ("z", None, "a", 5, 9), ("z", None, "a", 20, 22), ("z", None, "b", 6, 7), ("z", None, "b", 8, 12), ("k", None, "b", 0, 1)):
+        b.closed("w", key, s, e, source=source, partition=part)
+    w = b.open("w", "é", 2, source="b").build(spark)
+    doc = {"name": "n", "windowName": "w", "target": {"source": "a"}, "against": {"source": "b"}, "stitchTolerance": 0, "relationTolerance": 0, "liveHorizon": 30}
+    got = json.loads("".join(documents.episodes_json(spark, doc, w)))
+    assert [(e["side"], e["index"], e["key"], e["partition_id"], e["start_m"]) for e in got["episodes"]] == [
+        ("Target", 0, "z", None, 5), ("Target", 1, "z", None, 20), ("Target", 2, "z", "null", 0), ("Target", 3, "é", None, 0),
+        ("Against", 0, "k", None, 0), ("Against", 1, "z", None, 6), ("Against", 2, "z", None, 8), ("Against", 3, "é", None, 2)]
+    assert [(r["kind"], r["target"], r["against"], r["finality"]) for r in got["relations"]] == [
+        ("Split", [0], [1, 2], "Final"), ("UnmatchedTarget", [1], [], "Final"), ("UnmatchedTarget", [2], [], "Final"), ("OneToOne", [3], [3], "Provisional"), ("UnmatchedAgainst", [], [0], "Final")]
+    text = "".join(documents.episodes_markdown(spark, doc, w))
+    assert '| Target | 2 | "z" | "null" | 0 | 4 | 1 | 4 | Final |' in text and '| Target | 0 | "z" | null |' in text and "| Split | 0 | 1, 2 | Final |" in text
+    assert json.loads("".join(documents.episodes_json(spark, doc, w.limit(0)))) == {"format": documents.EPISODES, "version": 1, "name": "n", "episodes": [], "relations": []}
+    for bad in ({"version": 2}, {"liveHorizon": -1}, {"against": {"source": "a"}}):
+        with pytest.raises(ValueError):
+            list(documents.episodes_json(spark, doc | bad, w))

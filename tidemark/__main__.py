@@ -45,6 +45,7 @@ def main(argv=None) -> int:
     e = sub.add_parser("episodes")
     e.add_argument("document")
     e.add_argument("windows")
+    e.add_argument("--format", choices=("rows", "json", "markdown"), default="rows")
     i = sub.add_parser("import-events")
     i.add_argument("events")
     i.add_argument("map")
@@ -111,7 +112,11 @@ def main(argv=None) -> int:
         return 0
     if o.command == "episodes":
         doc = load(o.document)
-        got = documents.run_episodes(spark, doc, readers.read_windows(spark, o.windows, doc["windowName"]))
+        w = readers.read_windows(spark, o.windows, doc["windowName"])
+        if o.format != "rows":
+            sys.stdout.writelines((documents.episodes_json if o.format == "json" else documents.episodes_markdown)(spark, doc, w))
+            return 0
+        got = documents.run_episodes(spark, doc, w)
         print(json.dumps(documents.rows_json(got), indent=2))
         return 0
     m = load(o.map)

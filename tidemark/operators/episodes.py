@@ -143,6 +143,26 @@ def metrics(windows: DataFrame, target: str, against: str, stitch: int, toleranc
                                                                      (F.col("os") - F.col("ts")).alias("onset_delta"), (F.col("oe") - F.col("te")).alias("recovery_delta"))
 
 
+def portable(windows: DataFrame, target: str, against: str, stitch: int, tolerance: int, horizon: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(episodes, relations) for documents, which name no ids of this engine. An episode is told by its side and `index`, from 0
+    on, in the order of window name, key, partition (by UTF-8 bytes, null first), start, end; a relation by the sorted indexes
+    of its members.
+
+    Episodes are numbered within their key and partition, from where those before end: one task sees a row for each key and
+    partition, not the episodes."""
+    group = ["side", *COMPATIBLE]
+    e = form(windows.where(F.col("source").isin(target, against)), stitch, horizon).withColumn("side", F.when(F.col("source") == target, "Target").otherwise("Against"))
+    e = e.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("start_m", "end_m", "fragments", "active", "episode_id")))
+    ahead = Window.partitionBy("side").orderBy("window_name", "key", F.col("partition_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = e.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(*[F.col(c).alias(f"b_{c}") for c in group], F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    own = e.join(before, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in group]).withColumn("index", F.col("before") + F.col("nth") - 1)
+    rel = relations(windows, target, against, stitch, tolerance, horizon).join(own.select("side", "episode_id", "index"), ["side", "episode_id"])
+    members = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("index")))).alias(side.lower())
+    shown = own.select("side", "index", "window_name", "key", "partition_id", "start_m", "end_m", "fragments", "elapsed", "active", "internal_gap", "finality")
+    return shown, rel.groupBy("component").agg(F.first("kind").alias("kind"), members("Target"), members("Against"), F.first("finality").alias("finality")).drop("component")
+
+
 def comparison_summary(relations_: DataFrame, metrics_: DataFrame) -> DataFrame:
     """One row: episodes and matches of both sides, relations of each kind, split and merge rates, biases, micro-averaged
     coverage and IoU, and distributions of the differences over OneToOne relations."""

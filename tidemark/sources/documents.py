@@ -90,6 +90,46 @@ def run_episodes(spark: SparkSession, doc: dict, windows: DataFrame) -> dict[str
     return {"relations": rel, "metrics": metrics, "scorecard": episodes.scorecard(rel), "summary": episodes.comparison_summary(rel, metrics)}
 
 
+EPISODES = "tidemark.episode-result"
+
+
+def _portable(spark: SparkSession, doc: dict, windows: DataFrame):
+    """Sorted episodes and relations of an analysis, as JSON objects, one after another."""
+    _needs(doc, "episode analysis", "name", "windowName", "target", "against", "stitchTolerance", "relationTolerance")
+    if doc.get("version", 1) != 1 or min(doc["stitchTolerance"], doc["relationTolerance"], doc.get("liveHorizon") or 0) < 0 or doc["target"]["source"] == doc["against"]["source"]:
+        raise ValueError("an episode analysis has version 1, tolerances and a horizon that are not negative, and two sides")
+    w = windows.where(F.col("window_name") == doc["windowName"])
+    made, related = episodes.portable(w, doc["target"]["source"], doc["against"]["source"], doc["stitchTolerance"], doc["relationTolerance"], doc.get("liveHorizon"))
+    rows = lambda df, *order: (json.loads(r[0]) for r in df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator())
+    first = F.when(F.size("target") > 0, 0).otherwise(1)
+    return rows(made, F.desc("side"), "index"), rows(related, first, "target", "against")
+
+
+def episodes_json(spark: SparkSession, doc: dict, windows: DataFrame):
+    """The pieces of a result document: episodes of both sides in portable order, and relations by their indexes; relations
+    with a target come first, by its indexes."""
+    made, related = _portable(spark, doc, windows)
+    yield json.dumps({"format": EPISODES, "version": 1, "name": doc["name"]}, ensure_ascii=False)[:-1]
+    for name, rows in (("episodes", made), ("relations", related)):
+        yield f', "{name}": ['
+        for i, r in enumerate(rows):
+            yield ("," if i else "") + "\n" + json.dumps(r, ensure_ascii=False)
+        yield "]"
+    yield "}\n"
+
+
+def episodes_markdown(spark: SparkSession, doc: dict, windows: DataFrame):
+    """The same as text; keys and partitions are JSON literals, so a null partition is not the text "null"."""
+    made, related = _portable(spark, doc, windows)
+    one = lambda v: json.dumps(v, ensure_ascii=False).replace("|", "\\|")
+    yield f"# {doc['name']}\n\n## Episodes\n\n| Side | Index | Key | Partition | Start | End | Fragments | Active | Finality |\n|-|-|-|-|-|-|-|-|-|\n"
+    for r in made:
+        yield f"| {r['side']} | {r['index']} | {one(r['key'])} | {one(r['partition_id'])} | {r['start_m']} | {r['end_m']} | {r['fragments']} | {r['active']} | {r['finality']} |\n"
+    yield "\n## Relations\n\n| Kind | Target | Against | Finality |\n|-|-|-|-|\n"
+    for r in related:
+        yield f"| {r['kind']} | {', '.join(map(str, r['target']))} | {', '.join(map(str, r['against']))} | {r['finality']} |\n"
+
+
 def rules_of(doc: dict) -> list[governance.Rule]:
     kind = {"minimumCoverage": ("minimum_coverage", "minimumRatio"), "maximumResidualMagnitude": ("maximum_residual", "maximumMagnitude"), "maximumGapMagnitude": ("maximum_gap", "maximumMagnitude"), "maximumAbsoluteLeadLag": ("maximum_lead_lag", "maximumMagnitude"), "requireFinalRows": ("require_final", ""),
             "allowedDiagnostics": ("allowed_diagnostics", "")}
