@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import temporal
 from tidemark.operators import compare, episodes, governance, history, record
 from tidemark.plans import comparison as plans
-from tidemark.plans.registry import A1, ASOF, BASE, CLIP, EPI, FIN, H, HIER, K, LANES, NEAR, PAIRS, POS, SQL, TOL, W, WCOLS, comp, definition, events, families, horizon, obs, plan, query, rel, seg, win, windows
+from tidemark.plans.registry import A1, ASOF, BASE, CLIP, EPI, FIN, H, HIER, K, LANES, NEAR, PAIRS, POS, REL, SQL, TOL, W, WCOLS, comp, definition, events, families, horizon, obs, plan, query, rel, seg, win, windows
 from tidemark.streaming import live
 
 FINAL = "case when {} then 'Provisional' else 'Final' end"
@@ -202,3 +202,15 @@ select tn as target_episodes, an as against_episodes, tm as matched_target, am a
         "target_episodes", "against_episodes", "matched_target", "matched_against", "one_to_one", "splits", "merges", "complex", "overlap", "count_bias", "active_bias", *[F.round(c, 9).alias(c) for c in ("target_match_rate", "split_rate", "target_coverage", "iou")], "onset_median", "active_max"))
 query("epi_of_kind", RELS + " select episode_id, kind from rel where kind = 'Split' or kind = 'UnmatchedTarget'")(
     lambda s, d: (lambda r: episodes.of_kind(r, "Split").unionByName(episodes.of_kind(r, "UnmatchedTarget")).select("episode_id", "kind"))(rel(s, d)))
+
+
+def _portable(s, d):
+    return episodes.portable(windows(s, d).where("end_position is not null"), "lane-a", "lane-b", TOL, 10)
+
+
+INDEXED = """ix as (select *, case when source = 'lane-a' then 'Target' else 'Against' end as side, row_number() over (partition by source order by key, s, e) - 1 as idx from ep where source in ('lane-a', 'lane-b'))"""
+query("epi_portable_episodes", EPI + "," + INDEXED + " select side, idx, key, s, e, fragments, active from ix")(
+    lambda s, d: _portable(s, d)[0].select("side", F.col("index").alias("idx"), "key", F.col("start_m").alias("s"), F.col("end_m").alias("e"), "fragments", "active"))
+query("epi_portable_relations", REL + "," + INDEXED + """ select any_value(kind) as kind, coalesce(string_agg(idx, ',' order by idx) filter (rel.side = 'Target'), '') as target, coalesce(string_agg(idx, ',' order by idx) filter (rel.side = 'Against'), '') as against
+  from rel join ix using (episode_id) group by coalesce(c, rel.episode_id)""")(
+    lambda s, d: _portable(s, d)[1].select("kind", F.array_join(F.col("target").cast("array<string>"), ",").alias("target"), F.array_join(F.col("against").cast("array<string>"), ",").alias("against")))
