@@ -108,6 +108,22 @@ def test_residuals_and_overlaps_equal_all_pairs(spark):
     assert {k: sorted(v) for k, v in got.items()} == {f"window-{i + 1:04d}": v for i, v in free.items() if v}
 
 
+def test_overlaps_of_windows_of_any_length_are_merged_from_few_rows(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [(r.choice("abc"), s, s + (r.randint(0, 10 ** r.randint(1, 13)) if i % 9 else 0)) for i, s in enumerate(r.randint(0, 10 ** r.randint(2, 13)) for _ in range(70))]
+    rows += [("a", 500, 500), ("b", 500, 1000), ("c", 1000, 1500), ("a", 0, 4001), ("b", 4000, 8000)]
+    w = hist(spark, *rows)
+    ids = [(a, b, f"window-{i + 1:04d}") for i, (_, a, b) in enumerate(rows)]
+    want = sorted((p[2], q[2], q[0], min(p[1], q[1])) for p in ids for q in ids if p[0] < q[1] and q[0] < p[1] and p < q)
+    for width in (None, 1, 500):
+        found = history.find_overlaps(w, width)
+        assert sorted(tuple(x) for x in found.select("first_record_id", "second_record_id", "overlap_start", "overlap_end").collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the rows of bins, which no estimate knows, stay off the driver
+
+
 def test_open_evidence_of_a_sequence_is_refused(spark):
     with pytest.raises(PySparkException, match="open evidence"):
         episodes.match_sequence(hist(spark, ("a", 1, None)), ["w"], 1).collect()

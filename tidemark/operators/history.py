@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.temporal import AXES, ticks
 
 SCOPE = ["window_name", "key", "partition_id"]
+BINS = 8  # of its level that a window is long at most
 
 
 class Query:
@@ -85,28 +86,40 @@ def snapshot_at(windows: DataFrame, horizon: int, axis: str = "position") -> Dat
     return windows.where(F.col("start_position") <= h).withColumn("finality", F.when(F.col("end_position") <= h, "Final").otherwise("Provisional")).withColumn("end_position", F.least(F.coalesce("end_position", h), h))
 
 
-def _bin(df: DataFrame, scope: list[str], bin_width: int | None) -> DataFrame:
-    """df (start_position, end_position) with `width` and a row for each time bin that a window touches. By default bins are as
-    wide as the windows of a scope lie apart on average, so windows that do not overlap have about two each."""
-    w = Window.partitionBy(*scope)
-    mean = F.ceil((F.max("end_position").over(w) - F.min("start_position").over(w)) / F.count(F.lit(1)).over(w)).cast("long")
-    out = df.withColumn("width", F.greatest(F.lit(1).cast("long"), mean) if bin_width is None else F.lit(bin_width).cast("long"))
+def _mean_width(scope: WindowSpec) -> Column:
+    """How far the windows (start_position, end_position) of a scope lie apart on average."""
+    mean = F.ceil((F.max("end_position").over(scope) - F.min("start_position").over(scope)) / F.count(F.lit(1)).over(scope)).cast("long")
+    return F.greatest(F.lit(1).cast("long"), mean)
+
+
+def _bin(df: DataFrame, scope: list[str]) -> DataFrame:
+    """df (start_position, end_position) with `width` and a row for each time bin that a window touches. Bins are as wide as
+    the windows of a scope lie apart on average, so windows that do not overlap have about two each."""
+    out = df.withColumn("width", _mean_width(Window.partitionBy(*scope)))
     last = F.greatest(F.col("end_position") - 1, F.col("start_position"))
     return out.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_position") / F.col("width")), F.floor(last / F.col("width")))))
 
 
 def find_overlaps(windows: DataFrame, bin_width: int | None = None) -> DataFrame:
-    """Pairs of closed windows of one scope that overlap, first by (start, end, id). Windows meet in time bins, a pair being
-    found in the bin where the later one starts; bin_width: a fixed width instead of one for each scope."""
+    """Pairs of closed windows of one scope that overlap, first by (start, end, id). A pair meets once, where the later one
+    starts: bins double in width from level to level, a window lies in those it touches on the level where they are few, and
+    every start in one bin of each level that its scope has. So no window has more rows for being long. bin_width: of the
+    narrowest bins, instead of a width for each scope."""
     on = [*SCOPE, "ctx"]
-    c = windows.where("end_position is not null").select(*SCOPE, F.to_json("segments").alias("ctx"), "source", "start_position", "end_position", "record_id")
-    c = _bin(c, on, bin_width)
-    a, b = (c.select(*on, "bin", "width", *[F.col(x).alias(f"{s}_{x}") for x in ("source", "start_position", "end_position", "record_id")]) for s in ("first", "second"))
-    cond = [a[x].eqNullSafe(b[x]) for x in (*on, "bin")]
-    pair = a.join(b, cond).select(*[a[x] for x in on], a["bin"], a["width"], *[c for c in a.columns if c.startswith("first_")], *[c for c in b.columns if c.startswith("second_")])
+    held = ("source", "start_position", "end_position", "record_id")
+    scope = Window.partitionBy(*on)
+    c = windows.where("end_position is not null").select(*SCOPE, F.to_json("segments").alias("ctx"), *held)
+    c = c.withColumn("width", _mean_width(scope) if bin_width is None else F.lit(bin_width).cast("long"))
+    over = F.expr(f"(end_position - start_position - 1) div width div {BINS}")
+    c = c.withColumn("level", F.when(F.col("end_position") > F.col("start_position"), F.when(over > 0, F.length(F.bin(over))).otherwise(0)))
+    c = c.withColumn("levels", F.collect_set("level").over(scope))
+    at = lambda p: F.call_function("shiftright", F.expr(f"({p} - pmod({p}, width)) div width"), F.col("level"))
+    a = c.where("level is not null").select(*on, "level", *[F.col(x).alias(f"first_{x}") for x in held], F.explode(F.sequence(at("start_position"), at("end_position - 1"))).alias("bin"))
+    b = c.withColumn("level", F.explode("levels")).select(*[F.col(x).alias("of_" + x) for x in (*on, "level")], *[F.col(x).alias(f"second_{x}") for x in held], at("start_position").alias("of_bin"))
+    # merged: Spark estimates the size before rows are dealt to bins, by which it would broadcast what fits no driver
+    pair = a.join(b.hint("merge"), [a[x].eqNullSafe(b["of_" + x]) for x in on] + [a[x] == b["of_" + x] for x in ("level", "bin")])
     hit = pair.where("first_start_position < second_end_position and second_start_position < first_end_position").where("struct(first_start_position, first_end_position, first_record_id) < struct(second_start_position, second_end_position, second_record_id)")
-    hit = hit.where(F.col("bin") == F.floor(F.greatest("first_start_position", "second_start_position") / F.col("width"))).drop("bin", "width")
-    return hit.drop("ctx").withColumn("overlap_start", F.greatest("first_start_position", "second_start_position")).withColumn("overlap_end", F.least("first_end_position", "second_end_position"))
+    return hit.select(*SCOPE, *[f"{s}_{x}" for s in ("first", "second") for x in held], F.greatest("first_start_position", "second_start_position").alias("overlap_start"), F.least("first_end_position", "second_end_position").alias("overlap_end"))
 
 
 def find_residuals(windows: DataFrame, source: str) -> DataFrame:
@@ -120,7 +133,7 @@ def find_residuals(windows: DataFrame, source: str) -> DataFrame:
     w = Window.partitionBy(*scope).orderBy("p")
     bare = sums.select(*scope, F.col("p").alias("start_position"), F.lead("p").over(w).alias("end_position"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).where("n = 0 and end_position is not null")
     both = c.where(mine).select(*scope, "record_id", "start_position", "end_position").unionByName(bare.select(*scope, F.lit(None).cast("string").alias("record_id"), "start_position", "end_position"))
-    dealt = _bin(both, scope, None)
+    dealt = _bin(both, scope)
     own = dealt.where("record_id is not null").select(*scope, "bin", "width", "record_id", F.col("start_position").alias("a"), F.col("end_position").alias("b"))
     gap = dealt.where("record_id is null").select(*[F.col(x).alias("g_" + x) for x in (*scope, "bin")], F.col("start_position").alias("s"), F.col("end_position").alias("e"))
     met = own.join(gap, [own[x].eqNullSafe(gap["g_" + x]) for x in (*scope, "bin")]).where((F.col("s") < F.col("b")) & (F.col("a") < F.col("e"))).where(F.col("bin") == F.floor(F.greatest("a", "s") / F.col("width")))
